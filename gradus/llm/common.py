@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,38 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 def text_of(column: str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Groups of consecutive rows with equal keys, as columns, from the batches of a sorted partition.
+
+    Numbers become numpy arrays; other types become lists of bytes or str.  A group may span batches.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    held_key: tuple | None = None
+
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([part[k] for part in held]) for k in held[0]} if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            if pa.types.is_integer(column.type):
+                columns[name] = column.to_numpy(zero_copy_only=False)
+            else:
+                columns[name] = np.array([*column.to_pylist(), None], object)[:-1]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, stop in zip(bounds, bounds[1:]):
+            key = tuple(columns[k][start] for k in keys)
+            if held and key != held_key:
+                yield held_key, joined()
+                held = []
+            held_key = key
+            held.append({k: c[start:stop] for k, c in columns.items()})
+    if held:
+        yield held_key, joined()

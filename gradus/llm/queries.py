@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from gradus.llm import bpe, exact_dedup
+from gradus.llm import bpe, exact_dedup, language_id, mixing, simhash, topk_search, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_mixing": mixing.op2_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
+    "op7_topk_search": topk_search.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
