@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gradus.llm import bpe, exact_dedup, language_id, mixing, simhash, topk_search, url_filter
+from gradus.llm import bpe, exact_dedup, language_id, mixing, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
+    "op6_rlz_dedup": rlz_dedup.op6_rlz_dedup,
     "op7_topk_search": topk_search.op7_topk_search,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
