@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gradus.llm import bpe, exact_dedup, language_id, mixing, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
+from gradus.llm import bpe, exact_dedup, language_id, mixing, pii, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op6_rlz_dedup": rlz_dedup.op6_rlz_dedup,
