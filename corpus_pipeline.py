@@ -1,15 +1,72 @@
-"""The corpus pipeline: documents in, encoded training mix out."""
+"""The corpus pipeline: documents in, encoded training mix out.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents.
+
+1. language ID drops documents that the classifier rejects: those without a letter, and those whose best language
+   has a posterior below ``LEAST_SCORE``.
+2. exact deduplication keeps one document of each group of equal texts.
+3. SimHash near-deduplication keeps one document of each group.  Fingerprints are of the distinct words and link at 6
+   bits, which for texts that share 0.8 or more of their five-word shingles finds what fingerprints of the shingles
+   themselves miss (see the README for measured recall).
+4. mixing repeats documents, or leaves them out, so that sources meet their target weights.
+5. BPE encodes and decodes what is left, one row per document of the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradus.llm import bpe, exact_dedup, language_id, mixing, simhash
+from gradus.llm.common import written
+
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    judged = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    kept = language_id.predict(judged, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("__row.*")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(docs, words=1, once=True, segments=16)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies"))
+    repeated = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return repeated.select(docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(docs, keep_ids=False)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("bpe", encoding_stage),
+]
 
-STAGES: list = []
+#: Naive Bayes, fingerprints, rounding and BPE are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,11 +1,11 @@
 """Operator 4: near-duplicates by SimHash, with pigeonring filtering.
 
-A fingerprint has 64 bits in a ring of eight segments.  If two fingerprints differ in at most ``d`` bits, then some
-segment exists from which every chain of l consecutive segments differs in at most ``floor(l * d / 8)`` bits (the
-pigeonring principle).  For d = 3 the first two segments of the chain must be equal, five may differ in one bit, seven
-in two.  Fingerprints are therefore indexed, for each of the eight starts, by the two equal segments together with two
-of the next three (one of which may hold the single difference): 24 keys of 32 bits.  Fingerprints that share a key
-are candidates; the chain is tested with growing length before the full distance.
+A fingerprint has 64 bits in a ring of m segments.  If two fingerprints differ in at most ``d`` bits, then some segment
+exists from which every chain of l consecutive segments differs in at most ``floor(l * d / m)`` bits (the pigeonring
+principle).  Here d : m is 3 : 8, that is 3 bits with 8 segments or 6 with 16, so the first two segments of the chain
+must be equal, five may differ in one bit, seven in two, and so on.  Fingerprints are therefore indexed, for each of the
+m starts, by the two equal segments together with two of the next three (one of which may hold the single difference):
+3 m keys.  Fingerprints that share a key are candidates; the chain is tested with growing length up to the full distance.
 
 Equal fingerprints are put together before any of this.  A key with very many different fingerprints is dealt out in
 blocks, every pair of blocks being one unit of work, so no task holds more than two blocks; a unit emits a spanning
@@ -27,128 +27,144 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, sorted_groups, written
+from gradus.llm.common import documents, written
 from gradus.llm.components import components
 
 SEED = 42
-SEGMENTS, SEGMENT_BITS, DISTANCE = 8, 8, 3
+SEGMENTS = 8
 BLOCK = 4096
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Majority of the bits of the XXH64 of all shingles, repeats included."""
+def fingerprint(text: str | None, words: int, once: bool = False) -> int:
+    """Majority of the bits of the XXH64 of all shingles, repeats included (or each shingle once)."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(gaps + 1).tolist()]
-    ends = [*gaps.tolist(), len(joined)]
-    digest, n = xxhash.xxh64_intdigest, len(tokens) - words + 1
-    hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends[words - 1 :])), np.uint64, n)
-    columns = hashes.view(np.uint8).reshape(n, 8)
+    digest = xxhash.xxh64_intdigest
+    if words == 1:
+        shingles = tokens
+    else:
+        joined = b" ".join(tokens)
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
+        shingles = [joined[i:j] for i, j in zip(starts, ends[words - 1 :] or ends[-1:])]
+    if once:
+        shingles = list(set(shingles))
+    n = len(shingles)
+    columns = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, n).view(np.uint8).reshape(n, 8)
     set_bits = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, once: bool = False) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text.as_py(), words) for text in batch.column(1)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(text.as_py(), words, once) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "doc_id long, fp long")
 
 
-def chain_keys(fp: str = "fp"):
-    """The keys of a fingerprint, an array of 24 numbers: start and left-out segment above 40 bits of chain."""
-    keys = []
-    for start in range(SEGMENTS):
-        turn = start * SEGMENT_BITS
+def chain_keys(segments: int = SEGMENTS, fp: str = "fp"):
+    """The keys of a fingerprint, an array of numbers: start and left-out segment above five segments of chain."""
+    keys, bits = [], 64 // segments
+    for start in range(segments):
+        turn = start * bits
         chain = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else F.col(fp)
         for left_out in (2, 3, 4):
-            mask = ((1 << 40) - 1) & ~(0xFF << (left_out * SEGMENT_BITS))
-            keys.append(chain.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((start * 3 + left_out - 2) << 40)))
+            mask = ((1 << 5 * bits) - 1) & ~(((1 << bits) - 1) << (left_out * bits))
+            keys.append(chain.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((start * 3 + left_out - 2) << 48)))
     return F.array(*keys)
 
 
-def linked(left: np.ndarray, right: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks whose fingerprints pass every chain from this start and then the full distance."""
-    i, j = np.arange(len(left)).repeat(len(right)), np.tile(np.arange(len(right)), len(left))
-    turn = start * SEGMENT_BITS
-    differ = left[i] ^ right[j]
-    if turn:
-        differ = (differ >> np.uint64(turn)) | (differ << np.uint64(64 - turn))
-    for length in (5, 7, SEGMENTS):
-        chain = differ & np.uint64((1 << (length * SEGMENT_BITS)) - 1)
-        keep = np.bitwise_count(chain) <= length * DISTANCE // SEGMENTS
-        i, j, differ = i[keep], j[keep], differ[keep]
-    return i, j
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the pairs connect, each node but one of a component once."""
-    parent = list(range(n))
+def pairs_within(key: np.ndarray, unit: np.ndarray, fps: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one unit that pass every chain from their key's start and so the full distance.
+
+    Rows of a unit follow each other; rows k apart are compared all at once, for k = 1, 2 and so on.
+    """
+    bits, out = 64 // segments, []
+    turn = ((key >> 48) // 3 * bits).astype(np.uint64)
+    active, apart = np.arange(len(fps)), 0
+    while len(active):
+        apart += 1
+        active = active[: np.searchsorted(active, len(fps) - apart)]
+        active = active[unit[active] == unit[active + apart]]
+        differ, turned = fps[active] ^ fps[active + apart], turn[active]
+        differ = (differ >> turned) | (differ << ((np.uint64(64) - turned) & np.uint64(63)))
+        left = np.arange(len(active))
+        for length in range(5, segments + 1):
+            chain = differ[left] & np.uint64((1 << (length * bits)) - 1)
+            left = left[np.bitwise_count(chain) <= length * 3 // 8]
+        out.append((active[left], active[left] + apart))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links between ids as many as connect what all of them connect."""
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
         return x
 
-    kept = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            kept[0].append(x)
+            kept[1].append(y)
     return kept
 
 
-def _unit_links(key: int, block: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """The links of one unit of work: a block with itself, or two blocks with each other."""
-    order = np.argsort(block, kind="stable")
-    fps, ids, block = fps[order].view(np.uint64), ids[order], block[order]
-    cut = len(block) if block[0] == block[-1] else int(np.searchsorted(block, block[-1]))
-    rest, out_i, out_j = (0 if cut == len(block) else cut), [], []
-    for at in range(0, cut, 256):  # rows of the comparison, a slice at a time
-        i, j = linked(fps[at : min(at + 256, cut)], fps[rest:], (key >> 40) // 3)
-        i, j = i + at, j + rest
-        out_i.append(i[i != j])
-        out_j.append(j[i != j])
-    return [(int(ids[a]), int(ids[b])) for a, b in forest(len(ids), np.concatenate(out_i), np.concatenate(out_j))]
-
+def links(distinct: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b): links between ids of different fingerprints at most ``segments * 3 / 8`` bits apart, from (fp, id).
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): ids of different fingerprints at most ``DISTANCE`` bits apart, from (fp, id), as forests."""
-    keyed = written(distinct.select("fp", "id", F.explode(chain_keys()).alias("key")), "op4-keys")
+    What a batch of units finds is emitted as a forest.
+    """
+    keyed = written(distinct.select("fp", "id", F.explode(chain_keys(segments)).alias("key")), "op4-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     met = keyed.join(shared, "key").select("key", "fp", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = met.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "id")
+    dealt = met.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "id")
+    names = ["key", "low", "high", "fp", "id"]
+
+    def found(rows: dict[str, np.ndarray], change: np.ndarray) -> pa.RecordBatch:
+        i, j = pairs_within(rows["key"], np.cumsum(change), rows["fp"].view(np.uint64), segments)
+        pairs = np.unique(np.stack([rows["id"][i], rows["id"][j]], axis=1), axis=0)
+        a, b = forest(pairs[:, 0], pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, unit in sorted_groups(batches, ("key", "low", "high")):
-            if len(unit["fp"]) > 1:
-                found = _unit_links(int(unit["key"][0]), unit["block"], unit["fp"], unit["id"])
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        held: dict[str, np.ndarray] | None = None  # the last unit may go on in the next batch
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()} if held else rows
+            if not len(rows["fp"]):
+                continue
+            change = np.append(True, np.any([rows[k][1:] != rows[k][:-1] for k in names[:3]], axis=0))
+            last = int(np.flatnonzero(change)[-1])
+            if last:
+                yield found({k: v[:last] for k, v in rows.items()}, change[:last])
+            held = {k: v[last:] for k, v in rows.items()}
+        if held:
+            yield found(held, np.append(True, np.zeros(len(held["fp"]) - 1, bool)))
 
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, block: int = BLOCK, once: bool = False, segments: int = SEGMENTS) -> DataFrame:
     """Per row: doc_id, fingerprint (hexadecimal) and component_id, the smallest id that can be reached."""
-    made = written(fingerprints(docs, id_col, text_col, words), "op4-fingerprints")
+    made = written(fingerprints(docs, id_col, text_col, words, once), "op4-fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("id")), "op4-distinct")
-    found = components(links(distinct, block), "a", "b")
+    found = components(links(distinct, block, segments), "a", "b")
     placed = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return made.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -99,7 +99,7 @@ def brute_simhash(text):
     return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) if hashes else 0
 
 
-def brute_components(fps):
+def brute_components(fps, most=3):
     ids = [i for i, _ in fps]
     up = {i: i for i in ids}
 
@@ -110,7 +110,7 @@ def brute_components(fps):
 
     for k, (i, a) in enumerate(fps):
         for j, b in fps[:k]:
-            if bin(a ^ b).count("1") <= 3:
+            if bin(a ^ b).count("1") <= most:
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
     return {i: root(i) for i in ids}
@@ -128,12 +128,13 @@ def test_simhash(docs, odd):
 def test_simhash_links_of_many_close_fingerprints(spark):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 6)
-    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 5))) for c in centre for _ in range(60)})
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 9))) for c in centre for _ in range(60)})
     df = spark.createDataFrame([(fp, i) for i, fp in enumerate(fps)], "fp long, id long")
-    want = brute_components(list(enumerate(fps)))
-    for block in (7, 4096):
-        got = {r.node: r.component for r in components.components(simhash.links(df, block), "a", "b").collect()}
-        assert {i: got.get(i, i) for i in want} == want
+    for segments, most in ((8, 3), (16, 6)):
+        want = brute_components(list(enumerate(fps)), most)
+        for block in (7, 4096):
+            got = {r.node: r.component for r in components.components(simhash.links(df, block, segments), "a", "b").collect()}
+            assert {i: got.get(i, i) for i in want} == want
 
 
 def test_components(spark):
