@@ -1,6 +1,6 @@
 """The data-quality contract: a row (check_id, column, observed, threshold, passed) per check.
 
-All checks of values are one aggregation of the table; checks of the schema need no job.
+All checks of values are one aggregation of the table; checks of the schema count what is filled.
 """
 
 from __future__ import annotations
@@ -11,9 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "check_id string, column string, observed string, threshold string, passed boolean"
-
-
 @dataclass(frozen=True)
 class Check:
     id: str
@@ -81,13 +78,21 @@ def verify(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 
 def schema_checks(df: DataFrame, required: Sequence[str] = (), forbidden: Sequence[str] = (), types: Mapping[str, str] | None = None, width: int = 0) -> DataFrame:
-    """Columns present, absent, of their types (a missing column fails), and how many."""
+    """Columns present, absent, of their types (a missing column fails), and how many.
+
+    What is observed comes with the number of rows that hold a value, counted in one pass.
+    """
     have = dict(df.dtypes)
-    rows = [("required", c, str(c in have).lower(), "true", c in have) for c in required]
-    rows += [("forbidden", c, str(c in have).lower(), "false", c not in have) for c in forbidden]
-    rows += [("type", c, have.get(c, "missing"), t, have.get(c) == t) for c, t in (types or {}).items()]
-    rows += [("width", "*", str(len(have)), str(width), len(have) == width)] if width else []
-    return df.sparkSession.createDataFrame(rows, ROW)
+
+    def row(id: str, column: str, seen: str, threshold: str, passed: bool) -> Column:
+        filled = F.count(column) if column in have else F.count("*") if column == "*" else F.lit(0)
+        return F.struct(F.lit(id).alias("check_id"), F.lit(column).alias("column"), F.concat(F.lit(f"{seen} filled="), filled.cast("string")).alias("observed"), F.lit(threshold).alias("threshold"), F.lit(passed).alias("passed"))
+
+    rows = [row("required", c, str(c in have).lower(), "true", c in have) for c in required]
+    rows += [row("forbidden", c, str(c in have).lower(), "false", c not in have) for c in forbidden]
+    rows += [row("type", c, have.get(c, "missing"), t, have.get(c) == t) for c, t in (types or {}).items()]
+    rows += [row("width", "*", str(len(have)), str(width), len(have) == width)] if width else []
+    return df.agg(F.array(*rows).alias("all")).select(F.explode("all").alias("s")).select("s.*")
 
 
 def source_exists(spark: SparkSession, path: str, least_bytes: int = 1) -> DataFrame:

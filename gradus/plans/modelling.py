@@ -1 +1,263 @@
-"""Queries."""
+"""Queries of association, models, evaluation, data quality and drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradus.functions import expressions as X
+from gradus.operators import association as M
+from gradus.operators import drift as D
+from gradus.operators import ingest as I
+from gradus.operators import quality as V
+from gradus.operators.sampling import stratified_split
+from gradus.plans.binding import LABELS, NUMBERS, PRIORITIES, SQL_BAND, STATUSES, banded_orders, price_band, query, table
+from gradus.plans.ingestion import EXPECTED, parsed, record_files
+from gradus.sources import io
+
+B = SQL_BAND.format(c="o_totalprice")
+BINS = tuple(k / 10 for k in range(1, 10))
+
+# Mutual information -------------------------------------------------------------------------------------------------
+
+
+def _mi(long: str) -> str:
+    """SQL of mutual information from rows (feature, x, y)."""
+    return f"c as (select feature, x, y, count(*) as c from ({long}) group by 1, 2, 3), m as (select feature, c, sum(c) over (partition by feature) as n, sum(c) over (partition by feature, x) as nx, sum(c) over (partition by feature, y) as ny from c) select feature, round(greatest(sum(c / n * ln(c * n / (nx * ny))), 0), 6) + 0.0 as mi from m group by 1"
+
+
+_ORDERS = f"select '{{f}}' as feature, coalesce(cast({{e}} as varchar), '?') as x, {B} as y from orders"
+_P = _ORDERS.format(f="priority", e="nullif(o_orderpriority, '5-LOW')")
+_S = _ORDERS.format(f="status", e="o_orderstatus")
+_Q = "(select " + ", ".join(f"quantile_cont({{c}}, {p}) as q{k}" for k, p in enumerate(BINS)) + " from {t}) b"
+
+
+def _binned(c: str, t: str, y: str) -> str:
+    place = " + ".join(f"cast(q{k} < {c} as int)" for k in range(9))
+    return f"select '{c}' as feature, cast({place} as varchar) as x, {y} as y from {t}, {_Q.format(c=c, t=t)}"
+
+
+def _entities(spark, sf):
+    return banded_orders(spark, sf, "o_orderpriority", "o_orderstatus", "o_custkey").select("band", F.expr("nullif(o_orderpriority, '5-LOW')").alias("priority"), F.col("o_orderstatus").alias("status"), "o_custkey")
+
+
+@query("ml1_mutual_information", f"with {_mi(_P + ' union all ' + _S)}")
+def ml1(spark, sf):
+    return M.mutual_information(_entities(spark, sf), ["priority", "status"], "band")
+
+
+@query("ml2_mutual_information_numeric", f"with {_mi(' union all '.join(_binned(c, 'lineitem', 'l_returnflag') for c in ('l_quantity', 'l_extendedprice')))}")
+def ml2(spark, sf):
+    return M.mutual_information_numeric(table(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_returnflag"), ["l_quantity", "l_extendedprice"], "l_returnflag")
+
+
+@query("ml3_mi_ranking", f"with {_mi(_P + ' union all ' + _S + ' union all ' + _binned('o_custkey', 'orders', B))}")
+def ml3(spark, sf):
+    return M.mi_ranking(_entities(spark, sf), ["priority", "status"], ["o_custkey"], "band")
+
+
+# Models -------------------------------------------------------------------------------------------------------------
+
+
+def _training(spark, sf):
+    rows = banded_orders(spark, sf, "o_custkey", "o_orderdate", "o_orderpriority")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.sum("l_quantity").alias("quantity"))
+    joined = rows.join(lines, rows["o_orderkey"] == lines["l_orderkey"], "left").na.fill(0.0, ["lines", "quantity"])
+    made = joined.select("o_orderkey", X.band_rank("band", LABELS).cast("double").alias("label"), "lines", "quantity", F.month("o_orderdate").cast("double").alias("month"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"))
+    return stratified_split(made, "label", 0.2, 42, "o_orderkey")
+
+
+INPUTS = ("lines", "quantity", "month", "priority")
+
+
+def _fitted(spark, sf):
+    rows = _training(spark, sf).persist()
+    return M.fit_band_classifier(rows.where("not is_test"), INPUTS, "label", trees=20), rows
+
+
+@query("ml4_band_classifier")
+def ml4(spark, sf):
+    model, rows = _fitted(spark, sf)
+    return model.transform(rows.where("is_test")).select("o_orderkey", "label", "prediction")
+
+
+@query("ml5_feature_importance")
+def ml5(spark, sf):
+    return M.feature_importance(spark, _fitted(spark, sf)[0], INPUTS)
+
+
+def _ruled(spark, sf):
+    """A rule as predictor: the band of the customer key's last digits."""
+    rows = banded_orders(spark, sf, "o_custkey")
+    return rows.select(X.band_rank("band", LABELS).alias("label"), X.band_rank(X.band(F.col("o_custkey") % 500, (100, 200, 300, 400), LABELS), LABELS).alias("prediction"))
+
+
+_RULED = f"p as (select cast(substr({B}, 2, 1) as int) - 1 as label, case when o_custkey % 500 <= 100 then 0 when o_custkey % 500 <= 200 then 1 when o_custkey % 500 <= 300 then 2 when o_custkey % 500 <= 400 then 3 else 4 end as prediction from orders)"
+
+
+@query("ml6_accuracy", f"with {_RULED} select round(avg(cast(label = prediction as int)), 6) as accuracy from p")
+def ml6(spark, sf):
+    return M.accuracy(_ruled(spark, sf), "label", "prediction")
+
+
+_CELLS = ", ".join(f"""round(100.0 * count(*) filter (prediction = {k}) / count(*), 6) as "{k}\"""" for k in range(5))
+
+
+@query("ml7_confusion_matrix", f"with {_RULED} select label, {_CELLS} from p group by 1")
+def ml7(spark, sf):
+    return M.confusion_matrix(_ruled(spark, sf), "label", "prediction", range(5))
+
+
+@query("ml8_classification_report", f"""with {_RULED}, k as (select unnest(range(5)) as k), c as (select cast(k as varchar) as class, (select count(*) from p where label = k) as support, (select count(*) from p where prediction = k) as claimed, (select count(*) from p where label = k and prediction = k) as hit from k),
+r as (select class, case when claimed > 0 then hit / claimed else 0 end as precision, case when support > 0 then hit / support else 0 end as recall, case when claimed + support > 0 then 2.0 * hit / (claimed + support) else 0 end as f1, support from c where support + claimed > 0)
+select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from r union all select 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from r union all select 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from r""")
+def ml8(spark, sf):
+    return M.classification_report(_ruled(spark, sf), "label", "prediction")
+
+
+@query("ml9_ablation")
+def ml9(spark, sf):
+    rows = _training(spark, sf).persist()
+    return M.ablation(spark, rows.where("not is_test"), rows.where("is_test"), {"sequence": ["lines"], "tabular": ["month", "priority"], "all": list(INPUTS)}, "label", trees=5)
+
+
+@query("ml10_lift_over_random", f"with {_RULED}, a as (select round(avg(cast(label = prediction as int)), 6) as accuracy from p) select accuracy, round(accuracy * 5, 6) as lift from a")
+def ml10(spark, sf):
+    return M.lift_over_random(M.accuracy(_ruled(spark, sf), "label", "prediction"), 5)
+
+
+# Data quality -------------------------------------------------------------------------------------------------------
+
+
+def _check(id: str, column: str, observed: str, threshold: str, passed: str, source: str) -> str:
+    return f"select '{id}' as check_id, '{column}' as column, {observed} as observed, '{threshold}' as threshold, {passed} as passed from {source}"
+
+
+def _dec(x: str) -> str:
+    return f"cast(cast({x} as decimal(20,2)) as varchar)"
+
+
+@query("dq1_source_exists")
+def dq1(spark, sf):
+    return V.source_exists(spark, f"{sf}/lineitem.parquet", 1000)
+
+
+def _held(id: str, column: str, seen: str, threshold: str, passed: bool) -> str:
+    filled = "0" if seen in ("false", "missing") else f"count({column})"
+    return _check(id, column, f"'{seen} filled=' || {filled}", threshold, str(passed).lower(), "lineitem").replace("from lineitem", "from lineitem" if filled != "0" else "from (select 1)")
+
+
+@query("dq2_required_columns", " union all ".join([_held("required", c, "true", "true", True) for c in NUMBERS] + [_held("required", "absent", "false", "true", False)]))
+def dq2(spark, sf):
+    return V.schema_checks(table(spark, sf, "lineitem"), required=[*NUMBERS, "absent"])
+
+
+@query("dq3_forbidden_columns", _held("forbidden", "o_orderkey", "false", "false", True) + " union all " + _held("forbidden", "l_tax", "true", "false", False))
+def dq3(spark, sf):
+    return V.schema_checks(table(spark, sf, "lineitem"), forbidden=["o_orderkey", "l_tax"])
+
+
+@query("dq4_column_types", " union all ".join([_held("type", "l_quantity", "double", "double", True), _held("type", "l_orderkey", "bigint", "bigint", True), _held("type", "l_tax", "double", "string", False), _held("type", "absent", "missing", "int", False)]))
+def dq4(spark, sf):
+    return V.schema_checks(table(spark, sf, "lineitem"), types={"l_quantity": "double", "l_orderkey": "bigint", "l_tax": "string", "absent": "int"})
+
+
+@query("dq5_row_count", _check("row_count", "*", "cast(count(*) as varchar)", ">=1", "count(*) >= 1", "lineitem"))
+def dq5(spark, sf):
+    return V.verify(table(spark, sf, "lineitem"), [V.row_count()])
+
+
+@query("dq6_reconcile", f"with {EXPECTED}, c as (select count(*) as a from j), d as (select count(*) as b from g) select 'reconcile' as check_id, '*' as column, a || '/' || b as observed, '>0.99' as threshold, a / b > 0.99 as passed from c, d")
+def dq6(spark, sf):
+    records = io.read_records(spark, record_files(spark, sf))
+    return V.reconcile(I.parse_records(records).where("not is_error"), records)
+
+
+@query("dq7_domain", _check("domain", "o_orderstatus", "cast(sum(cast(o_orderstatus not in ('F', 'O') as int)) as varchar)", "0", "sum(cast(o_orderstatus not in ('F', 'O') as int)) = 0", "orders") + " union all " + _check("domain", "o_orderpriority", "cast(sum(cast(o_orderpriority = '5-LOW' as int)) as varchar)", "0", "sum(cast(o_orderpriority = '5-LOW' as int)) = 0", "orders"))
+def dq7(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderstatus", F.expr("nullif(o_orderpriority, '5-LOW')").alias("o_orderpriority"))
+    return V.verify(rows, [V.domain("o_orderstatus", STATUSES[:2]), V.domain("o_orderpriority", PRIORITIES)])
+
+
+@query("dq8_numeric_domain", _check("domain", "v", "cast(sum(cast(o_orderstatus = 'O' as int)) as varchar)", "0", "sum(cast(o_orderstatus = 'O' as int)) = 0", "orders"))
+def dq8(spark, sf):
+    rows = table(spark, sf, "orders").select(X.map_values(F.col("o_orderstatus"), {"F": 1.0, "O": 0.25}).alias("v"))
+    return V.verify(rows, [V.domain("v", [1.0, 0.5, 0.0], nulls_fail=False)])
+
+
+@query("dq9_null_ratio", _check("null_ratio", "p", "cast(cast(round(avg(cast(o_orderpriority = '5-LOW' as int)), 6) as decimal(20,6)) as varchar)", "<0.01", "avg(cast(o_orderpriority = '5-LOW' as int)) < 0.01", "orders"))
+def dq9(spark, sf):
+    return V.verify(table(spark, sf, "orders").select(F.expr("nullif(o_orderpriority, '5-LOW')").alias("p")), [V.null_ratio("p")])
+
+
+@query("dq10_range", _check("range", "l_quantity", f"{_dec('min(l_quantity)')} || '..' || {_dec('max(l_quantity)')} || ' nulls=0'", "0..40", "min(l_quantity) >= 0 and max(l_quantity) <= 40", "lineitem"))
+def dq10(spark, sf):
+    return V.verify(table(spark, sf, "lineitem", "l_quantity"), [V.value_range("l_quantity", 0, 40)])
+
+
+@query("dq11_minimum", _check("minimum", "l_quantity", _dec("min(l_quantity)"), ">=1", "min(l_quantity) >= 1", "lineitem"))
+def dq11(spark, sf):
+    return V.verify(table(spark, sf, "lineitem", "l_quantity"), [V.minimum("l_quantity", 1)])
+
+
+@query("dq12_no_blank", _check("no_blank", "text", "cast(count(*) filter (text is null or length(text) = 0) as varchar)", "0", "count(*) filter (text is null or length(text) = 0) = 0", "documents"))
+def dq12(spark, sf):
+    return V.verify(table(spark, sf, "documents", "text"), [V.no_blank("text")])
+
+
+@query("dq13_code_format", _check("format", "p_brand", "cast(count(*) filter (not regexp_full_match(p_brand, 'Brand#[1-3][0-9]')) as varchar)", "0", "count(*) filter (not regexp_full_match(p_brand, 'Brand#[1-3][0-9]')) = 0", "part"))
+def dq13(spark, sf):
+    return V.verify(table(spark, sf, "part", "p_brand"), [V.code_format("p_brand", "^Brand#[1-3][0-9]$")])
+
+
+@query("dq14_non_negative", " union all ".join(_check("non_negative", c, _dec(f"min({c})"), ">=0", f"min({c}) >= 0", "lineitem") for c in NUMBERS))
+def dq14(spark, sf):
+    return V.verify(table(spark, sf, "lineitem", *NUMBERS), [V.non_negative(c) for c in NUMBERS])
+
+
+@query("dq15_compression")
+def dq15(spark, sf):
+    path = io.scratch(spark, "silver")
+    rows = parsed(spark, sf).where("not is_error")
+    io.write_parquet(I.to_silver(rows), path)
+    size = spark.read.format("binaryFile").load(record_files(spark, sf)).agg(F.sum("length").alias("n")).first()["n"]
+    return V.compression(spark, path, size).select("check_id", "column", "threshold", "passed")
+
+
+_ALL = [_check("row_count", "*", "''", "", "count(*) >= 1", "lineitem"), _check("range", "l_quantity", "''", "", "max(l_quantity) <= 40", "lineitem"), *(_check("non_negative", c, "''", "", f"min({c}) >= 0", "lineitem") for c in NUMBERS)]
+
+
+@query("dq16_summary", f"with c as ({' union all '.join(_ALL)}) select count(*) as total, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, coalesce(string_agg(check_id || ':' || \"column\", ',' order by check_id || ':' || \"column\") filter (not passed), '') as failures, case when bool_and(passed) then 'PASS' else 'FAIL' end as status from c")
+def dq16(spark, sf):
+    return V.summary(V.verify(table(spark, sf, "lineitem"), [V.row_count(), V.value_range("l_quantity", 0, 40), *(V.non_negative(c) for c in NUMBERS)]))
+
+
+@query("dq17_contract", "select 'width' as check_id, '*' as column, '11 filled=' || count(*) as observed, '11' as threshold, true as passed from lineitem union all " + _check("row_floor", "*", "cast(count(*) as varchar)", ">=1000", "count(*) >= 1000", "lineitem") + " union all " + _check("range", "l_extendedprice", f"{_dec('min(l_extendedprice)')} || '..' || {_dec('max(l_extendedprice)')} || ' nulls=0'", "0..200000", "min(l_extendedprice) >= 0 and max(l_extendedprice) <= 200000", "lineitem"))
+def dq17(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return V.schema_checks(rows, width=11).unionByName(V.verify(rows, [V.row_count(1000, "row_floor"), V.value_range("l_extendedprice", 0, 200000)]))
+
+
+# Drift --------------------------------------------------------------------------------------------------------------
+
+_MONTH = "strftime(o_orderdate, '%Y-%m')"
+_SHARES = f"s as (select {_MONTH} as part, {B} as band, count(*) as n from orders group by 1, 2), h as (select part, band, n, round(100.0 * n / sum(n) over (partition by part), 6) as pct from s)"
+
+
+def _month():
+    return F.date_format("o_orderdate", "yyyy-MM")
+
+
+@query("dr1_band_share_by_partition", f"with {_SHARES} select part, band, n, pct from h")
+def dr1(spark, sf):
+    return D.band_share_by_partition(table(spark, sf, "orders", "o_orderdate", "o_totalprice"), _month(), price_band())
+
+
+@query("dr2_density_by_partition", f"with p as (select {_MONTH} as part, cast(least(floor(o_totalprice / 50000), 9) as int) as bin from orders where o_totalprice between 0 and 500000) select part, bin, min(round(bin * 50000.0::double, 6)) as low, round(count(*) / sum(count(*)) over (partition by part) / 50000, 12) as density from p group by part, bin")
+def dr2(spark, sf):
+    return D.density_by_partition(table(spark, sf, "orders", "o_orderdate", "o_totalprice"), _month(), "o_totalprice", 10, (0, 500_000))
+
+
+@query("dr3_share_delta", f"with {_SHARES} select coalesce(a.band, b.band) as band, coalesce(a.pct, 0) as a_pct, coalesce(b.pct, 0) as b_pct, round(coalesce(b.pct, 0) - coalesce(a.pct, 0), 6) + 0.0 as delta from (select * from h where part = '1995-01') a full join (select * from h where part = '1995-02') b on a.band = b.band")
+def dr3(spark, sf):
+    shares = D.band_share_by_partition(table(spark, sf, "orders", "o_orderdate", "o_totalprice"), _month(), price_band())
+    return D.share_delta(shares, "1995-01", "1995-02")
