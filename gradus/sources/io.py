@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -35,8 +38,6 @@ def read_large_window_zstd(spark: SparkSession, paths: Sequence[str], start: str
             for path in batch["path"]:
                 rest = ""
                 with open(path, "rb") as file, zstandard.ZstdDecompressor(max_window_size=window).stream_reader(file) as stream:
-                    import io
-
                     lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
                     while part := lines.read(1 << 22):
                         *done, rest = (rest + part).replace("\r\n", "\n").split(gap + start)
@@ -99,10 +100,10 @@ def load_artifacts(spark: SparkSession, path: str, version: str) -> dict:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
+    """A new path in the folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
+    Only where none is set, as in tests on one machine, a temporary folder takes its place.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-gradus-")
