@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradus.sources.io import scratch
+
 #: The characters that separate words, and the pattern of a word.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,22 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where none is set, as in tests on one machine, a temporary folder takes its place.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-gradus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gradus/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,7 +41,7 @@ def text_of(column: str = "text") -> Column:
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Groups of consecutive rows with equal keys, as columns, from the batches of a sorted partition.
 
-    Numbers become numpy arrays; other types become lists of bytes or str.  A group may span batches.
+    Whole numbers become numpy arrays; other types, and columns with nulls, arrays of objects.  A group may span batches.
     """
     held: list[dict[str, np.ndarray]] = []
     held_key: tuple | None = None
@@ -66,7 +54,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
             continue
         columns = {}
         for name, column in zip(batch.schema.names, batch.columns):
-            if pa.types.is_integer(column.type):
+            if pa.types.is_integer(column.type) and not column.null_count:
                 columns[name] = column.to_numpy(zero_copy_only=False)
             else:
                 columns[name] = np.array([*column.to_pylist(), None], object)[:-1]

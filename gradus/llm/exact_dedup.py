@@ -13,7 +13,7 @@ The directory and the list of keys with overflow pages have at most ``2 ** DIREC
 input (the capacity grows with it), which is why they may be broadcast.  Texts cross the network once.
 
 Edge cases: a null text counts as empty, all empty texts are equal; among equal rows the longest original text stays,
-then the smallest id; rows that repeat an id are separate rows of the same group; an empty table gives an empty
+then the smallest id (a null id comes last); rows that repeat an id are separate rows of the same group; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -107,7 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         (-F.col("best.order")).alias("keep_id"),
         F.col("rows").alias("group_size"),
-        (F.col("doc_id") == -F.col("best.order")).alias("kept"),
+        F.col("doc_id").eqNullSafe(-F.col("best.order")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

@@ -14,7 +14,7 @@ as many cells as it needs.  Targets are at most twice a source's size, so rates
 
 Edge cases: null texts have size 0 and are taken 0 times; a null source is a source of its own and comes last; a
 source of size 0 has target 0; ties are broken by a hash of the id and then the id, so reruns agree; rows that
-repeat an id are taken one by one; an empty table gives an empty result; other columns are ignored.
+repeat an id, or have none, are taken one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for _, g in sorted_groups(batches, ("source", "none", "cell")):
             copies = round_cell(g["size"].tolist(), g["rate"].tolist(), int(most))
             taken = [n * s for n, s in zip(copies, g["size"].tolist())]
-            ids = pa.array(g["doc_id"], pa.int64(), from_pandas=True)
+            ids = pa.array(g["doc_id"].tolist(), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(g["size"], pa.int64()), pa.array(g["source_size"], pa.int64()), pa.array(g["target"].astype(float), pa.float64()), pa.array(g["rate"].astype(float), pa.float64()), pa.array(copies, pa.int64()), pa.array(taken, pa.int64())], columns)
 
     ordered = dealt.repartition("source", "none", "cell").sortWithinPartitions("source", "none", "cell", F.col("size").desc(), "tie", "doc_id")

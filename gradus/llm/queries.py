@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_rlz_dedup": rlz_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

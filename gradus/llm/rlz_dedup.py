@@ -12,7 +12,8 @@ still be found in another block, so the next factor starts at the first such win
 otherwise at the first indexed window after the boundary.  Factors are duplicate spans.
 
 Edge cases: a null or blank text has no words; texts shorter than a window keep everything; repeats within one document
-stay; rows that repeat an id are one document and get the same result; an empty table gives an empty result; other
+stay; rows that repeat an id are one document and get the same result; rows without an id keep
+everything and are nobody's source; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -116,3 +117,15 @@ def rlz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def op6_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup(documents(spark, sf_dir), keep_text=False)
+
+
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select doc_id, p, array_to_string(words[p:p + 49], ' ') as s from (select doc_id, words, unnest(range(1, len(words) - 48)) as p from w)),
+f as (select s, min(doc_id) as first from win group by s),
+dup as (select doc_id, p, true as hit from win join f using (s) where first < doc_id),
+each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w),
+gone as (select doc_id, i, word, coalesce(max(case when hit then p end) over (partition by doc_id order by i rows unbounded preceding) > i - 50, false) as gone
+         from (select each.*, dup.p, dup.hit from each left join dup on each.doc_id = dup.doc_id and each.i = dup.p)),
+k as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from gone group by doc_id)
+select w.doc_id, len(words) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k on w.doc_id = k.doc_id"""

@@ -14,7 +14,7 @@ fingerprint's component.
 
 Edge cases: a null or blank text has no words and the fingerprint zero, which is linked like any other; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows share fingerprint and
-component; an empty table gives an empty result; other columns are ignored.
+component; rows without an id are in their fingerprint's component and never its name; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

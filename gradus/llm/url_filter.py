@@ -55,8 +55,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def canonical_form(url: Column) -> Column:
     """The address to which servers send variants of an address."""
-    query = F.regexp_replace(F.regexp_extract(url, r"\?([^#]*)", 1), r"(^|&)(utm_[^=&]*|ref|page)(=[^&]*)?(?=&|$)", "")
-    query = F.regexp_replace(query, "^&", "")
+    parts = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(parts, lambda p: ~p.rlike(r"^(utm_[^=]*|ref|page)(=.*)?$")), "&")
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     path = F.regexp_replace(path_of(url), "/$", "")
     whole = F.concat(F.lit("https://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
@@ -90,3 +90,30 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+def _sql(template: str, url: str) -> str:
+    after = f"(case when strpos({url}, '://') > 0 then substr({url}, strpos({url}, '://') + 3) else '' end)"
+    host = f"translate(regexp_extract({after}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = f"regexp_extract({after}, '^[^/?#]*([^?#]*)', 1)"
+    query = f"array_to_string(list_filter(string_split(regexp_extract({url}, '[?]([^#]*)', 1), '&'), lambda p: not regexp_matches(p, '^(utm_[^=]*|ref|page)(=.*)?$')), '&')"
+    return template.replace("HOST", host).replace("PATH", path).replace("QUERY", query)
+
+
+_FITS = [(k, h + p, f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))") for k, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+_RULE = "case " + " ".join(f"when {fits} then '{text}'" for _, text, fits in _FITS) + " end"
+_VERDICT = "case " + " ".join(f"when {fits} then '{kind}'" for kind, _, fits in _FITS) + " end"
+_FORM = "case when HOST <> '' then 'https://' || regexp_replace(HOST, '^(www|m)[.]', '') || regexp_replace(PATH, '/$', '') || case when QUERY = '' then '' else '?' || QUERY end end"
+
+ORACLE = f"""
+with recursive p as (select page_id, url, coalesce({_sql("HOST", "url")}, '') as host, coalesce({_sql("PATH", "url")}, '') as path, coalesce(html, '') as html from pages),
+stated as (select url as a, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) as b from p where host <> ''
+  union all select url, regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) from p where host <> ''
+  union all select url, {_sql(_FORM, "url")} from p where host <> ''),
+whole as (select a, b from stated where coalesce({_sql("HOST", "b")}, '') <> ''),
+links as (select a, b from whole union select b, {_sql(_FORM, "b")} from whole),
+both_ways as (select a, b from links where a <> b union select b, a from links where a <> b),
+reach as (select distinct a as node, a as other from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
+others as (select node, {_sql("HOST", "other")} as host, {_sql("PATH", "other")} as path from reach),
+says as (select node, min({_VERDICT}) as says from others group by node)
+select page_id, host, path, {_RULE} as rule, coalesce({_VERDICT}, says, 'allow') as verdict from p left join says on p.url = says.node"""
