@@ -96,7 +96,7 @@ def io2(spark, sf):
     return io.read_jsonl(spark, path, "o_orderkey long, o_orderpriority string, price double").where("_corrupt_record is null").drop("_corrupt_record")
 
 
-@query("io3_write_jsonl")
+@query("io3_write_jsonl", "select count(*) as lines from orders")
 def io3(spark, sf):
     path = io.scratch(spark, "jsonl")
     io.write_jsonl(table(spark, sf, "orders", "o_orderkey", "o_orderstatus"), path)
@@ -258,7 +258,7 @@ def st1(spark, sf):
     return spark.read.parquet(f"{out}/silver").drop("Moves", "batch")
 
 
-@query("st2_ingest_progress")
+@query("st2_ingest_progress", "select cast(0 as bigint) as batch, count(*) as input_rows from orders")
 def st2(spark, sf):
     return ingest_progress(spark, _streamed(spark, sf)[1]).select("batch", "input_rows")
 

@@ -282,7 +282,7 @@ def sm2(spark, sf):
     return S.stratified_sample(banded_orders(spark, sf), "band", 150, 42, "o_orderkey").select("o_orderkey", "band")
 
 
-@query("sm3_shuffle")
+@query("sm3_shuffle", "select o_orderkey from orders")
 def sm3(spark, sf):
     return S.shuffle(table(spark, sf, "orders", "o_orderkey"), 42, "o_orderkey")
 

@@ -221,7 +221,7 @@ def fe17(spark, sf):
     return _features(order_sequences(spark, sf))
 
 
-@query("fe18_leakage_check")
+@query("fe18_leakage_check", "select *, forbidden or abs(r) > 0.95 as leaks from (" + " union all ".join(f"select '{c}' as column, {str(c == 'l_discount').lower()} as forbidden, round(corr({e}, l_extendedprice), 6) as r from lineitem" for c, e in (("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_tax", "l_tax"), ("copy", "2 * l_extendedprice"))) + ")")
 def fe18(spark, sf):
     rows = table(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax").withColumn("copy", F.col("l_extendedprice") * 2)
     return E.leakage_check(rows, "l_extendedprice", forbidden=["l_discount"])
@@ -238,7 +238,7 @@ def fe20(spark, sf):
     return _features(order_sequences(spark, sf).where(F.size("tokens") >= 2))
 
 
-@query("io11_artifacts")
+@query("io11_artifacts", f"with {_VOCAB} select cast(coalesce(i, 10) as int) as p_brand_index, count(*) as n from part left join v using (p_brand) group by 1")
 def io11(spark, sf):
     parts = table(spark, sf, "part", "p_brand")
     path = scratch(spark, "artifacts")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 def read_records(spark: SparkSession, path: str, start: str = "[Event ", gap: str = "\n\n") -> DataFrame:
     """One row ``record`` for each multi-line record; records begin with ``start`` after a gap.
 
-    Plain files are split between tasks.  Compressed files are read one per task: write them to Parquet once.
+    Plain files are split between tasks.  Compressed files are read one per task: write them to Parquet once.  Gaps are
+    those of plain line feeds; a file with carriage returns must be normalised first.
     """
     text = spark.read.option("lineSep", gap + start).text(path).withColumnRenamed("value", "record")
     whole = F.when(F.col("record").startswith(start), F.col("record")).otherwise(F.concat(F.lit(start), F.col("record")))
