@@ -94,8 +94,16 @@ def is_blank(col: Column) -> Column:
 
 def header(text: Column, key: str) -> Column:
     """Value of a ``[Key "Value"]`` line; null if the line is absent."""
-    pattern = rf'(?m)^\[{key} "([^"\n]*)"\]'
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    return marked_value(header_mark(text, key))
+
+
+def header_mark(text: Column, key: str) -> Column:
+    """A quote and the value of a ``[Key "Value"]`` line, in one match; empty if the line is absent."""
+    return F.regexp_extract(text, rf'(?m)^\[{key} ("[^"\n]*)"\]', 1)
+
+
+def marked_value(mark: Column) -> Column:
+    return F.when(mark != "", F.substring(mark, 2, 1 << 30))
 
 
 def movetext(text: Column) -> Column:

@@ -30,8 +30,18 @@ class QualityRules:
     max_elo: int = 0
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a generator of one row, so that each is evaluated once.
+
+    Filters on columns of a projection are pushed below it with the whole expression in place of every reference; they
+    are not pushed below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_headers(df: DataFrame, keys: Sequence[str] = HEADERS, record: str = "record") -> DataFrame:
-    return df.select("*", *[X.header(F.col(record), k).alias(k) for k in keys])
+    marked = once(df, **{f"__{k}": X.header_mark(F.col(record), k) for k in keys})
+    return marked.select(*df.columns, *[X.marked_value(F.col(f"__{k}")).alias(k) for k in keys])
 
 
 def detect_parse_errors(df: DataFrame, mandatory: str = "Event", record: str = "record") -> DataFrame:
@@ -41,12 +51,11 @@ def detect_parse_errors(df: DataFrame, mandatory: str = "Event", record: str = "
 
 def parse_records(df: DataFrame) -> DataFrame:
     """Header columns, derived columns and ``is_error`` of records."""
-    parsed = detect_parse_errors(parse_headers(df))
-    tokens = X.tokenize_moves(X.movetext(F.col("record")))
-    white, black = X.safe_positive_int(F.col("WhiteElo")), X.safe_positive_int(F.col("BlackElo"))
+    parsed = once(parse_headers(once(df, __body=X.movetext(F.col("record")))), __tokens=X.tokenize_moves(F.col("__body")), __white=X.safe_positive_int(F.col("WhiteElo")), __black=X.safe_positive_int(F.col("BlackElo")))
+    tokens, white, black = F.col("__tokens"), F.col("__white"), F.col("__black")
     return parsed.select(
         "record",
-        "is_error",
+        (F.col("Event").isNull() | F.col("__body").isNull()).alias("is_error"),
         X.entity_id_from_url(F.col("Site")).alias("GameID"),
         X.coalesce_headers(F.col("Event")).alias("Event"),
         X.coalesce_headers(F.col("UTCDate"), F.col("Date")).alias("Date"),
@@ -64,7 +73,7 @@ def parse_records(df: DataFrame) -> DataFrame:
         X.coalesce_headers(F.col("Opening")).alias("Opening"),
         X.coalesce_headers(F.col("TimeControl")).alias("TimeControl"),
         X.coalesce_headers(F.col("Termination")).alias("Termination"),
-        F.coalesce(X.movetext(F.col("record")), F.lit("")).alias("Moves"),
+        F.coalesce("__body", F.lit("")).alias("Moves"),
     )
 
 
