@@ -13,7 +13,12 @@ Both ask which windows of ``width`` consecutive symbols (bytes or words) also st
 4. The operator finds the repeated spans among the contexts of each anchor (suffix array or relative Lempel-Ziv).
 5. ``with_spans`` brings copies and found spans to the documents.
 
-Every step streams through its partitions; nothing is held but a batch or a shard of contexts.
+An anchor inside a passage that very many documents share, at its edge, would meet that many contents.  So a first
+pass over all documents finds *hot* anchors (``hot_anchors``), and their runs are dealt window by window instead: each
+window travels under its own hash, where only equal ones meet.  Which anchors count as hot never changes the result.
+
+Every step streams through its partitions; nothing is held but a batch or a shard of contexts, and contexts of one
+anchor are bounded by the limit above which it is hot.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ RUN = "anchor long, content long, doc_id long, start int, stop int, copy boolean
 PLACE = "kind int, anchor long, doc_id long, start int, stop int"
 COPY, MIXED = 0, 1
 SLICE = 2048  # documents whose runs are held at once
+SEEN, HOT, HOT_BITS = 4, 1024, 20  # an anchor is hot from this count on, over slices that hold it SEEN times or more
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,18 +68,71 @@ def _later(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.n
     return new, later
 
 
-def run_table(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int, within_docs: bool, id_col: str, text_col: str) -> DataFrame:
-    """The runs of all documents; ``copy`` marks those that repeat a run of the same batch."""
+def _sliced(batches: Iterator[pa.RecordBatch], symbols: Callable[[bytes], np.ndarray]) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
+    """(ids, symbols of one text after the other) of slices of documents."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            yield batch.column(0).to_numpy(zero_copy_only=False), (symbols((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(1))
+
+
+def hot_anchors(rows: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int) -> np.ndarray:
+    """The anchors of very many runs, sorted; at most ``2 ** HOT_BITS`` of them, whatever the input.
+
+    Every slice of documents tells which anchors it holds with ``SEEN`` different contents or more.  An anchor is hot when
+    these counts add up to ``HOT``, or to the number of all runs divided by ``2 ** HOT_BITS`` where that is more.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, texts in _sliced(batches, symbols):
+            found = [(r.gram, r.content) for r in (winnow.runs(t, width, gram) for t in texts)]
+            anchors, contents = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            total += len(anchors)
+            different = np.unique(anchors ^ winnow.mixed(contents), return_index=True)[1]
+            anchors = np.sort(anchors[different].view(np.int64))
+            begins = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])) if len(anchors) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(begins, len(anchors)))
+            often = counts >= SEEN
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[begins[often]], pa.int64()), pa.array(counts[often], pa.int64())], ["anchor", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["anchor", "n"])
+
+    counts = written(rows.mapInArrow(told, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    limit = max(HOT, total >> HOT_BITS)
+    found = counts.where(F.col("anchor").isNotNull() & (F.col("n") >= limit)).select("anchor").toPandas()
+    return np.sort(found["anchor"].to_numpy(np.int64))
+
+
+def _by_window(values: np.ndarray, runs: winnow.Runs, hot: np.ndarray, width: int) -> winnow.Runs:
+    """The runs with those of hot anchors replaced by one run for each window, under two hashes of the window."""
+    if not len(hot):
+        return runs
+    anchors = runs.gram.view(np.int64)
+    at = np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)
+    split = hot[at] == anchors
+    if not split.any():
+        return runs
+    sizes = (runs.stop - runs.start)[split]
+    start = np.repeat(runs.start[split] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+    hashes = [winnow.Hashes(v).span(start, start + width) for v in (winnow.mixed(values), values)]
+    parts = [(runs.gram[~split], hashes[0]), (runs.content[~split], hashes[1]), (runs.start[~split], start), (runs.stop[~split], start + 1)]
+    merged_parts = [np.concatenate(p) for p in parts]
+    order = np.argsort(merged_parts[2], kind="stable")
+    return winnow.Runs(*(p[order] for p in merged_parts))
+
+
+def run_table(rows: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int, within_docs: bool) -> DataFrame:
+    """The runs of all documents; ``copy`` marks those that repeat a run of the same slice."""
+    hot = rows.sparkSession.sparkContext.broadcast(hot_anchors(rows, symbols, width, gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [winnow.runs(symbols((x.as_py() or "").encode("utf-8", "surrogatepass")), width, gram) for x in batch.column(1)]
+        for ids, texts in _sliced(batches, symbols):
+            found = [_by_window(t, winnow.runs(t, width, gram), hot.value, width) for t in texts]
             anchor, content = np.concatenate([r.gram for r in found]).view(np.int64), np.concatenate([r.content for r in found]).view(np.int64)
             start, stop = np.concatenate([r.start for r in found]), np.concatenate([r.stop for r in found])
             doc = np.repeat(ids, [len(r.start) for r in found])
-            by = np.argsort(ids, kind="stable")  # so that a stable sort by content leaves each content in order of place
-            if (by[1:] < by[:-1]).any():
+            if (ids[1:] < ids[:-1]).any():  # a stable sort by content then leaves each content in order of place
                 order = np.argsort(doc, kind="stable")
                 anchor, content, start, stop, doc = anchor[order], content[order], start[order], stop[order], doc[order]
             order = np.argsort(anchor ^ winnow.mixed(content.view(np.uint64)).view(np.int64), kind="stable")
@@ -83,7 +142,6 @@ def run_table(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], width: in
             anchor = np.where(copy, winnow.mixed(doc.view(np.uint64)).view(np.int64), anchor)  # copies are done: dealt evenly
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(copy)], ["anchor", "content", "doc_id", "start", "stop", "copy"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     return rows.mapInArrow(cut, RUN)
 
 
@@ -212,6 +270,7 @@ def spans_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 def repeated(docs: DataFrame, symbols, cut, search, width: int, gram: int, within_docs: bool, shard_bytes: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All steps: (doc_id, packed, spans)."""
     texts = packed(docs, id_col, text_col)
-    places = written(classified(run_table(docs, symbols, width, gram, within_docs, id_col, text_col), within_docs), f"{name}-places")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    places = written(classified(run_table(rows, symbols, width, gram, within_docs), within_docs), f"{name}-places")
     found = written(in_shards(contexts(texts, places, cut, width), search, shard_bytes), f"{name}-spans")
     return with_spans(texts, places, found, width)

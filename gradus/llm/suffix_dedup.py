@@ -8,7 +8,8 @@ array is built by induced sorting, and neighbours in it that share ``width`` byt
 prefixes, form the groups of equal strings; all but the earliest of a group are repeats.
 
 Edge cases: a null text is empty; texts shorter than a string keep everything; rows that repeat an id are one document
-as far as order goes, and each gets the same result; an empty table gives an empty result; other columns are ignored.
+as far as order goes, and each gets the same result; rows without an id keep
+everything and are nobody's source; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from gradus.llm.common import documents
 from gradus.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 100, 24
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _BYTES = winnow.mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -97,3 +98,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir), keep_text=False)
+
+
+ORACLE = """
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from b),
+each as (select doc_id, unnest(range(0, n)) as i, h, n from n),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from each where i + 100 <= n),
+f as (select s, min(cast(doc_id as hugeint) * 4294967296 + i) as first from win group by s),
+dup as (select doc_id, i as p from win join f using (s) where first < cast(doc_id as hugeint) * 4294967296 + i),
+gone as (select doc_id, i, byte, coalesce(max(p) over (partition by doc_id order by i rows unbounded preceding) > i - 100, false) as gone
+         from (select each.doc_id, each.i, substr(h, 2 * each.i + 1, 2) as byte, dup.p from each left join dup on each.doc_id = dup.doc_id and each.i = dup.p)),
+edge as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as begins from gone),
+k as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_spans, string_agg(byte, '' order by i) filter (not gone) as kept from edge group by doc_id)
+select n.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from n left join k on n.doc_id = k.doc_id"""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.llm import rlz_dedup, suffix_array, suffix_dedup, winnow
+from gradus.llm import repeats, rlz_dedup, suffix_array, suffix_dedup, winnow
 
 
 def brute_bytes(rows, width):
@@ -86,6 +86,17 @@ def test_rlz_dedup(tables):
     assert rlz_dedup.rlz_dedup(tables[1][0].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 10])
+def test_hot_anchors_change_nothing(spark, tables, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "SEEN", 1)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df, rows = tables[1]
+    text = df.select("doc_id", "text")
+    assert len(repeats.hot_anchors(text, suffix_dedup._symbols, 100, 24)) > 0
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
     for k in range(120):
