@@ -4,7 +4,8 @@ Vectors become integers, floor(256 x).  The inner product is (|q|^2 + |x|^2 - |q
 segments the squared distance is at least the sum over segments of length * ((difference of means)^2 + (difference of
 deviations)^2).  So segment means and deviations bound the score from above: first with one segment, then with 4, then
 with 16 where the dimension allows.  A pair whose bound lies below the query's k-th best score so far is done with;
-survivors go to the next resolution, and those of the finest get their exact score.
+survivors go to the next resolution, and those of the finest get their exact score.  Where a query has no k-th score yet,
+the candidates with the highest bounds are scored first.
 
 Queries and candidates are packed into blocks of ``BLOCK`` vectors of one dimension; every candidate block is dealt
 to every query block of its dimension (a stated query set against all rows, in blocks).  A task scores the blocks it
@@ -14,7 +15,7 @@ all tasks are ranked.  Memory is that of two blocks whatever the input, and neit
 Edge cases: vectors that are null or hold null or non-finite components take no part; equal scores go to the smaller
 id; vectors are compared with those of their own dimension only, those without components score 0; a query is never
 its own result, but a row that repeats its id isn't either; a query with fewer than k others gets all; empty tables
-give empty results; other columns are ignored.  Scores are exact 64-bit integers; components must be below 2**40.
+give empty results; other columns are ignored.  Scores are exact integers as long as they fit 64 bits.
 """
 
 from __future__ import annotations
@@ -51,16 +52,26 @@ class Block:
                 root = np.sqrt(length)
                 self.levels.append(np.hstack([mean * root, np.sqrt(np.maximum(square - mean**2, 0)) * root]))
 
-    def bound(self, other: Block, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores of pairs, with room for rounding."""
-        gap = ((self.levels[level][i] - other.levels[level][j]) ** 2).sum(axis=1)
-        top = self.norms[i] + other.norms[j]
+    def bounds(self, rows: np.ndarray, other: Block, columns: np.ndarray, level: int) -> np.ndarray:
+        """Upper bounds of the scores of some vectors with some of another block, with room for rounding."""
+        top = self.norms[rows, None] + other.norms[columns]
+        if not self.levels:
+            return top / 2
+        a, b = self.levels[level][rows], other.levels[level][columns]
+        gap = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * (a @ b.T)
         return (top - gap) / 2 + 1e-9 * top + 1e-6
 
     def scores(self, other: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        if self.exact and other.exact:
-            return np.einsum("nd,nd->n", self.floats[i], other.floats[j]).astype(np.int64)
-        return np.einsum("nd,nd->n", self.vectors[i], other.vectors[j])
+        """Exact scores of pairs: by one product of matrices where the pairs are a good part of it, else pair by pair."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        if not (self.exact and other.exact):
+            return np.einsum("nd,nd->n", self.vectors[i], other.vectors[j])
+        rows, r = np.unique(i, return_inverse=True)
+        columns, c = np.unique(j, return_inverse=True)
+        if len(i) * 16 >= len(rows) * len(columns):
+            return (self.floats[rows] @ other.floats[columns].T)[r, c].astype(np.int64)
+        return np.einsum("nd,nd->n", self.floats[i], other.floats[j]).astype(np.int64)
 
 
 class Best:
@@ -73,25 +84,28 @@ class Best:
         self.filled = np.zeros((n, k), bool)
 
     def meet(self, candidates: Block) -> None:
-        q, n = self.queries, len(candidates.ids)
-        for at in range(0, len(q.ids), 64):  # a slice of queries against the block
-            rows = np.arange(at, min(at + 64, len(q.ids)))
-            least = np.where(self.filled[rows, -1], self.score[rows, -1], np.iinfo(np.int64).min).astype(float)
-            if q.levels:  # all pairs at the coarsest resolution, as matrices
-                a, b = q.levels[0][rows], candidates.levels[0]
-                top = q.norms[rows, None] + candidates.norms[None, :]
-                gap = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
-                i, j = np.nonzero((top - gap) / 2 + 1e-9 * top + 1e-6 >= least[:, None])
-            else:
-                i, j = np.repeat(np.arange(len(rows)), n), np.tile(np.arange(n), len(rows))
-            for level in range(1, len(q.levels)):
-                keep = q.bound(candidates, level, rows[i], j) >= least[i]
-                i, j = i[keep], j[keep]
-            keep = q.ids[rows[i]] != candidates.ids[j]
-            i, j = i[keep], j[keep]
-            score = q.scores(candidates, rows[i], j)
-            keep = score >= least[i]
-            self._merge(rows, i[keep], candidates.ids[j[keep]], score[keep])
+        q, every = self.queries, np.arange(len(candidates.ids))
+        finest = max(0, len(q.levels) - 1)
+        for at in range(0, len(q.ids), 128):  # a slice of queries against the block
+            rows = np.arange(at, min(at + 128, len(q.ids)))
+            alive, columns = np.ones((len(rows), len(every)), bool), every
+            if not self.filled[rows].all() and len(every) > 8 * self.k:  # the most promising give a first threshold
+                best = np.argpartition(-q.bounds(rows, candidates, every, finest), 4 * self.k, axis=1)[:, : 4 * self.k]
+                self._take(candidates, rows, np.repeat(np.arange(len(rows)), 4 * self.k), best.ravel())
+                alive[np.arange(len(rows))[:, None], best] = False
+            least = np.where(self.filled[rows, -1], self.score[rows, -1], np.iinfo(np.int64).min).astype(float)[:, None]
+            for level in range(finest + 1):
+                alive[:, columns] &= q.bounds(rows, candidates, columns, level) >= least
+                columns = np.flatnonzero(alive.any(axis=0))
+            self._take(candidates, rows, *np.nonzero(alive))
+
+    def _take(self, candidates: Block, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Score pairs exactly and keep the best."""
+        keep = self.queries.ids[rows[i]] != candidates.ids[j]
+        i, j = i[keep], j[keep]
+        score = self.queries.scores(candidates, rows[i], j)
+        keep = ~self.filled[rows[i], -1] | (score >= self.score[rows[i], -1])
+        self._merge(rows, i[keep], candidates.ids[j[keep]], score[keep])
 
     def _merge(self, rows: np.ndarray, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         held = self.filled[rows]
