@@ -31,7 +31,7 @@ BITS = 15
 ORDERS = (1, 2, 3)
 EVIDENCE = 40
 UNKNOWN = "und"
-SLICE = 1 << 20  # characters that are hashed at once
+SLICE = 1 << 18  # characters that are hashed at once
 
 # Odd multipliers of the gram hash, one for each place.
 _PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
