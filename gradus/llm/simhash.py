@@ -9,12 +9,12 @@ m starts, by the two equal segments together with two of the next three (one of
 
 Equal fingerprints are put together before any of this.  A key with very many different fingerprints is dealt out in
 blocks, every pair of blocks being one unit of work, so no task holds more than two blocks; a unit emits a spanning
-forest of its links rather than its pairs.  Components of the links follow, then every document joins its
-fingerprint's component.
+forest of its links rather than its pairs.  Components of the links follow, in which fingerprints stand for themselves;
+a component is then named by the smallest id of its documents, and every document joins its fingerprint's component.
 
 Edge cases: a null or blank text has no words and the fingerprint zero, which is linked like any other; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows share fingerprint and
-component; rows without an id are in their fingerprint's component and never its name; an empty table gives an empty result; other columns are ignored.
+component; rows without an id link like any other and never name a component (one of such rows only has no name); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,8 +164,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, fingerprint (hexadecimal) and component_id, the smallest id that can be reached."""
     made = written(fingerprints(docs, id_col, text_col, words, once), "op4-fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("id")), "op4-distinct")
-    found = components(links(distinct, block, segments), "a", "b")
-    placed = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    found = components(links(distinct.select("fp", F.col("fp").alias("id")), block, segments), "a", "b")
+    placed = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    placed = placed.join(named, "root").select("fp", "component_id")
     return made.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

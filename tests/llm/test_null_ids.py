@@ -36,3 +36,15 @@ def test_nulls_are_nobodys_source(rows):
     # the e of "elf" goes too: "eins" began with one
     words = {r.doc_id: r.n_removed for r in rlz_dedup.rlz_dedup(rows).where("doc_id is not null").collect()}
     assert words == {BIG: 0, BIG + 1: len(LONG.split())}
+
+
+def test_simhash_links_across_rows_without_id(spark):
+    texts = [" ".join(f"w{(i * 7 + k) % 400 if i % (k + 2) == 0 else i}" for i in range(60)) for k in range(120)]
+    fps = [simhash.fingerprint(t, 3) for t in texts]
+    near = lambda i, j: 0 < bin(fps[i] ^ fps[j]).count("1") <= 3
+    everything = range(len(texts))
+    a, bridge, b = next((i, k, j) for k in everything for i in everything if near(i, k) for j in everything if near(k, j) and fps[i] != fps[j] and not near(i, j))
+    far = next(i for i in everything if all(bin(fps[i] ^ fps[k]).count("1") > 3 for k in (a, bridge, b)))
+    rows = spark.createDataFrame([(BIG + 1, texts[a]), (None, texts[bridge]), (BIG + 3, texts[b]), (None, texts[far])], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert got == {(BIG + 1, f"{fps[a]:016x}"): BIG + 1, (None, f"{fps[bridge]:016x}"): BIG + 1, (BIG + 3, f"{fps[b]:016x}"): BIG + 1, (None, f"{fps[far]:016x}"): None}
