@@ -7,10 +7,14 @@ Constraints of different sources touch different documents, so the Newton steps
 one expression over a table with a row per source, whose sums Spark has pre-aggregated from all documents; the number
 of sources may be any.
 
-Rates become copies: within cells of about ``CELL`` documents of one source, from long to short, a document is taken
-once more whenever the words owed to the cell exceed half its size.  The words owed at the end of a cell are at most
-half of its last document's, so sources meet their targets closely; a source with any share of all rows is dealt over
-as many cells as it needs.  Targets are at most twice a source's size, so rates are at most 2 and so are copies.
+Rates become copies by size classes (lengths of the size in bits).  Classes of at most ``FEW`` cells of a source, and
+at most 64 of them, are settled in one sequence from long to short: a document is taken so that what is left of the
+target stays within reach of all shorter documents and the rest, and otherwise as often as the words owed say.  The
+remaining target then gives the rate of the other classes.  These are dealt over cells of about ``CELL`` documents of one
+source and class, in which a document is taken once more whenever the words owed exceed half its size.  Sizes of a cell
+differ by less than a factor of two, so a cell misses by at most half of its longest document; a source with any share of
+all rows is dealt over as many cells as it needs.  Targets are at most twice a source's size, so rates are at most 2 and
+so are copies.
 
 Edge cases: null texts have size 0 and are taken 0 times; a null source is a source of its own and comes last; a
 source of size 0 has target 0; ties are broken by a hash of the id and then the id, so reruns agree; rows that
@@ -31,6 +35,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 CELL = 256
+FEW = 4  # cells; a class of at most so many is settled in one sequence
 NEWTON_STEPS = 60
 BROADCAST_SOURCES = 100_000
 
@@ -81,29 +86,66 @@ def round_cell(sizes: list[int], rates: list[float], most: int) -> list[int]:
     return copies
 
 
+def settle(sizes: list[int], rate: float, target: float, rest: int, most: int) -> list[int]:
+    """Copies of a source's documents (long ones first) towards a target for them and ``rest`` words that follow."""
+    owed, after, copies = 0.0, sum(sizes) + rest, []
+    for size in sizes:
+        owed += size * rate
+        after -= size
+        miss = lambda n: round(max(0.0, n * size - target, target - n * size - most * after), 3)  # noqa: B023, E731
+        n = min(range(most + 1), key=lambda n: (miss(n), abs(owed - n * size))) if size else 0  # noqa: B023
+        owed -= n * size
+        target -= n * size
+        copies.append(n)
+    return copies
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, cell: int = CELL) -> DataFrame:
     """Per row: doc_id, size, source_size, target, rate, copies and taken (copies times size)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
-    sizes = written(rows, "op2-sizes")
+    size = size_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    sizes = written(rows, "op2-sizes").withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
     sources = written(targets(sizes, weights, share, most), "op2-sources").withColumn("rate", F.least(F.lit(most), tilt(F.col("source_size").cast("double"), F.col("target"))))
-    side = sources.withColumnRenamed("source", "its")
-    side = F.broadcast(side) if sources.count() <= BROADCAST_SOURCES else side
-    cells = F.ceil(F.col("docs") / cell)
-    dealt = sizes.join(side, F.col("source").eqNullSafe(F.col("its"))).select(
-        F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), F.pmod(F.xxhash64("doc_id"), cells).alias("cell"),
-        "doc_id", "size", "source_size", "target", F.col("rate"), F.xxhash64("doc_id", F.lit(1)).alias("tie"),
-    )
+    sources = sources.drop("docs").withColumnRenamed("source", "its")
+    classes = sizes.groupBy("source", "class").agg(F.count("*").alias("class_docs"), F.sum("size").alias("class_size"))
+    side = written(classes.join(sources, F.col("source").eqNullSafe(F.col("its"))).select(F.col("source").alias("its"), F.col("class").alias("its_class"), "class_docs", "class_size", "source_size", "target", "rate"), "op2-classes")
+    rest = side.groupBy(F.col("its").alias("whose")).agg(F.sum(F.when(F.col("class_docs") > FEW * cell, F.col("class_size")).otherwise(0)).alias("rest"))
+    side = written(side.join(rest, F.col("its").eqNullSafe(F.col("whose"))).drop("whose", "class_size"), "op2-sides")
+    small = side.count() <= BROADCAST_SOURCES
+    hint = F.broadcast if small else (lambda df: df)
     columns = ["doc_id", "size", "source_size", "target", "rate", "copies", "taken"]
+    schema = "doc_id long, size long, source_size long, target double, rate double, copies long, taken long"
+
+    def dealt(side: DataFrame, cells: Column, *more: str) -> DataFrame:
+        met = sizes.join(hint(side), F.col("source").eqNullSafe(F.col("its")) & (F.col("class") == F.col("its_class"))).select(
+            F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), *more, F.pmod(F.xxhash64("doc_id"), cells).alias("cell"),
+            "doc_id", "size", "source_size", "target", "rate", "rest", F.xxhash64("doc_id", F.lit(1)).alias("tie"),
+        )
+        keys = ["source", "none", *[m for m in more if m == "class"], "cell"]
+        return met.repartition(*keys).sortWithinPartitions(*keys, F.col("size").desc(), "tie", "doc_id")
+
+    def rows_of(g: dict, copies: list[int]) -> list[pa.Array]:
+        taken = [n * s for n, s in zip(copies, g["size"].tolist())]
+        return [pa.array(g["doc_id"].tolist(), pa.int64()), pa.array(g["size"], pa.int64()), pa.array(g["source_size"], pa.int64()), pa.array(g["target"].astype(float), pa.float64()), pa.array(g["rate"].astype(float), pa.float64()), pa.array(copies, pa.int64()), pa.array(taken, pa.int64())]
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (source, none, _), g in sorted_groups(batches, ("source", "none", "cell")):
+            n = len(g["size"])
+            copies = settle(g["size"].tolist(), float(g["rate"][0]), float(g["target"][0]), int(g["rest"][0]), int(most))
+            yield pa.RecordBatch.from_arrays([pa.array([None if none else source] * n, pa.string()), *rows_of(g, copies)], ["source", *columns])
 
     def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, g in sorted_groups(batches, ("source", "none", "cell")):
-            copies = round_cell(g["size"].tolist(), g["rate"].tolist(), int(most))
-            taken = [n * s for n, s in zip(copies, g["size"].tolist())]
-            ids = pa.array(g["doc_id"].tolist(), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(g["size"], pa.int64()), pa.array(g["source_size"], pa.int64()), pa.array(g["target"].astype(float), pa.float64()), pa.array(g["rate"].astype(float), pa.float64()), pa.array(copies, pa.int64()), pa.array(taken, pa.int64())], columns)
-
-    ordered = dealt.repartition("source", "none", "cell").sortWithinPartitions("source", "none", "cell", F.col("size").desc(), "tie", "doc_id")
-    return ordered.mapInArrow(rounded, "doc_id long, size long, source_size long, target double, rate double, copies long, taken long")
+        for _, g in sorted_groups(batches, ("source", "none", "class", "cell")):
+            copies = round_cell(g["size"].tolist(), g["now"].tolist(), int(most))
+            yield pa.RecordBatch.from_arrays(rows_of(g, copies), columns)
+
+    few = written(dealt(side.where(F.col("class_docs") <= FEW * cell), F.lit(1)).mapInArrow(settled, f"source string, {schema}"), "op2-settled")
+    spent = few.groupBy(F.col("source").alias("whose")).agg(F.sum("taken").alias("spent"))
+    left = F.col("target") - F.coalesce("spent", F.lit(0))
+    now = F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.least(F.lit(most), left / F.col("rest")))).otherwise(0.0)
+    many = side.where(F.col("class_docs") > FEW * cell).join(spent, F.col("its").eqNullSafe(F.col("whose")), "left").withColumn("now", now).drop("whose", "spent")
+    others = dealt(many, F.ceil(F.col("class_docs") / cell), "class", "now").mapInArrow(rounded, schema)
+    return few.select(columns).unionByName(others)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,19 @@ def test_mixing(docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_with_very_long_documents(spark):
+    rng = np.random.default_rng(5)
+    for long, n in ((200_000, 20), (1_000_000, 1), (30_000, 300)):
+        short = rng.integers(50, 400, 5000).tolist()
+        sizes = [(s, "a") for s in [long] * n + short] + [(s, "b") for s in short[:2000]]
+        df = spark.createDataFrame([(i, src, "w " * s) for i, (s, src) in enumerate(sizes)], "doc_id long, source string, text string")
+        for share in (0.3, 0.7):
+            taken, goal = {}, {}
+            for r, (_, src) in ((r, sizes[r.doc_id]) for r in mixing.mix(df, share=share).collect()):
+                taken[src], goal[src] = taken.get(src, 0) + r.taken, r.target
+            assert all(abs(taken[s] - goal[s]) <= 0.003 * goal[s] for s in goal), (long, share, taken, goal)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     made = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(300)]
