@@ -11,6 +11,9 @@ of documents.
    themselves miss (see the README for measured recall).
 4. mixing repeats documents, or leaves them out, so that sources meet their target weights.
 5. BPE encodes and decodes what is left, one row per document of the mix.
+
+Rows count one by one: those without an id, or with the id of another row, are judged by their own text.  Of equal or
+near-equal rows the one with the smallest id stays (no id comes last) among those that a stage does not rank otherwise.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from gradus.llm import bpe, exact_dedup, language_id, mixing, simhash
 from gradus.llm.common import written
 
 LEAST_SCORE = 0.5
+ROW = "__row_key"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +35,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select("__row.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, fixed by writing them; decisions are joined on it, since ids may be null or repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    rows = keyed(docs)
+    kept = exact_dedup.exact_dedup(rows, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, words=1, once=True, segments=16)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = keyed(docs)
+    groups = simhash.near_duplicates(rows, ROW, words=1, once=True, segments=16).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    kept = groups.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies"))
-    repeated = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    rows = keyed(docs)
+    mixed = mixing.mix(rows.withColumn("__tie", F.coalesce(F.col("doc_id"), ROW)), ROW, tie_col="__tie")
+    copies = mixed.where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").alias("__copies"))
+    repeated = rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return repeated.select(docs.columns)
 
 

@@ -61,15 +61,20 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> list[Buc
     return directory
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, directory_bits: int = DIRECTORY_BITS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept and text_sha256 (of the text without blanks)."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, directory_bits: int = DIRECTORY_BITS, row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept and text_sha256 (of the text without blanks).
+
+    With ``row_col``, a number of at least 0 unlike in all rows, it follows as row, and just one row of a group is kept.
+    """
     spark = docs.sparkSession
+    row = ["row"] if row_col else []
     rows = docs.select(
+        *[F.col(row_col).alias(r) for r in row],
         F.col(id_col).alias("doc_id"),
         F.length(text_of(text_col)).cast("long").alias("points"),
         F.regexp_replace(text_of(text_col), r"[\x20\x09-\x0D]+", "").alias("norm"),
     ).withColumn("h", F.xxhash64("norm"))
-    index = written(rows.select("doc_id", "points", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "op8-entries")
+    index = written(rows.select(*row, "doc_id", "points", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "op8-entries")
 
     n = index.count()
     capacity = max(capacity, n >> directory_bits)
@@ -89,11 +94,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.withColumn("slot", slot)
         .join(F.broadcast(lookup), "slot")
         .join(F.broadcast(overflow), "h", "left")
-        .withColumn("page", F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64("doc_id", "points"), "pages")))
-        .select("bucket", "page", "h", "norm", "doc_id", "points")
+        .withColumn("page", F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64("doc_id", "points", *row), "pages")))
+        .select("bucket", "page", "h", "norm", "doc_id", "points", *row)
         .repartition("bucket", "page")
     )
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("order"))).alias("best")
+    best = F.max(F.struct("points", (-F.col("doc_id")).alias("order"), *[(-F.col(r)).alias(r) for r in row])).alias("best")
     chains = written(
         dealt.groupBy("bucket", "page", "h", "norm")
         .agg(F.count("*").alias("rows"), best)
@@ -107,8 +112,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         (-F.col("best.order")).alias("keep_id"),
         F.col("rows").alias("group_size"),
-        F.col("doc_id").eqNullSafe(-F.col("best.order")).alias("kept"),
+        (F.col("row") == -F.col("best.row") if row_col else F.col("doc_id").eqNullSafe(-F.col("best.order"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *row,
     )
 
 

@@ -100,10 +100,10 @@ def settle(sizes: list[int], rate: float, target: float, rest: int, most: int) -
     return copies
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, cell: int = CELL) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, rate, copies and taken (copies times size)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, cell: int = CELL, tie_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, rate, copies and taken (copies times size); ``tie_col`` is hashed for the id."""
     size = size_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(tie_col or id_col).cast("long").alias("by"))
     sizes = written(rows, "op2-sizes").withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
     sources = written(targets(sizes, weights, share, most), "op2-sources").withColumn("rate", F.least(F.lit(most), tilt(F.col("source_size").cast("double"), F.col("target"))))
     sources = sources.drop("docs").withColumnRenamed("source", "its")
@@ -118,8 +118,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def dealt(side: DataFrame, cells: Column, *more: str) -> DataFrame:
         met = sizes.join(hint(side), F.col("source").eqNullSafe(F.col("its")) & (F.col("class") == F.col("its_class"))).select(
-            F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), *more, F.pmod(F.xxhash64("doc_id"), cells).alias("cell"),
-            "doc_id", "size", "source_size", "target", "rate", "rest", F.xxhash64("doc_id", F.lit(1)).alias("tie"),
+            F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), *more, F.pmod(F.xxhash64("by"), cells).alias("cell"),
+            "doc_id", "size", "source_size", "target", "rate", "rest", F.xxhash64("by", F.lit(1)).alias("tie"),
         )
         keys = ["source", "none", *[m for m in more if m == "class"], "cell"]
         return met.repartition(*keys).sortWithinPartitions(*keys, F.col("size").desc(), "tie", "doc_id")

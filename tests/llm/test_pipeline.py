@@ -79,3 +79,15 @@ def test_odd_documents(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark, data):
+    prose = lambda word: " ".join(f"{word}{k}" for k in range(40))
+    rows = [(None, prose("one")), (None, prose("two")), (7, prose("three")), (7, prose("four")), (7, prose("five")), (8, prose("five")), (None, prose("five")), (None, prose("six")), (None, prose("six"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        docs = stage(spark, docs, data).cache()
+        want = [(None, prose("one")), (None, prose("two")), (7, prose("three")), (7, prose("four")), (7, prose("five")), (None, prose("six"))]
+        assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want)
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, data).collect())
+    assert sum(mixed.values()) == 9 and set(mixed) <= set(want) and max(mixed.values()) <= 2
