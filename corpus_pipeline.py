@@ -6,9 +6,9 @@ of documents.
 1. language ID drops documents that the classifier rejects: those without a letter, and those whose best language
    has a posterior below ``LEAST_SCORE``.
 2. exact deduplication keeps one document of each group of equal texts.
-3. SimHash near-deduplication keeps one document of each group.  Fingerprints are of the distinct words and link at 6
-   bits, which for texts that share 0.8 or more of their five-word shingles finds what fingerprints of the shingles
-   themselves miss (see the README for measured recall).
+3. SimHash near-deduplication keeps one document of each group.  Fingerprints of the distinct words within 6 bits, for
+   either of two seeds, give candidates; only texts that share 0.8 or more of their five-word shingles are linked (see
+   the README for precision and recall).
 4. mixing repeats documents, or leaves them out, so that sources meet their target weights.
 5. BPE encodes and decodes what is left, one row per document of the mix.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, exact_dedup, language_id, mixing, simhash
+from gradus.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from gradus.llm.common import written
 
 LEAST_SCORE = 0.5
@@ -48,9 +48,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    groups = simhash.near_duplicates(rows, ROW, words=1, once=True, segments=16).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = near_dedup.near_groups(rows, ROW).select(F.col("row").alias(ROW), "group")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    kept = groups.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    kept = groups.join(rows.select("doc_id", ROW), ROW).groupBy("group").agg(first.alias(ROW)).select(ROW)
     return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 

@@ -37,7 +37,7 @@ BLOCK = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int, once: bool = False) -> int:
+def fingerprint(text: str | None, words: int, once: bool = False, seed: int = SEED) -> int:
     """Majority of the bits of the XXH64 of all shingles, repeats included (or each shingle once)."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, words: int, once: bool = False) -> int:
     if once:
         shingles = list(set(shingles))
     n = len(shingles)
-    columns = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, n).view(np.uint8).reshape(n, 8)
+    columns = np.fromiter((digest(x, seed) for x in shingles), np.uint64, n).view(np.uint8).reshape(n, 8)
     set_bits = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -131,7 +131,7 @@ def links(distinct: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) ->
     keyed = written(distinct.select("fp", "id", F.explode(chain_keys(segments)).alias("key")), "op4-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    met = keyed.join(shared, "key").select("key", "fp", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
+    met = keyed.join(shared, "key").select("key", "fp", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", "id"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = met.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "id")
     names = ["key", "low", "high", "fp", "id"]

@@ -91,3 +91,13 @@ def test_rows_without_or_with_repeated_ids(spark, data):
         assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want)
     mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, data).collect())
     assert sum(mixed.values()) == 9 and set(mixed) <= set(want) and max(mixed.values()) <= 2
+
+
+def test_near_stage_links_by_five_word_shingles(spark, data):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(w) for w in (words, words[::-1], [*words[:-1], "end"], [f"x{k}" if k % 9 == 0 else w for k, w in enumerate(words)])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, data).collect()) == [0, 1, 3]
+    for block in (1, 4096):  # pairs of blocks find the same
+        groups = {r.row: r.group for r in corpus_pipeline.near_dedup.near_groups(docs, "doc_id", block=block).collect()}
+        assert groups[0] == groups[2] and len({groups[i] for i in range(4)}) == 3
