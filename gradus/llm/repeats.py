@@ -2,28 +2,32 @@
 
 Both ask which windows of ``width`` consecutive symbols (bytes or words) also start earlier.  The steps:
 
-1. ``winnow`` cuts every document into runs of windows with one anchor; a run travels as its anchor hash, the hash of
-   all it covers, and its place.  Equal windows have equal anchors, so they meet under one anchor hash.
-2. ``classified`` streams the runs in order of (anchor, content, place).  A run whose whole content stands earlier is a
-   *copy*: all its windows are repeats.  Runs of one anchor with different contents are *mixed*: some of their windows
-   may be equal, which only the operator's own method can tell; their first occurrences go on to it.  Runs whose anchor
-   has one content only are originals.  Copies inside one batch of documents are set apart before the shuffle, so a
-   passage in a third of all documents sends a row per batch.
-3. ``contexts`` brings the texts to the mixed runs and cuts out what these cover.  Texts cross the network compressed.
-4. The operator finds the repeated spans among the contexts of each anchor (suffix array or relative Lempel-Ziv).
-5. ``with_spans`` brings copies and found spans to the documents.
-
-An anchor inside a passage that very many documents share, at its edge, would meet that many contents.  So a first
-pass over all documents finds *hot* anchors (``hot_anchors``), and their runs are dealt window by window instead: each
-window travels under its own hash, where only equal ones meet.  Which anchors count as hot never changes the result.
-
-Every step streams through its partitions; nothing is held but a batch or a shard of contexts, and contexts of one
-anchor are bounded by the limit above which it is hot.
+1. ``stored`` writes the texts once, compressed, each row under a key of its own, so ids may repeat.
+2. ``run_table`` cuts every text into runs of windows with one anchor (``winnow``); a run travels as its anchor hash, the
+   hash of all it covers, and its place.  Equal windows have equal anchors, so they meet under one anchor hash.  Runs
+   whose symbols equal those of an earlier run of the same slice of rows are set apart before the shuffle, so a passage
+   in a third of all documents sends a row per slice.
+3. ``classified`` streams the runs in order of (anchor, content, place).  Hashes only place candidates: a run whose
+   content hash stands earlier is *claimed* to equal the run before it, and ``checked`` compares the symbols themselves.
+   Runs of one anchor with different contents are *mixed*: some of their windows may be equal, which the operator's own
+   method tells; their first occurrences go on to it.  Runs whose anchor has one content only are originals.
+4. ``pieces`` brings the texts to claimed and mixed runs and cuts out what these cover, neighbouring claims as one piece.
+5. The operator finds the repeated spans among the contexts of each anchor (suffix array or relative Lempel-Ziv).
+6. ``with_spans`` brings all spans to the documents.
+
+If a comparison fails, two contents share their hashes: the claims of those anchors are void, and all their runs go
+through the operator's method.  So no result depends on a hash.
+
+Bounds.  Long texts are cut in pieces of ``PIECE`` windows.  An anchor at the edge of a passage that very many documents
+share would meet that many contents: a first pass finds such *hot* anchors (``hot_anchors``), whose runs are dealt window
+by window instead, each under its own hash.  Contexts of any other anchor beyond ``MOST_BYTES`` are dealt window by
+window afterwards (``leftovers``), so a task holds a batch, a slice or a shard, whatever the anchors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -34,74 +38,69 @@ from pyspark.sql import functions as F
 from gradus.llm import winnow
 from gradus.llm.common import written
 
-RUN = "anchor long, content long, doc_id long, start int, stop int, copy boolean"
-PLACE = "kind int, anchor long, doc_id long, start int, stop int"
-COPY, MIXED = 0, 1
-SLICE = 2048  # documents whose runs are held at once
-SEEN, HOT, HOT_BITS = 4, 1024, 20  # an anchor is hot from this count on, over slices that hold it SEEN times or more
+RUN = "anchor long, content long, doc_id long, row long, start int, stop int, copy boolean"
+PLACE = "kind int, anchor long, doc_id long, row long, start int, stop int, src long, src_start int"
+PART = "anchor long, doc_id long, row long, start int, stop int, src long, src_start int, context binary"
+SPAN = "row long, start int, stop int"
+COPY, MIXED, CLAIM = 0, 1, 2
+SLICE, SLICE_BYTES = 2048, 64 << 20  # a slice of rows ends at either
+PIECE = 1 << 19  # windows of a text that are cut at once
+HOT, HOT_BITS, TRACKED = 1024, 20, 1 << 15  # an anchor with more contents than the first is hot; how many a task tracks
+MOST_BYTES = 32 << 20  # of contexts of one anchor in a shard
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, packed): the texts as compressed UTF-8; null is read as empty."""
+class View(Protocol):
+    """A text as a sequence of symbols."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            out = [squeeze((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+    n: int
+
+    def values(self, start: int, stop: int) -> np.ndarray:
+        """Hashes of the symbols, unsigned 64-bit numbers."""
+
+    def cut(self, start: int, stop: int) -> bytes:
+        """The symbols, in a form that is equal for equal symbols only."""
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "doc_id long, packed binary")
+
+Search = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _later(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, within_docs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (anchor, content, doc, start): where a content begins, and which rows repeat it later."""
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = doc > doc[head]
-    if within_docs:
-        later |= start > start[head]
-    return new, later
+def stored(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(row, doc_id, packed): the texts as compressed UTF-8 under a key for each row; null is read as empty."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            out = [squeeze((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row", "doc_id", "packed"])
 
-def _sliced(batches: Iterator[pa.RecordBatch], symbols: Callable[[bytes], np.ndarray]) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
-    """(ids, symbols of one text after the other) of slices of documents."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            yield batch.column(0).to_numpy(zero_copy_only=False), (symbols((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(1))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return written(rows.mapInArrow(pack, "row long, doc_id long, packed binary"), f"{name}-texts")
 
 
-def hot_anchors(rows: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int) -> np.ndarray:
-    """The anchors of very many runs, sorted; at most ``2 ** HOT_BITS`` of them, whatever the input.
+def _sliced(batches: Iterator[pa.RecordBatch], view: Callable[[bytes], View]) -> Iterator[tuple[np.ndarray, np.ndarray, list[View]]]:
+    """(rows, ids, texts) of slices of rows."""
+    for batch in batches:
+        rows, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("row", "doc_id"))
+        at, size, views = 0, 0, []
+        for k, data in enumerate(batch.column("packed")):
+            data = unpacked(data.as_py())
+            views.append(view(data))
+            size += len(data)
+            if size >= SLICE_BYTES or len(views) == SLICE or k + 1 == batch.num_rows:
+                yield rows[at : k + 1], ids[at : k + 1], views
+                at, size, views = k + 1, 0, []
 
-    Every slice of documents tells which anchors it holds with ``SEEN`` different contents or more.  An anchor is hot when
-    these counts add up to ``HOT``, or to the number of all runs divided by ``2 ** HOT_BITS`` where that is more.
-    """
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for _, texts in _sliced(batches, symbols):
-            found = [(r.gram, r.content) for r in (winnow.runs(t, width, gram) for t in texts)]
-            anchors, contents = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            total += len(anchors)
-            different = np.unique(anchors ^ winnow.mixed(contents), return_index=True)[1]
-            anchors = np.sort(anchors[different].view(np.int64))
-            begins = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])) if len(anchors) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(begins, len(anchors)))
-            often = counts >= SEEN
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[begins[often]], pa.int64()), pa.array(counts[often], pa.int64())], ["anchor", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["anchor", "n"])
-
-    counts = written(rows.mapInArrow(told, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
-    total = counts.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    limit = max(HOT, total >> HOT_BITS)
-    found = counts.where(F.col("anchor").isNotNull() & (F.col("n") >= limit)).select("anchor").toPandas()
-    return np.sort(found["anchor"].to_numpy(np.int64))
+def _runs(text: View, width: int, gram: int, hot: np.ndarray) -> Iterator[winnow.Runs]:
+    """The runs of a text, piece by piece; those of hot anchors window by window."""
+    for at in range(0, text.n - width + 1, PIECE):
+        values = text.values(at, min(at + PIECE + width - 1, text.n))
+        found = _by_window(values, winnow.runs(values, width, gram), hot, width)
+        yield winnow.Runs(found.gram, found.content, found.start + at, found.stop + at)
 
 
 def _by_window(values: np.ndarray, runs: winnow.Runs, hot: np.ndarray, width: int) -> winnow.Runs:
@@ -122,41 +121,126 @@ def _by_window(values: np.ndarray, runs: winnow.Runs, hot: np.ndarray, width: in
     return winnow.Runs(*(p[order] for p in merged_parts))
 
 
-def run_table(rows: DataFrame, symbols: Callable[[bytes], np.ndarray], width: int, gram: int, within_docs: bool) -> DataFrame:
-    """The runs of all documents; ``copy`` marks those that repeat a run of the same slice."""
-    hot = rows.sparkSession.sparkContext.broadcast(hot_anchors(rows, symbols, width, gram))
+def _together(slice_: tuple[np.ndarray, np.ndarray, list[View]], width: int, gram: int, hot: np.ndarray) -> dict[str, np.ndarray]:
+    """The runs of a slice, with the number of their text in it."""
+    found = [(k, r) for k, text in enumerate(slice_[2]) for r in _runs(text, width, gram, hot)]
+    if not found:
+        return {"anchor": np.zeros(0, np.int64)}
+    names = {"anchor": 0, "content": 1, "start": 2, "stop": 3}
+    return {name: np.concatenate([r[k] for _, r in found]).view(np.int64) for name, k in names.items()} | {"text": np.repeat([k for k, _ in found], [len(r.start) for _, r in found])}
+
+
+def _fewer(anchors: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many counters, each less by the count of the first that is left out (the frequent-items bound)."""
+    if len(anchors) <= most:
+        return anchors, counts
+    less = np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+    keep = counts > less
+    return anchors[keep], counts[keep] - less
+
+
+def hot_anchors(texts: DataFrame, view: Callable[[bytes], View], width: int, gram: int) -> np.ndarray:
+    """The anchors of very many runs, sorted; at most ``2 ** HOT_BITS`` of them, whatever the input.
+
+    Every task counts the anchors of its slices (a content once a slice) with ``TRACKED`` counters, each of which is short
+    by at most the task's runs divided by ``TRACKED``.  So an anchor that is not found has fewer contents than ``HOT``
+    plus the share of all runs that 2 ** -15 is, about what a task reads.
+    """
+    none = np.zeros(0, np.int64)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, anchors, counts = 0, none, none
+        for slice_ in _sliced(batches, view):
+            own = _together(slice_, width, gram, none)
+            total += len(own["anchor"])
+            if not len(own["anchor"]):
+                continue
+            different = np.unique(own["anchor"] ^ winnow.mixed(own["content"].view(np.uint64)).view(np.int64), return_index=True)[1]
+            new, n = np.unique(own["anchor"][different], return_counts=True)
+            merged_anchors, place = np.unique(np.concatenate([anchors, new]), return_inverse=True)
+            anchors, counts = _fewer(merged_anchors, np.bincount(place, np.concatenate([counts, n])).astype(np.int64), TRACKED)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array([*anchors[often].tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), total], pa.int64())], ["anchor", "n"])
+
+    counts = written(texts.where("doc_id is not null").mapInArrow(told, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.where("anchor is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = counts.where(F.col("anchor").isNotNull() & (F.col("n") >= max(HOT, total >> HOT_BITS))).select("anchor").toPandas()
+    return np.sort(found["anchor"].to_numpy(np.int64))
+
+
+def _later(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, within_docs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (anchor, content, doc, start): where the content of each begins, and which repeat it later."""
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    later = doc > doc[head]
+    if within_docs:
+        later |= start > start[head]
+    return head, later
+
+
+def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray, shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring runs as one: (first run of each, starts, stops); with ``shift`` only runs of equal shifts join.
+
+    The runs come in order of (row, start).
+    """
+    new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1]) | (False if shift is None else shift[1:] != shift[:-1]))
+    first = np.flatnonzero(new)
+    return first, start[first], np.maximum.reduceat(stop, first)
+
+
+def run_table(texts: DataFrame, view: Callable[[bytes], View], width: int, gram: int, within_docs: bool, hot: np.ndarray) -> DataFrame:
+    """The runs of all texts; ``copy`` marks spans of runs that equal an earlier one of the same slice."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _sliced(batches, symbols):
-            found = [_by_window(t, winnow.runs(t, width, gram), hot.value, width) for t in texts]
-            anchor, content = np.concatenate([r.gram for r in found]).view(np.int64), np.concatenate([r.content for r in found]).view(np.int64)
-            start, stop = np.concatenate([r.start for r in found]), np.concatenate([r.stop for r in found])
-            doc = np.repeat(ids, [len(r.start) for r in found])
+        for slice_ in _sliced(batches, view):
+            rows, ids, views = slice_
+            own = _together(slice_, width, gram, shared.value)
+            if not len(own["anchor"]):
+                continue
+            own |= {"doc_id": ids[own["text"]].astype(np.int64), "row": rows[own["text"]]}
             if (ids[1:] < ids[:-1]).any():  # a stable sort by content then leaves each content in order of place
-                order = np.argsort(doc, kind="stable")
-                anchor, content, start, stop, doc = anchor[order], content[order], start[order], stop[order], doc[order]
-            order = np.argsort(anchor ^ winnow.mixed(content.view(np.uint64)).view(np.int64), kind="stable")
-            _, late = _later(anchor[order], content[order], doc[order], start[order], within_docs)
-            copy = np.zeros(len(doc), bool)
-            copy[order] = late
-            anchor = np.where(copy, winnow.mixed(doc.view(np.uint64)).view(np.int64), anchor)  # copies are done: dealt evenly
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(copy)], ["anchor", "content", "doc_id", "start", "stop", "copy"])
-
-    return rows.mapInArrow(cut, RUN)
+                order = np.lexsort((own["start"], own["doc_id"]))
+                own = {k: v[order] for k, v in own.items()}
+            order = np.argsort(own["anchor"] ^ winnow.mixed(own["content"].view(np.uint64)).view(np.int64), kind="stable")
+            by = {k: v[order] for k, v in own.items()}
+            head, late = _later(by["anchor"], by["content"], by["doc_id"], by["start"], within_docs)
+            late = np.flatnonzero(late)
+            text, start, stop = (by[k].tolist() for k in ("text", "start", "stop"))
+            same = [views[text[a]].cut(start[a], stop[a] + width - 1) == views[text[b]].cut(start[b], stop[b] + width - 1) for a, b in zip(late.tolist(), head[late].tolist())]
+            copy = np.zeros(len(order), bool)
+            copy[order[late[np.array(same, bool)]]] = True
+            done = {k: v[copy] for k, v in own.items()}
+            if copy.any():
+                in_order = np.lexsort((done["start"], done["row"]))
+                done = {k: v[in_order] for k, v in done.items()}
+                first, begin, end = _joined(done["row"], done["start"], done["stop"])
+                done = {k: v[first] for k, v in done.items()} | {"start": begin, "stop": end, "anchor": winnow.mixed(done["row"][first].view(np.uint64)).view(np.int64)}  # dealt evenly
+            kept = {k: np.concatenate([v[~copy], done[k]]) for k, v in own.items()}
+            flags = np.append(np.zeros(int((~copy).sum()), bool), np.ones(len(done["row"]), bool))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(kept[k]) for k in ("anchor", "content", "doc_id", "row")), pa.array(kept["start"], pa.int32()), pa.array(kept["stop"], pa.int32()), pa.array(flags)],
+                ["anchor", "content", "doc_id", "row", "start", "stop", "copy"],
+            )
+
+    return texts.where("doc_id is not null").mapInArrow(cut, RUN)
 
 
 def classified(runs: DataFrame, within_docs: bool) -> DataFrame:
-    """(kind, anchor, doc_id, start, stop): copies, and first occurrences of the contents of mixed anchors."""
+    """Places: copies, claims with the place they are to equal, and first occurrences of the contents of mixed anchors."""
+    names = ["anchor", "content", "doc_id", "start", "stop", "row"]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "content", "doc_id", "start", "stop"]
         held: dict[str, np.ndarray] | None = None  # the firsts of the last anchor, while it has one content
         known: int | None = None  # the last anchor, once it is known to be mixed
-        last: tuple[int, ...] | None = None  # anchor, content, first doc and start of the last content
+        last: list[dict[str, np.ndarray]] = []  # the first and the latest run of the last content
 
-        def out(kind: int, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            n = len(rows["doc_id"])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(rows[k]) for k in ("anchor", "doc_id", "start", "stop"))], ["kind", "anchor", "doc_id", "start", "stop"])
+        def out(kind: int, rows: dict[str, np.ndarray], src: pa.Array | None = None, src_start: pa.Array | None = None) -> pa.RecordBatch:
+            n = len(rows["row"])
+            columns = [pa.array(np.full(n, kind, np.int32)), *(pa.array(rows[k]) for k in ("anchor", "doc_id", "row", "start", "stop"))]
+            columns += [pa.nulls(n, pa.int64()) if src is None else src, pa.nulls(n, pa.int32()) if src_start is None else src_start]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "anchor", "doc_id", "row", "start", "stop", "src", "src_start"])
 
         for batch in batches:
             rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
@@ -166,15 +250,16 @@ def classified(runs: DataFrame, within_docs: bool) -> DataFrame:
                 rows = {k: v[~done] for k, v in rows.items()}
             if not len(rows["anchor"]):
                 continue
-            first = {k: np.concatenate([[x], rows[k]]) for k, x in zip(names, last)} if last else rows
-            new, late = _later(first["anchor"], first["content"], first["doc_id"], first["start"], within_docs)
-            head = np.flatnonzero(new)[-1]
-            last = tuple(int(first[k][head]) for k in names[:4])
-            if len(first["anchor"]) > len(rows["anchor"]):
-                new, late = new[1:], late[1:]
-            if late.any():
-                yield out(COPY, {k: v[late] for k, v in rows.items()})
-            own = {k: v[~late] for k, v in rows.items()} | {"new": new[~late]}
+            ahead = len(last)
+            every = {k: np.concatenate([*(p[k] for p in last), rows[k]]) for k in names} if last else rows
+            head, late = _later(every["anchor"], every["content"], every["doc_id"], every["start"], within_docs)
+            last = [{k: every[k][at : at + 1] for k in names} for at in (head[-1], len(head) - 1)]
+            late[:ahead] = False
+            at = np.flatnonzero(late)
+            if len(at):
+                yield out(CLAIM, {k: v[at] for k, v in every.items()}, pa.array(every["row"][at - 1]), pa.array(every["start"][at - 1]))
+            firsts = np.flatnonzero(~late[ahead:]) + ahead
+            own = {k: v[firsts] for k, v in every.items()} | {"new": head[firsts] == firsts}
             if held is not None:
                 own = {k: np.concatenate([held[k], v]) for k, v in own.items()}
             anchor = own["anchor"]
@@ -193,61 +278,151 @@ def classified(runs: DataFrame, within_docs: bool) -> DataFrame:
     return ordered.mapInArrow(told, PLACE)
 
 
-def contexts(texts: DataFrame, places: DataFrame, cut: Callable[[bytes], Callable[[int, int], bytes]], width: int) -> DataFrame:
-    """(anchor, doc_id, start, context) of the mixed places: what their windows cover."""
-    wanted = places.where(F.col("kind") == MIXED).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor")).alias("wanted"))
+def pieces(texts: DataFrame, places: DataFrame, view: Callable[[bytes], View], width: int) -> DataFrame:
+    """What mixed runs cover (src is null), and what claims cover, neighbours with neighbouring sources as one piece."""
+    fields = ("anchor", "start", "stop", "src", "src_start")
+    wanted = places.where(F.col("kind") != COPY).groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 asked = batch.column("wanted")[at].values
-                start, stop = (asked.field(k).to_numpy(zero_copy_only=False) for k in ("start", "stop"))
-                taken = cut(unpacked(batch.column("packed")[at].as_py()))
-                parts = [taken(s, e + width - 1) for s, e in zip(start.tolist(), stop.tolist())]
-                ids = np.full(len(parts), batch.column("doc_id")[at].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([asked.field("anchor"), pa.array(ids), pa.array(start), pa.array(parts, pa.binary())], ["anchor", "doc_id", "start", "context"])
-
-    return texts.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(cut_out, "anchor long, doc_id long, start int, context binary")
-
-
-def in_shards(found: DataFrame, search: Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], shard_bytes: int) -> DataFrame:
-    """(doc_id, start, stop): the repeated spans among contexts, searched in shards of whole anchors.
-
-    A shard closes at the first change of anchor after ``shard_bytes``.
+                claim = asked.field("src").is_valid().to_numpy(zero_copy_only=False)
+                anchor, start, stop, src, src_start = (asked.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in fields)
+                order = np.flatnonzero(claim)
+                order = order[np.lexsort((start[order], start[order] - src_start[order], src[order]))]
+                first, begin, end = _joined(src[order], start[order], stop[order], (start - src_start)[order]) if len(order) else (order, order, order)
+                order = order[first]
+                mixed = np.flatnonzero(~claim)
+                pick, begin, end = np.concatenate([mixed, order]), np.concatenate([start[mixed], begin]), np.concatenate([stop[mixed], end])
+                text = view(unpacked(batch.column("packed")[at].as_py()))
+                doc, row, none = batch.column("doc_id")[at].as_py(), batch.column("row")[at].as_py(), np.arange(len(pick)) < len(mixed)
+                for a in range(0, len(pick), 4096):
+                    part = slice(a, a + 4096)
+                    n = len(pick[part])
+                    context = [text.cut(s, e + width - 1) for s, e in zip(begin[part].tolist(), end[part].tolist())]
+                    columns = [pa.array(anchor[pick[part]]), pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(begin[part], pa.int32()), pa.array(end[part], pa.int32())]
+                    columns += [pa.array(src[pick[part]], mask=none[part]), pa.array(src_start[pick[part]], pa.int32(), mask=none[part]), pa.array(context, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "row", "start", "stop", "src", "src_start", "context"])
+
+    return texts.join(wanted, "row").select("row", "doc_id", "packed", "wanted").mapInArrow(cut_out, PART)
+
+
+def checked(texts: DataFrame, parts: DataFrame, view: Callable[[bytes], View], width: int) -> DataFrame:
+    """(row, start, stop, same): claimed pieces compared with what stands at their source."""
+    claims = parts.where("src is not null").select(F.col("src").alias("key"), "row", "start", "stop", "src_start", F.col("context").alias("data"))
+    sources = texts.select(F.col("row").alias("key"), *[F.lit(None).cast(t).alias(n) for n, t in (("row", "long"), ("start", "int"), ("stop", "int"), ("src_start", "int"))], F.col("packed").alias("data"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, text = b"", None
+        for batch in batches:
+            out = []
+            columns = [batch.column(k).to_pylist() for k in ("row", "start", "stop", "src_start", "data")]
+            for row, start, stop, src_start, data in zip(*columns):
+                if row is None:  # a source comes before what is claimed of it
+                    packed, text = data, None
+                    continue
+                if text is None:
+                    text = view(unpacked(packed))
+                out.append((row, start, stop, text.cut(src_start, src_start + stop - start + width - 1) == data))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["row", "start", "stop", "same"])
+
+    met = sources.unionByName(claims).repartition("key").sortWithinPartitions("key", F.col("row").asc_nulls_first())
+    return met.mapInArrow(compared, f"{SPAN}, same boolean")
+
+
+def in_shards(found: DataFrame, search: Search, shard_bytes: int, width: int) -> DataFrame:
+    """(row, start, stop, doc_id, context): the repeated spans among contexts, searched in shards of whole anchors.
+
+    A shard closes at the first change of anchor after ``shard_bytes``.  Contexts of an anchor with more than ``MOST_BYTES``
+    come back as they are, with their context.
     """
+    names = ["row", "start", "stop", "doc_id", "context"]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple] = []  # (anchor, docs, rows, starts, stops, contexts) of this shard
+        size, own, beyond = 0, 0, None  # bytes held, of the last anchor, and that anchor once it has too many
 
-        def close() -> pa.RecordBatch:
-            docs, starts = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]).astype(np.int64)
-            doc, start, stop = search(docs, starts, [c for h in held for c in h[3]])
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+        def close(parts: list[tuple]) -> pa.RecordBatch:
+            rows, starts = np.concatenate([h[2] for h in parts]), np.concatenate([h[3] for h in parts]).astype(np.int64)
+            of, start, stop = search(np.concatenate([h[1] for h in parts]), starts, [c for h in parts for c in h[5]])
+            return pa.RecordBatch.from_arrays([pa.array(rows[of], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary())], names)
+
+        def back(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for h in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(h[2]), pa.array(h[3]), pa.array(h[4]), pa.array(h[1]), pa.array(h[5], pa.binary())], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, doc, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "doc_id", "start"))
+            anchor, doc, row, start, stop = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "doc_id", "row", "start", "stop"))
             parts = batch.column("context").to_pylist()
             change = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
             for a, b in zip(change, change[1:]):
-                if held and size >= shard_bytes and held[-1][0] != anchor[a]:
-                    yield close()
-                    held, size = [], 0
-                held.append((anchor[a], doc[a:b], start[a:b], parts[a:b]))
-                size += sum(map(len, parts[a:b]))
+                group = (anchor[a], doc[a:b], row[a:b], start[a:b], stop[a:b], parts[a:b])
+                if beyond is not None and anchor[a] == beyond:
+                    yield from back([group])
+                    continue
+                if held and held[-1][0] != anchor[a]:
+                    own = 0
+                    if size >= shard_bytes:
+                        yield close(held)
+                        held, size = [], 0
+                held.append(group)
+                more = sum(map(len, group[5]))
+                size, own = size + more, own + more
+                if own > MOST_BYTES:
+                    beyond = anchor[a]
+                    yield from back([h for h in held if h[0] == beyond])
+                    held = [h for h in held if h[0] != beyond]
+                    size, own = size - own, 0
         if held:
-            yield close()
+            yield close(held)
 
     ordered = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    return ordered.mapInArrow(searched, "doc_id long, start int, stop int")
+    return ordered.mapInArrow(searched, f"{SPAN}, doc_id long, context binary")
+
+
+def leftovers(found: DataFrame, view: Callable[[bytes], View], width: int, within_docs: bool) -> DataFrame:
+    """(row, start, stop): repeated windows among contexts, each window compared with those of its hash."""
+    names = ["key", "doc_id", "row", "start", "stop", "window"]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[bytes, tuple[int, int]] = {}
+            out, columns = [], [batch.column(k).to_pylist() for k in ("row", "start", "stop", "doc_id", "context")]
+            for row, start, stop, doc, context in sorted(zip(*columns), key=lambda r: (r[3], r[1])):
+                text = view(context)
+                keys = winnow.Hashes(text.values(0, text.n)).every(width).view(np.int64).tolist()
+                for k in range(stop - start):
+                    window = text.cut(k, k + width)
+                    doc_0, start_0 = first.setdefault(window, (doc, start + k))
+                    late = doc > doc_0 or (within_docs and start + k > start_0)
+                    out.append((keys[k], doc, row, start + k, start + k + width, None if late else window))  # null: known to be a repeat
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, {}
+        for batch in batches:
+            out, columns = [], [batch.column(k).to_pylist() for k in names]
+            for own, doc, row, start, stop, window in zip(*columns):
+                if own != key:
+                    key, first = own, {}
+                doc_0, start_0 = first.setdefault(window, (doc, start)) if window is not None else (doc, start)
+                if window is None or doc > doc_0 or (within_docs and start > start_0):
+                    out.append((row, start, stop))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["row", "start", "stop"])
+
+    windows = found.where("context is not null").mapInArrow(dealt, "key long, doc_id long, row long, start int, stop int, window binary")
+    return windows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(compared, SPAN)
 
 
-def with_spans(texts: DataFrame, places: DataFrame, found: DataFrame, width: int) -> DataFrame:
+def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, packed, spans): the texts with all their repeated spans, unordered and overlapping; null for none."""
-    copies = places.where(F.col("kind") == COPY).select("doc_id", "start", (F.col("stop") + (width - 1)).alias("stop"))
-    spans = copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+    own = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(own, "row", "left").select("doc_id", "packed", "spans")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +442,23 @@ def spans_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return merged(*(value.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop")))
 
 
-def repeated(docs: DataFrame, symbols, cut, search, width: int, gram: int, within_docs: bool, shard_bytes: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, view: Callable[[bytes], View], search: Search, width: int, gram: int, within_docs: bool, shard_bytes: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All steps: (doc_id, packed, spans)."""
-    texts = packed(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    places = written(classified(run_table(rows, symbols, width, gram, within_docs), within_docs), f"{name}-places")
-    found = written(in_shards(contexts(texts, places, cut, width), search, shard_bytes), f"{name}-spans")
-    return with_spans(texts, places, found, width)
+    texts = stored(docs, id_col, text_col, name)
+    runs = run_table(texts, view, width, gram, within_docs, hot_anchors(texts, view, width, gram))
+    places = written(classified(runs, within_docs), f"{name}-places")
+    parts = written(pieces(texts, places, view, width), f"{name}-pieces")
+    claims = written(checked(texts, parts, view, width), f"{name}-claims")
+    copies = places.where(F.col("kind") == COPY).select("row", "start", "stop")
+    mixed, false = parts.where("src is null"), claims.where("not same")
+    if not false.isEmpty():  # contents that share their hashes
+        inside = (F.col("start") >= F.col("from")) & (F.col("stop") <= F.col("to"))
+        claimed = places.where(F.col("kind") == CLAIM)
+        anchors = written(claimed.join(false.select("row", F.col("start").alias("from"), F.col("stop").alias("to")), "row").where(inside).select("anchor").distinct(), f"{name}-false")
+        claims = claimed.join(anchors, "anchor", "left_anti").select("row", "start", "stop")
+        again = runs.where("not copy").join(anchors, "anchor", "left_semi").select(F.lit(MIXED).alias("kind"), "anchor", "doc_id", "row", "start", "stop", F.lit(None).cast("long").alias("src"), F.lit(None).cast("int").alias("src_start"))
+        mixed = mixed.join(anchors, "anchor", "left_anti").unionByName(pieces(texts, again, view, width))
+    found = written(in_shards(mixed, search, shard_bytes, width), f"{name}-spans")
+    ends = copies.unionByName(claims.select("row", "start", "stop")).withColumn("stop", F.col("stop") + (width - 1))
+    spans = ends.unionByName(found.where("context is null").select("row", "start", "stop")).unionByName(leftovers(found, view, width, within_docs))
+    return with_spans(texts, spans)

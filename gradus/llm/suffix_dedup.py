@@ -7,9 +7,11 @@ or earlier in the same one); overlaps count, and strings are judged on the input
 array is built by induced sorting, and neighbours in it that share ``width`` bytes or more, by the permuted common
 prefixes, form the groups of equal strings; all but the earliest of a group are repeats.
 
-Edge cases: a null text is empty; texts shorter than a string keep everything; rows that repeat an id are one document
-as far as order goes, and each gets the same result; rows without an id keep
-everything and are nobody's source; an empty table gives an empty result; other columns are ignored.
+A string that ``repeats`` finds whole at an earlier place by hash is removed after a comparison of the bytes.
+
+Edge cases: a null text is empty; texts shorter than a string keep everything; rows that repeat an id are judged each by
+its own text, at places of one document; rows without an id keep everything and are nobody's source; very long texts are
+cut in pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +33,19 @@ SHARD_BYTES = 2 << 20
 _BYTES = winnow.mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def _symbols(data: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(data, np.uint8)]
+class ByteView:
+    def __init__(self, data: bytes):
+        self.data, self.n = data, len(data)
 
+    def values(self, start: int, stop: int) -> np.ndarray:
+        return _BYTES[np.frombuffer(self.data, np.uint8)[start:stop]]
 
-def _cut(data: bytes):
-    return lambda start, stop: data[start:stop]
+    def cut(self, start: int, stop: int) -> bytes:
+        return self.data[start:stop]
 
 
 def repeated_spans(docs: np.ndarray, starts: np.ndarray, parts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, stop) covered by strings that start earlier, among contexts at these places of these documents."""
+    """(number of context, start, stop) covered by strings that start earlier, among contexts at these places of these documents."""
     lengths = np.array([len(p) for p in parts])
     raw = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -73,13 +78,13 @@ def repeated_spans(docs: np.ndarray, starts: np.ndarray, parts: list[bytes], wid
     new = np.append(True, (np.diff(at) > 1) | (of[at[1:]] != of[at[:-1]]))
     first, last = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     base = starts[of[first]] - begin[of[first]]
-    return docs[of[first]], base + first, base + last + width
+    return of[first], base + first, base + last + width
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes unless ``keep_text`` is off."""
     search = lambda d, s, p: repeated_spans(d, s, p, width)
-    rows = repeats.repeated(docs, _symbols, _cut, search, width, gram, True, shard_bytes, "op9", id_col, text_col)
+    rows = repeats.repeated(docs, ByteView, search, width, gram, True, shard_bytes, "op9", id_col, text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,16 +87,96 @@ def test_rlz_dedup(tables):
 
 
 @pytest.mark.parametrize("hot", [2, 10])
-def test_hot_anchors_change_nothing(spark, tables, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "SEEN", 1)
+def test_hot_anchors_change_nothing(tables, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     df, rows = tables[1]
-    text = df.select("doc_id", "text")
-    assert len(repeats.hot_anchors(text, suffix_dedup._symbols, 100, 24)) > 0
+    assert len(repeats.hot_anchors(repeats.stored(df, "doc_id", "text", "test"), suffix_dedup.ByteView, 100, 24)) > 0
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
     assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
 
 
+@pytest.mark.parametrize("size", [0, 300])
+def test_contexts_beyond_the_bound_change_nothing(tables, monkeypatch, size):
+    """Anchors with more contexts than a shard may hold are dealt window by window."""
+    monkeypatch.setattr(repeats, "MOST_BYTES", size)
+    df, rows = tables[2]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+
+
+def test_pieces_of_long_texts_change_nothing(tables, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 37)
+    monkeypatch.setattr(repeats, "SLICE", 3)
+    df, rows = tables[1]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+
+
+@pytest.mark.parametrize("slices", [2, 2048])
+def test_hashes_decide_nothing(tables, monkeypatch, slices):
+    """With contents hashed to three values, runs of other contents are claimed equal; the comparison finds out."""
+    plain = winnow.runs
+    monkeypatch.setattr(winnow, "runs", lambda *a: (lambda r: r._replace(content=r.content % np.uint64(3)))(plain(*a)))
+    monkeypatch.setattr(repeats, "SLICE", slices)
+    df, rows = tables[1]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    plain = winnow.Hashes.every
+    monkeypatch.setattr(winnow.Hashes, "every", lambda self, width: plain(self, width) % np.uint64(2))
+    rng = random.Random(3)
+    parts = [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 30))).encode() for _ in range(12)]
+    of, start, stop = rlz_dedup.duplicate_spans(np.arange(12), np.zeros(12, np.int64), parts, 5)
+    got = {(int(c), k) for c, a, b in zip(of, start, stop) for k in range(a, b)}
+    assert got == {(c, k + j) for c, p in enumerate(parts) for k in range(len(p.split()) - 4) if any(p.split()[k : k + 5] == q.split()[i : i + 5] for q in parts[:c] for i in range(len(q.split()) - 4)) for j in range(5)}
+
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_long_words_that_differ_are_different(spark):
+    word = thue_morse(11)
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead, rest = [f"w{k}" for k in range(30)], [f"x{k}" for k in range(30)]
+    rows = [(1, " ".join([*lead, word, *rest])), (2, " ".join([*lead, other, *rest])), (3, " ".join([*lead, other, *rest]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+    assert {r.doc_id: r.n_removed for r in rlz_dedup.rlz_dedup(df).collect()} == {1: 0, 2: 0, 3: 61}
+
+
+def test_ids_that_clash(spark):
+    """Rows of one id with different texts are judged each by its own text."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(120))
+    fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(1, passage), (7, f"{fill(9)} {passage} {fill(20)}"), (7, f"{fill(300)} {passage}"), (7, fill(80)), (8, passage), (8, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(df).drop("kept").collect())) == brute_bytes(rows, 100)
+    assert sorted(map(tuple, rlz_dedup.rlz_dedup(df).drop("kept").collect())) == brute_words(rows, 50)
+    assert sorted(r.n_removed for r in rlz_dedup.rlz_dedup(df).collect()) == [0, 0, 120, 120, 120, 120]
+
+
+def test_very_long_text(spark):
+    """Texts of 50 MB, one a word only; the pieces keep what is held small."""
+    rng = np.random.default_rng(4)
+    letters = "".join(map(chr, rng.integers(97, 123, 5_000_000)))
+    passage = " ".join(letters[k : k + 7] for k in range(0, 3500, 7))
+    text = " ".join([" ".join(letters[k : k + 9] for k in range(0, len(letters), 9))] * 8 + [passage])
+    rows = [(1, passage), (2, text), (3, "y" * 50_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in rlz_dedup.rlz_dedup(df, keep_text=False).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 500 and got[2].n_words == 8 * 555_556 + 500 and got[3].n_words == 1
+    view = suffix_dedup.ByteView(text.encode())
+    runs = [r for piece in repeats._runs(view, 100, 24, np.zeros(0, np.int64)) for r in zip(piece.start.tolist(), piece.stop.tolist())]
+    assert runs[0][0] == 0 and runs[-1][1] == view.n - 99 and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
     for k in range(120):
