@@ -1,19 +1,23 @@
 """Operator 3: personal data, by patterns and by a character-level bidirectional LSTM with CRF transitions.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern and check (digits, Luhn).  The method
-adds spans that read like those without matching exactly: a bidirectional LSTM with a CRF over the tags O, B and I of
-each kind, written and trained in numpy.  It is trained from labelled spans: ``TRAIN_WINDOWS`` windows at most of texts
-in which the base found something or that hold digits or @ without a find (chosen by hash over the whole table), and
-as many again in which letters and digits of the spans are drawn anew, so the shape is learned rather than the value.
-
-Texts are read in overlapping windows on a fixed grid.  All kinds need a digit or an @, so exactly the windows that
-hold one are decoded (Viterbi, and posteriors by forward-backward); any other window is O throughout.  Windows are
-reconciled over the whole text: of the two that hold a character the one in whose middle it lies more nearly decides,
-and spans are read off the joined tags, across windows.  Spans of the method need a mean posterior of ``SURE``, the
-characters of their kind (``LEAST``) and no overlap with base spans, which always stay.
+adds what is written otherwise: addresses with spelled-out or bracketed signs, parted or defanged IP addresses, card
+numbers in other groups, phone numbers without a plus or run together with what follows.  It is a bidirectional LSTM with
+a CRF over the tags O, B and I of each kind, written and trained in numpy from labelled spans: ``TRAIN_WINDOWS`` windows
+of the texts at most (chosen by hash over the whole table), labelled by the base, and ``DRAWN`` windows into which spans
+made from templates (``draw``) are set.  The checks of the kinds stay with the finder (``plausible``), so the network is
+taught the shape of a number and the digits are checked afterwards.
+
+Texts are read in overlapping windows on a fixed grid; of the windows that hold a character the one in whose middle it lies
+decides its tag (Viterbi; posteriors by forward-backward), and spans are read off the joined tags, across windows.
+A span of the method must hold a digit, an @ or a spelled-out sign (``MARK``), have a mean posterior of ``SURE``, pass
+the check of its kind and overlap no base span; base spans always stay.  So windows are decoded on demand: those that
+decide a mark, and then their neighbours as long as a tag reaches over the edge.  Every window that decides a character
+of a span that holds a mark is among them, so the spans are those of decoding all windows; a test compares both.
 
 Edge cases: a null text is empty; without labelled spans there is no model and only the base is returned; copies and
-repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+repeated rows get equal results; very long texts are read window by window; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +44,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 
+#: Spelled-out signs of addresses.
+SIGN_AT = r"[\[({<]\s?at\s?[\])}>]"
+SIGN_DOT = r"\bdot\b|[\[({<]\s?(?:dot|\.)\s?[\])}>]"
+MARK = re.compile(rf"[0-9@]|{SIGN_AT}|{SIGN_DOT}", re.I)
+AT = re.compile(rf"[^\s@].*?(?:@|{SIGN_AT}|\bat\b)", re.I | re.S)
+DOT = re.compile(rf"\.|{SIGN_DOT}", re.I)
+
 WINDOW, STRIDE = 64, 32
-TRAIN_WINDOWS, TRAIN_STEPS = 1200, 350
-SURE = 0.98
-LEAST = {0: ("@", 1), 1: ("0123456789", 4), 2: ("0123456789", 12), 3: ("0123456789", 7)}  # characters that a span of each kind must hold, and how many
+TRAIN_WINDOWS, DRAWN, TRAIN_STEPS = 1200, 2400, 900
+SURE = 0.9
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -98,10 +109,24 @@ def symbols(text: str) -> np.ndarray:
     return np.where(points < 128, points, np.where(points >= 0xC0, 1, 0)).astype(np.int64)
 
 
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows on the grid that hold a digit or an @."""
-    cells = {m.start() // STRIDE for m in TRIGGER.finditer(text)}
-    return sorted({c * STRIDE for k in cells for c in (k, k - 1) if c >= 0})
+def decider(place: int) -> int:
+    """The number on the grid of the window that decides the tag of a character."""
+    return max(0, (place - (WINDOW - STRIDE) // 2) // STRIDE)
+
+
+def plausible(kind: int, span: str) -> bool:
+    """The check of a kind on a span of the method; all need a mark."""
+    digits = [c for c in span if c in "0123456789"]
+    if not MARK.search(span):
+        return False
+    if kind == 0:
+        return bool((at := AT.search(span)) and DOT.search(span, at.end()))
+    if kind == 1:
+        parts = re.findall("[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn("".join(digits))
+    return 9 <= len(digits) <= 15
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -195,7 +220,7 @@ class BiLstmCrf:
         return float((total - gold).mean()), {k: v / n for k, v in grads.items()}
 
     def train(self, chars: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01, seed: int = 1) -> list[float]:
-        """Adam with clipped gradients, over shuffled batches again and again; returns the losses of the steps."""
+        """Adam with clipped gradients and a rate that falls in the second half, over shuffled batches again and again; returns the losses."""
         rng, first, second, losses, order = np.random.default_rng(seed), {}, {}, [], np.zeros(0, np.int64)
         for step in range(1, steps + 1):
             if not len(order):
@@ -208,7 +233,7 @@ class BiLstmCrf:
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 first[k] = 0.9 * first.get(k, 0.0) + 0.1 * g
                 second[k] = 0.99 * second.get(k, 0.0) + 0.01 * g**2
-                self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                self.p[k] -= rate * min(1.0, 2.0 - 2.0 * step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
     def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,64 +277,144 @@ def spans_from(tags: np.ndarray, sure: np.ndarray) -> list[tuple[Span, float]]:
     return out
 
 
-def added_spans(model: BiLstmCrf, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """For each text the method's spans: windows decoded in batches, reconciled over the text, kept if sure."""
-    places = [(k, s) for k, text in enumerate(texts) for s in windows_of(text)]
-    padded = {k: np.concatenate([symbols(texts[k]), np.zeros(WINDOW, np.int64)]) for k in {k for k, _ in places}}
-    tags = {k: np.zeros(len(p), np.int64) for k, p in padded.items()}
-    sure = {k: np.zeros(len(p)) for k, p in padded.items()}
-    middle = np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
-    nearest = middle <= STRIDE / 2
-    for at in range(0, len(places), 512):
-        some = places[at : at + 512]
-        found, posterior = model.decode(np.stack([padded[k][s : s + WINDOW] for k, s in some]))
-        for (k, s), own, p in zip(some, found, posterior):
-            decides = nearest if s else middle <= WINDOW  # the first window also decides its first half
-            decides = decides if s else decides & (np.arange(WINDOW) < WINDOW - STRIDE / 2)
-            tags[k][s : s + WINDOW][decides], sure[k][s : s + WINDOW][decides] = own[decides], p[decides]
+def decoded(model: BiLstmCrf, texts: list[str], every: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tags, posteriors) of each text: windows decoded on demand (or all of them), O where no window was."""
+    padded: dict[int, np.ndarray] = {}
+    wanted: set[tuple[int, int]] = set()
+    for k, text in enumerate(texts):
+        marks = range(len(text)) if every else [p for m in MARK.finditer(text) for p in (m.start(), m.end() - 1)]
+        own = {decider(p) for p in marks}
+        if own:
+            padded[k] = np.concatenate([symbols(text), np.zeros(WINDOW, np.int64)])
+            wanted |= {(k, w) for w in own}
+    tags = {k: np.zeros(len(p), np.int8) for k, p in padded.items()}
+    sure = {k: np.zeros(len(p), np.float32) for k, p in padded.items()}
+    edge, done = (WINDOW - STRIDE) // 2, set(wanted)
+    while wanted:
+        places, wanted = sorted(wanted), set()
+        for at in range(0, len(places), 512):
+            some = places[at : at + 512]
+            found, posterior = model.decode(np.stack([padded[k][w * STRIDE : w * STRIDE + WINDOW] for k, w in some]))
+            for (k, w), own, p in zip(some, found, posterior):
+                a, b = edge if w else 0, WINDOW - edge
+                tags[k][w * STRIDE + a : w * STRIDE + b], sure[k][w * STRIDE + a : w * STRIDE + b] = own[a:b], p[a:b]
+                if own[a] and w:
+                    wanted.add((k, w - 1))
+                if own[b - 1] and w * STRIDE + b < len(texts[k]):
+                    wanted.add((k, w + 1))
+        wanted -= done
+        done |= wanted
+    none = (np.zeros(0, np.int8), np.zeros(0, np.float32))
+    return [(tags[k][: len(t)], sure[k][: len(t)]) if k in tags else none for k, t in enumerate(texts)]
+
+
+def added_spans(model: BiLstmCrf, texts: list[str], base: list[list[Span]], every: bool = False) -> list[list[Span]]:
+    """For each text the method's spans: plausible, sure, and apart from the base."""
     out: list[list[Span]] = [[] for _ in texts]
-    for k in padded:
-        taken = tags_of(len(padded[k]), base[k]) > 0
-        for (kind, start, end), mean in spans_from(tags[k], sure[k]):
-            if mean >= SURE and end <= len(texts[k]) and not taken[start:end].any() and sum(map(texts[k][start:end].count, LEAST[kind][0])) >= LEAST[kind][1]:
+    for k, (tags, sure) in enumerate(decoded(model, texts, every)):
+        if not len(tags):
+            continue
+        taken = tags_of(len(texts[k]), base[k]) > 0
+        for (kind, start, end), mean in spans_from(tags, sure):
+            if mean >= SURE and not taken[start:end].any() and plausible(kind, texts[k][start:end]):
                 out[k].append((kind, start, end))
     return out
 
 
+def draw(kind: int, rng: np.random.Generator) -> str:
+    """A span of a kind from templates: as the base finds it, or in one of the forms that it misses."""
+    one = lambda *of: of[rng.integers(len(of))]
+    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    if kind == 0:
+        at = one("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " at ", " AT ")
+        dot = one(" dot ", " DOT ") if at in (" at ", " AT ") else one(".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "[.]", " dot ")
+        user = word() + one("", digits(rng.integers(1, 4)), one(".", "_", "-", dot) + word())
+        return user + at + dot.join([word() + one("", "", digits(1)), *([word()] if rng.random() < 0.3 else []), one("com", "org", "net", "de", "fr", "es", "example", "info")])
+    if kind == 1:
+        dot = one(".", " . ", " dot ", "[.]", "(.)", ". ", "[dot]", " .", "(dot)")
+        return dot.join(str(n) for n in rng.integers(0, 256, 4))
+    if kind == 2:
+        own = [int(c) for c in digits(15)]
+        own.append(next(d for d in range(10) if luhn("".join(map(str, [*own, d])))))
+        shown = "".join(map(str, own))
+        return one("", " ", "-", ".", "/", "_", "  ", " - ", " . ").join(shown[k : k + 4] for k in range(0, 16, 4))
+    gap = one(" ", "-", ".", "/", " - ")
+    lead = one("+", "00", "0", "", "+", "tel:")
+    if lead in ("+", "00"):
+        lead += one("1", "33", "34", "44", "49") + one(" ", ".", "-", "/")
+    area = one("{}", "({})", "({})", "{}").format(digits(3))
+    return lead + one(area + one(" ", gap) + digits(3) + gap + digits(4), gap.join([digits(3), digits(2), digits(2), digits(2)]), gap.join([digits(3), digits(4), digits(4)]))
+
+
+def set_in(part: str, tags: np.ndarray, kind: int, span: str, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """A window with a span set in between two words; at times another span stands right behind it."""
+    gaps = [m.start() for m in re.finditer(r"\s", part) if not tags[m.start()]] or [0]
+    at = int(gaps[rng.integers(len(gaps))])
+    lead = " " if at else ""
+    own = np.concatenate([np.zeros(len(lead), np.int64), tags_of(len(span), [(kind, 0, len(span))])])
+    if rng.random() < 0.25:
+        other = int(rng.integers(1, 4))
+        more = draw(other, rng)
+        span, own = f"{span} {more}", np.concatenate([own, [0], tags_of(len(more), [(other, 0, len(more))])])
+    after = part[at:] if at else " " + part
+    return part[:at] + lead + span + after, np.concatenate([tags[:at], own, np.zeros(len(after) - len(part) + at, np.int64), tags[at:]])
+
+
+def taught(text: str) -> tuple[list[Span], np.ndarray]:
+    """What a text teaches: spans, and the characters that nothing is learned from (matches that the base drops).
+
+    Card numbers that fail the check of their digits are taught as such, since the finder checks them.
+    """
+    spans, unclear = base_spans(text), np.zeros(len(text), bool)
+    known = {(k, a) for k, a, _ in spans}
+    for kind, pattern in ((1, IP), (2, CARD), (3, PHONE)):
+        for m in pattern.finditer(text):
+            if (kind, m.start()) not in known:
+                digits = sum(c in "0123456789" for c in m.group())
+                if kind == 2 and digits < 13:
+                    continue
+                if kind == 2 and digits <= 19:
+                    spans.append((2, *m.span()))
+                else:
+                    unclear[m.start() : m.end()] = True
+    return sorted(spans), unclear
+
+
 def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS) -> DataFrame:
-    """(number, found, part, tags): at most ``most`` windows with tags from the base: of texts with finds, or with digits or @ and none.
+    """(number, sort, part, tags): at most ``most`` windows, a third each with finds, with marks but none, and without marks.
 
-    Windows are numbered by a hash of what they hold, and the smallest numbers of both sorts are taken.
+    Windows are numbered by a hash of what they hold, and the smallest numbers of each sort are taken.
     """
+    each = most // 3
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for value in batch.column(0):
                 text = value.as_py()
-                spans = base_spans(text)
-                if not spans and not TRIGGER.search(text):
-                    continue
+                spans, unclear = taught(text)
                 tags = tags_of(len(text), spans)
-                for s in windows_of(text):
-                    part, own = text[s : s + WINDOW], tags[s : s + WINDOW].tolist()
-                    rows.append((int(hashlib.sha256(part.encode("utf-8", "replace")).hexdigest()[:12], 16), any(own), part, own))
-            rows = [r for sort in (True, False) for r in sorted(r for r in rows if r[1] == sort)[: most // 2]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["number", "found", "part", "tags"])
+                marked = {decider(m.start()) for m in MARK.finditer(text)}
+                for w in sorted(marked | {hash_of(text) % (len(text) // STRIDE + 1)}):
+                    place = slice(w * STRIDE, w * STRIDE + WINDOW)
+                    part, own = text[place], tags[place].tolist()
+                    if part and not unclear[place].any():
+                        rows.append((hash_of(part), 0 if any(own) else 1 if MARK.search(part) else 2, part, own))
+            rows = [r for sort in range(3) for r in sorted(r for r in rows if r[1] == sort)[:each]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["number", "sort", "part", "tags"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    windows = texts.mapInArrow(cut, "number long, found boolean, part string, tags array<int>").dropDuplicates(["number"])
-    halves = [windows.where(F.col("found") == found).orderBy("number", "part").limit(most // 2) for found in (True, False)]
-    return halves[0].unionByName(halves[1])
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    windows = texts.mapInArrow(cut, "number long, sort int, part string, tags array<int>").dropDuplicates(["number"])
+    sorts = [windows.where(F.col("sort") == sort).orderBy("number", "part").limit(each) for sort in range(3)]
+    return sorts[0].unionByName(sorts[1]).unionByName(sorts[2])
 
 
-def redrawn(part: str, tags: list[int], rng: np.random.Generator) -> str:
-    """The window with letters and digits of its spans drawn anew."""
-    draw = lambda c: chr(48 + rng.integers(10)) if c.isdigit() else chr(97 + rng.integers(26)) if c.isascii() and c.isalpha() else c
-    return "".join(draw(c) if t else c for c, t in zip(part, tags))
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2
 
 
-def fit(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS, seed: int = 7) -> BiLstmCrf | None:
+def fit(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, drawn: int = DRAWN, steps: int = TRAIN_STEPS, seed: int = 7) -> BiLstmCrf | None:
     """Train in one task from a bounded number of windows; None if no window holds a span."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +422,12 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, step
         if not any(any(tags) for _, _, tags in rows):
             return
         rng = np.random.default_rng(seed)
-        windows = [(part, tags) for _, part, tags in rows]
-        windows += [(redrawn(part, tags, rng), tags) for part, tags in windows if any(tags)]
+        windows = [(part, np.array(tags, np.int64)) for _, part, tags in rows]
+        for k in range(drawn):
+            part, own = windows[rng.integers(len(rows))]
+            part, own = set_in(part, own, k % len(KINDS), draw(k % len(KINDS), rng), rng)
+            shift = int(rng.integers(0, max(1, len(part) - WINDOW + 1)))
+            windows.append((part[shift : shift + WINDOW], own[shift : shift + WINDOW]))
         chars, tags = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.int64)
         for k, (part, own) in enumerate(windows):
             chars[k, : len(part)], tags[k, : len(own)] = symbols(part), own
@@ -331,7 +440,7 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, step
 
 
 def find(docs: DataFrame, model: BiLstmCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, counts of base spans by kind, base_sha256, and all spans."""
+    """Per row: doc_id, counts of base spans by kind, base_sha256, all spans, and how many the method added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +451,11 @@ def find(docs: DataFrame, model: BiLstmCrf | None, id_col: str = "doc_id", text_
             counts = [pa.array([sum(s[0] == k for s in own) for own in base], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(render(own).encode()).hexdigest() for own in base], pa.string())
             spans = pa.array([render(own + extra) for own, extra in zip(base, more)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            added = pa.array([len(extra) for extra in more], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans, added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
