@@ -284,24 +284,33 @@ def pieces(texts: DataFrame, places: DataFrame, view: Callable[[bytes], View], w
     wanted = places.where(F.col("kind") != COPY).groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                asked = batch.column("wanted")[at].values
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lists = batch.column("wanted")
+                asked, text = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
                 claim = asked.field("src").is_valid().to_numpy(zero_copy_only=False)
                 anchor, start, stop, src, src_start = (asked.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in fields)
-                order = np.flatnonzero(claim)
-                order = order[np.lexsort((start[order], start[order] - src_start[order], src[order]))]
-                first, begin, end = _joined(src[order], start[order], stop[order], (start - src_start)[order]) if len(order) else (order, order, order)
-                order = order[first]
-                mixed = np.flatnonzero(~claim)
-                pick, begin, end = np.concatenate([mixed, order]), np.concatenate([start[mixed], begin]), np.concatenate([stop[mixed], end])
-                text = view(unpacked(batch.column("packed")[at].as_py()))
-                doc, row, none = batch.column("doc_id")[at].as_py(), batch.column("row")[at].as_py(), np.arange(len(pick)) < len(mixed)
+                shift, mixed, own = start - src_start, np.flatnonzero(~claim), np.flatnonzero(claim)
+                own = own[np.lexsort((start[own], shift[own], src[own], text[own]))]
+                begin, end = start[own], stop[own]
+                if len(own):
+                    target = np.cumsum(np.append(True, (text[own][1:] != text[own][:-1]) | (src[own][1:] != src[own][:-1])))
+                    first, begin, end = _joined(target, begin, end, shift[own])
+                    own = own[first]
+                pick, begin, end = np.concatenate([mixed, own]), np.concatenate([start[mixed], begin]), np.concatenate([stop[mixed], end])
+                order = np.argsort(text[pick], kind="stable")
+                pick, begin, end, none = pick[order], begin[order], end[order], (np.arange(len(pick)) < len(mixed))[order]
+                doc, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "row"))
+                packed, last, opened = batch.column("packed"), -1, None
                 for a in range(0, len(pick), 4096):
-                    part = slice(a, a + 4096)
-                    n = len(pick[part])
-                    context = [text.cut(s, e + width - 1) for s, e in zip(begin[part].tolist(), end[part].tolist())]
-                    columns = [pa.array(anchor[pick[part]]), pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(begin[part], pa.int32()), pa.array(end[part], pa.int32())]
+                    part, context = slice(a, a + 4096), []
+                    of = text[pick[part]]
+                    for t, s, e in zip(of.tolist(), begin[part].tolist(), end[part].tolist()):
+                        if t != last:
+                            last, opened = t, view(unpacked(packed[t].as_py()))
+                        context.append(opened.cut(s, e + width - 1))
+                    columns = [pa.array(anchor[pick[part]]), pa.array(doc[of]), pa.array(row[of]), pa.array(begin[part], pa.int32()), pa.array(end[part], pa.int32())]
                     columns += [pa.array(src[pick[part]], mask=none[part]), pa.array(src_start[pick[part]], pa.int32(), mask=none[part]), pa.array(context, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "row", "start", "stop", "src", "src_start", "context"])
 

@@ -2,15 +2,20 @@
 
 Vectors become integers, floor(256 x).  The inner product is (|q|^2 + |x|^2 - |q - x|^2) / 2, and for any cut into
 segments the squared distance is at least the sum over segments of length * ((difference of means)^2 + (difference of
-deviations)^2).  So segment means and deviations bound the score from above: first with one segment, then with 4, then
-with 16 where the dimension allows.  A pair whose bound lies below the query's k-th best score so far is done with;
-survivors go to the next resolution, and those of the finest get their exact score.  Where a query has no k-th score yet,
-the candidates with the highest bounds are scored first.
+deviations)^2).  So segment means and deviations bound the score from above: first with one segment, then with 4, 16 and
+32 where the dimension allows.  A pair whose bound lies below the query's k-th best score so far is done with; survivors
+go to the next resolution, and those of the finest get their exact score.  Where a query has no k-th score yet, the
+candidates with the highest bounds are scored first.  ``Best.alive`` counts the pairs that reach each step.
 
-Queries and candidates are packed into blocks of ``BLOCK`` vectors of one dimension; every candidate block is dealt
-to every query block of its dimension (a stated query set against all rows, in blocks).  A task scores the blocks it
-gets one after the other and keeps the k best of each query, so later blocks meet high thresholds; then the k best of
-all tasks are ranked.  Memory is that of two blocks whatever the input, and neither side is broadcast.
+Queries are dealt to groups of ``GROUP``, all vectors to shares of as many rows (of ``SHARE`` at least), and a task takes one
+group and one share (a stated query set against all rows, in blocks): it holds the group, streams the share in blocks of
+``BLOCK`` vectors, and keeps the k best of each query, so later blocks meet high thresholds.  A vector is sent once a group,
+a query once a share, under keys of (dimension, group, share), so no key holds more than a group and a share whatever the
+input, and neither side is broadcast.  The k best of all shares are ranked at the end.
+
+How much the bounds prune depends on the vectors: segments tell apart what differs in level or spread somewhere, while
+vectors without such structure (independent components of one scale) reach the exact score nearly all; the README has
+figures of both.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; equal scores go to the smaller
 id; vectors are compared with those of their own dimension only, those without components score 0; a query is never
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import sorted_groups, table
+from gradus.llm.common import table
 
 K = 5
 BLOCK = 1024
-RESOLUTIONS = (1, 4, 16)
+GROUP, SHARE = 1 << 16, 1 << 13
+RESOLUTIONS = (1, 4, 16, 32)
 
 
 class Block:
@@ -82,6 +88,7 @@ class Best:
         self.score = np.full((n, k), np.iinfo(np.int64).min)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
         self.filled = np.zeros((n, k), bool)
+        self.alive = np.zeros(len(RESOLUTIONS) + 1, np.int64)  # pairs that each resolution was asked about, and that were scored
 
     def meet(self, candidates: Block) -> None:
         q, every = self.queries, np.arange(len(candidates.ids))
@@ -94,13 +101,15 @@ class Best:
                 self._take(candidates, rows, np.repeat(np.arange(len(rows)), 4 * self.k), best.ravel())
                 alive[np.arange(len(rows))[:, None], best] = False
             least = np.where(self.filled[rows, -1], self.score[rows, -1], np.iinfo(np.int64).min).astype(float)[:, None]
-            for level in range(finest + 1):
+            for level in range(finest + 1 if q.levels else 0):
+                self.alive[level] += alive.sum()
                 alive[:, columns] &= q.bounds(rows, candidates, columns, level) >= least
                 columns = np.flatnonzero(alive.any(axis=0))
             self._take(candidates, rows, *np.nonzero(alive))
 
     def _take(self, candidates: Block, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         """Score pairs exactly and keep the best."""
+        self.alive[-1] += len(i)
         keep = self.queries.ids[rows[i]] != candidates.ids[j]
         i, j = i[keep], j[keep]
         score = self.queries.scores(candidates, rows[i], j)
@@ -126,41 +135,51 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFra
     return vectors.where(x.isNotNull() & sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c * 256).cast("long")).alias("v"))
 
 
-def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """(dim, block, ids, v): blocks of vectors as bytes."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, block), g in sorted_groups(batches, ("dim", "block")):
-            for at in range(0, len(g["id"]), BLOCK):
-                ids, v = g["id"][at : at + BLOCK], np.array([*g["v"][at : at + BLOCK]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([f"{block}.{at}"]), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["dim", "block", "ids", "v"])
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition("dim", "block").sortWithinPartitions("dim", "block")
-    return dealt.mapInArrow(made, "dim int, block string, ids binary, v binary")
-
-
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, group: int = GROUP, share: int = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best others of each query."""
     rows = integer_vectors(vectors, id_col, vector_col)
     queries = integer_vectors(vectors.where(is_query), id_col, vector_col)
     n, m = rows.count(), queries.count()
-    q_blocks, c_blocks = max(1, -(-m // BLOCK)), max(1, -(-n // BLOCK))
-    q = _packed(queries, q_blocks).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
-    c = _packed(rows, c_blocks)
+    groups, shares = max(1, -(-m // group)), max(1, -(-n // max(share, min(m, group))))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    hashed = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    asked = queries.select("dim", hashed(groups).alias("group"), each(shares).alias("share"), F.lit(0).alias("met"), "id", "v")
+    offered = rows.select("dim", each(groups).alias("group"), hashed(shares).alias("share"), F.lit(1).alias("met"), "id", "v")
+    keys = ["dim", "group", "share"]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, g in sorted_groups(batches, ("dim", "q_block", "share")):
-            best = None
-            for dim, q_ids, q_v, ids, v in zip(g["dim"], g["q_ids"], g["q_v"], g["ids"], g["v"]):
-                read = lambda a, b: Block(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(-1, dim) if dim else np.zeros((len(a) // 8, 0), np.int64))
-                best = best or Best(read(q_ids, q_v), k)
-                best.meet(read(ids, v))
-            i, place = np.nonzero(best.filled)
-            yield pa.RecordBatch.from_arrays([pa.array(best.queries.ids[i]), pa.array(best.ids[i, place]), pa.array(best.score[i, place])], ["query_id", "vec_id", "score"])
-
-    share = F.pmod(F.xxhash64("block"), F.lit(max(1, c_blocks // 4)))  # about four candidate blocks follow each other in a task
-    pairs = c.withColumn("share", share).join(q, "dim").repartition("dim", "q_block", "share").sortWithinPartitions("dim", "q_block", "share")
-    found = pairs.mapInArrow(searched, "query_id long, vec_id long, score long")
+        key, held, best = None, [], []  # the queries of this key, until the first vector meets them
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for own in best:
+                i, place = np.nonzero(own.filled)
+                yield pa.RecordBatch.from_arrays([pa.array(own.queries.ids[i]), pa.array(own.ids[i, place]), pa.array(own.score[i, place])], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims, *others = (batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "met"))
+            change = np.any([c[1:] != c[:-1] for c in (dims, *others)], axis=0)
+            bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                own, dim = (int(dims[a]), int(others[0][a]), int(others[1][a])), int(dims[a])
+                if own != key:
+                    yield from results()
+                    key, held, best = own, [], []
+                for at in range(a, b, BLOCK):
+                    size = min(BLOCK, b - at)
+                    v = batch.column("v").slice(at, size).flatten().to_numpy(zero_copy_only=False).reshape(size, dim)
+                    block = Block(batch.column("id").slice(at, size).to_numpy(), v)
+                    if not others[2][a]:
+                        held.append(block)
+                        continue
+                    best = best or [Best(q, k) for q in held]
+                    for q in best:
+                        q.meet(block)
+        yield from results()
+
+    met = asked.unionByName(offered).repartition(*keys).sortWithinPartitions(*keys, "met")
+    found = met.mapInArrow(searched, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -214,10 +214,26 @@ def test_top_k(spark):
     for q in (i for i in ints if i % 50 == 0):
         scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
-    assert rows_of(topk_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == sorted(want)
+    for group, share in ((topk_search.GROUP, topk_search.SHARE), (3, 40)):
+        got = topk_search.top_k(df, F.col("vec_id") % 50 == 0, group=group, share=share)
+        assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(want)
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_bounds_prune_and_lose_nothing():
+    """Vectors of many levels: few pairs of a block are left to score.  Vectors without structure: all are scored."""
+    rng = np.random.default_rng(8)
+    levels = np.repeat(rng.normal(0, 400, (300, 16)), 4, axis=1)
+    for vectors, most in (((levels[rng.integers(0, 300, 6000)] + rng.normal(0, 30, (6000, 64))).astype(np.int64), 0.05), (rng.integers(-99, 99, (6000, 64)), 1.1)):
+        best = topk_search.Best(topk_search.Block(np.arange(128), vectors[:128]), 5)
+        for at in range(0, 6000, 1000):
+            best.meet(topk_search.Block(np.arange(at, at + 1000), vectors[at : at + 1000]))
+        scores = vectors[:128] @ vectors.T
+        np.fill_diagonal(scores, -(1 << 60))
+        assert (best.score == -np.sort(-scores, axis=1)[:, :5]).all()
+        assert (np.diff(best.alive[:-1]) <= 0).all() and best.alive[-1] <= most * scores.size
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
