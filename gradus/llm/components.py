@@ -2,9 +2,9 @@
 
 Alternating large-star and small-star steps: a large-star step links every larger neighbour of a node to the least
 node it sees, a small-star step does the same for the smaller neighbours and the node itself.  Both are a grouped
-minimum (combined before the shuffle) and a join, so a node with very many links is split by the skew join; the
-number of links never grows.  Each round is written to the shared folder.  No links or components reach the driver,
-only their number and a checksum.
+minimum (combined before the shuffle) and a join of two written tables, whose sides are plain shuffles, so the skew join
+of adaptive execution can split a node with very many links; the number of links never grows.  Every step is written to
+the shared folder.  No links or components reach the driver, only their number and a checksum.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from gradus.llm.common import written
 
 def _star(links: DataFrame) -> DataFrame:
     """(a, b) both ways -> each a with the least node among it and its neighbours."""
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return links.join(least, "a")
 
 
@@ -45,6 +45,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state == seen or not state["n"]:
             break
         seen = state
-        links = written(_small(_large(links).distinct()).distinct(), "links")
+        links = written(_small(written(_large(links).distinct(), "links")).distinct(), "links")
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

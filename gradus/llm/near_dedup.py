@@ -1,9 +1,10 @@
 """Near-duplicates of the pipeline: SimHash candidates, confirmed by five-word shingles.
 
-Candidates are texts whose fingerprints of distinct words are within 6 bits, for any of ``SEEDS`` (independent
-fingerprints, since one alone misses some pairs).  Texts with one set of shingles are put together before.  Components
-of the candidate links only say which texts may be compared; within them every pair is held against the rule, and only
-pairs whose sets of five-word shingles share at least 4/5 of their union are linked.  A component with very many texts is dealt
+Candidates are texts with fingerprints of distinct words within 3 bits, for any of ``KINDS`` independent fingerprints: one
+alone misses many pairs, and a search within more bits would have narrower keys, under which unlike texts meet more and
+more often as the collection grows.  Texts with one set of shingles are put together before.  Components of the
+candidate links only say which texts may be compared; within them every pair is held against the rule, and only pairs
+whose sets of five-word shingles share at least 4/5 of their union are linked.  A component with very many texts is dealt
 out in pairs of blocks as in operator 4, and a unit emits a forest of its confirmed links.
 
 Edge cases as in operator 4; texts without a word are one text.
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import sorted_groups, written
 from gradus.llm.components import components
-from gradus.llm.simhash import SEED, fingerprint, forest, links
+from gradus.llm.simhash import forest, links, majority
+from gradus.llm.winnow import mixed
 
 WORDS = 5
-SEEDS = (SEED, 43)
+KINDS = 8
 BLOCK = 4096
 
 
@@ -35,6 +37,15 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), np.uint64, len(shingles)).view(np.int64))
 
 
+def fingerprints(text: str | None, kinds: int = KINDS) -> list[int]:
+    """Independent fingerprints of a text's distinct words: each word is hashed once, and the hash mixed anew for each kind."""
+    tokens = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not tokens:
+        return [0] * kinds
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+    return [majority(mixed(hashes ^ np.uint64(k))) for k in range(kinds)]
+
+
 def confirmed(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes whose sets share at least 4/5 of their union."""
     sizes = np.array([len(s) for s in sets])
@@ -54,28 +65,29 @@ def confirmed(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_groups(docs: DataFrame, row_col: str, text_col: str = "text", block: int = BLOCK, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def near_groups(docs: DataFrame, row_col: str, text_col: str = "text", block: int = BLOCK, kinds: int = KINDS) -> DataFrame:
     """(row, group): rows of one group are joined by confirmed links."""
-    names = [f"fp{k}" for k in range(len(seeds))]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingle_set(t) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fps = [np.array([fingerprint(t, 1, True, seed) for t in texts], np.uint64).view(np.int64) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), *map(pa.array, fps), pa.array(sets, pa.list_(pa.int64()))], ["row", "node", *names, "shingles"])
+            fps = np.array([fingerprints(t, kinds) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([*fps], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["row", "node", "fps", "shingles"])
 
-    fields = ", ".join(f"{name} long" for name in names)
     rows = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    made = written(rows.mapInArrow(printed, f"row long, node long, {fields}, shingles array<long>"), "near-prints")
-    nodes = written(made.groupBy("node").agg(*[F.min(name).alias(name) for name in names]), "near-nodes")
-    met = None
-    for name in names:
-        found = links(nodes.select(F.col(name).alias("fp"), F.col("node").alias("id")), segments=16)
-        met = found if met is None else met.unionByName(found)
-    placed = written(components(met, "a", "b"), "near-candidates")
-    blocks = placed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    made = written(rows.mapInArrow(printed, "row long, node long, fps array<long>, shingles array<long>"), "near-prints")
+    nodes = written(made.groupBy("node").agg(F.min("fps").alias("fps")), "near-nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
+    prints = written(each.groupBy("kind", "fp").agg(F.count("*").alias("nodes")), "near-fingerprints")
+    met = written(links(prints.select("kind", "fp"), block), "near-links")
+    # a fingerprint that is linked, or that several texts have, stands between them; what else meets there is told apart below
+    between = written(met.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(prints.where("nodes > 1").select("fp")).distinct(), "near-between")
+    graph = met.unionByName(each.join(between, "fp").select(F.col("node").alias("a"), F.col("fp").alias("b")))
+    placed = components(graph, "a", "b").join(nodes.select("node"), "node", "left_semi")
+    placed = written(placed, "near-candidates")
+    blocks = written(placed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "near-blocks")
     placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     sets = made.select("node", "shingles").join(placed, "node").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

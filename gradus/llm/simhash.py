@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import documents, written
@@ -37,8 +37,15 @@ BLOCK = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int, once: bool = False, seed: int = SEED) -> int:
-    """Majority of the bits of the XXH64 of all shingles, repeats included (or each shingle once)."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of some 64-bit numbers."""
+    columns = hashes.view(np.uint8).reshape(len(hashes), 8)
+    set_bits = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """Majority of the bits of the XXH64 of all shingles, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return 0
@@ -50,34 +57,29 @@ def fingerprint(text: str | None, words: int, once: bool = False, seed: int = SE
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
         shingles = [joined[i:j] for i, j in zip(starts, ends[words - 1 :] or ends[-1:])]
-    if once:
-        shingles = list(set(shingles))
-    n = len(shingles)
-    columns = np.fromiter((digest(x, seed) for x in shingles), np.uint64, n).view(np.uint8).reshape(n, 8)
-    set_bits = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(x, SEED) for x in shingles), np.uint64, len(shingles)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, once: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text.as_py(), words, once) for text in batch.column(1)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(text.as_py(), words) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "doc_id long, fp long")
 
 
-def chain_keys(segments: int = SEGMENTS, fp: str = "fp"):
-    """The keys of a fingerprint, an array of numbers: start and left-out segment above five segments of chain."""
+def chain_keys(segments: int = SEGMENTS, fp: str = "fp", kind: str = "kind") -> Column:
+    """The keys of a fingerprint, an array of numbers: kind, start and left-out segment above five segments of chain."""
     keys, bits = [], 64 // segments
     for start in range(segments):
         turn = start * bits
         chain = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else F.col(fp)
         for left_out in (2, 3, 4):
             mask = ((1 << 5 * bits) - 1) & ~(((1 << bits) - 1) << (left_out * bits))
-            keys.append(chain.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((start * 3 + left_out - 2) << 48)))
+            keys.append(chain.bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(F.col(kind).cast("long") * (3 * segments) + (start * 3 + left_out - 2), 48)))
     return F.array(*keys)
 
 
@@ -87,7 +89,7 @@ def pairs_within(key: np.ndarray, unit: np.ndarray, fps: np.ndarray, segments: i
     Rows of a unit follow each other; rows k apart are compared all at once, for k = 1, 2 and so on.
     """
     bits, out = 64 // segments, []
-    turn = ((key >> 48) // 3 * bits).astype(np.uint64)
+    turn = ((key >> 48) // 3 % segments * bits).astype(np.uint64)
     active, apart = np.arange(len(fps)), 0
     while len(active):
         apart += 1
@@ -123,22 +125,23 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return kept
 
 
-def links(distinct: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b): links between ids of different fingerprints at most ``segments * 3 / 8`` bits apart, from (fp, id).
+def links(prints: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b): links between different fingerprints at most ``segments * 3 / 8`` bits apart, from (kind, fp).
 
-    What a batch of units finds is emitted as a forest.
+    Only fingerprints of one kind (a number below 600) are linked, each of which should come once.  What a batch of units
+    finds is emitted as a forest.
     """
-    keyed = written(distinct.select("fp", "id", F.explode(chain_keys(segments)).alias("key")), "op4-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = prints.select("fp", F.explode(chain_keys(segments)).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "op4-shared")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    met = keyed.join(shared, "key").select("key", "fp", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", "id"), blocks).cast("int").alias("block"))
+    met = keyed.join(shared, "key").select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = met.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "id")
-    names = ["key", "low", "high", "fp", "id"]
+    dealt = met.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp")
+    names = ["key", "low", "high", "fp"]
 
     def found(rows: dict[str, np.ndarray], change: np.ndarray) -> pa.RecordBatch:
         i, j = pairs_within(rows["key"], np.cumsum(change), rows["fp"].view(np.uint64), segments)
-        pairs = np.unique(np.stack([rows["id"][i], rows["id"][j]], axis=1), axis=0)
+        pairs = np.unique(np.stack([rows["fp"][i], rows["fp"][j]], axis=1), axis=0)
         a, b = forest(pairs[:, 0], pairs[:, 1])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -160,13 +163,13 @@ def links(distinct: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) ->
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, block: int = BLOCK, once: bool = False, segments: int = SEGMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
     """Per row: doc_id, fingerprint (hexadecimal) and component_id, the smallest id that can be reached."""
-    made = written(fingerprints(docs, id_col, text_col, words, once), "op4-fingerprints")
+    made = written(fingerprints(docs, id_col, text_col, words), "op4-fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("id")), "op4-distinct")
-    found = components(links(distinct.select("fp", F.col("fp").alias("id")), block, segments), "a", "b")
-    placed = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = components(links(distinct.select(F.lit(0).alias("kind"), "fp"), block, segments), "a", "b")
+    placed = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root")), "op4-placed")
+    named = written(placed.groupBy("root").agg(F.min("id").alias("component_id")), "op4-named")
     placed = placed.join(named, "root").select("fp", "component_id")
     return made.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
