@@ -6,8 +6,11 @@ Texts are equal when they are identical after deleting blanks.  The index is bui
 2. the directory starts with one bucket and doubles as long as a bucket with more keys than its capacity has the
    directory's own depth; such buckets split by the next bit of the hash.  A bucket of one key cannot be split, so a
    key with more rows than the capacity gets overflow pages instead, over which its rows are dealt;
-3. owner tasks receive whole pages of the buckets, follow the chain of rows with one hash and compare the texts byte
-   by byte; the chains are written beside the entries, and pages of one key are then put together.
+3. owner tasks receive ranges of buckets (and their pages), follow the chain of rows with one hash and compare the texts
+   byte by byte; the chains are written as bucket files in the order of the buckets, and pages of one key are then put
+   together.  Rows find their chain by hash and SHA-256.
+
+With ``index_path`` the directory and the bucket files, texts included, stay there, and ``known`` looks other texts up.
 
 The directory and the list of keys with overflow pages have at most ``2 ** DIRECTORY_BITS`` rows each, whatever the
 input (the capacity grows with it), which is why they may be broadcast.  Texts cross the network once.
@@ -61,16 +64,16 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> list[Buc
     return directory
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, directory_bits: int = DIRECTORY_BITS, row_col: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, directory_bits: int = DIRECTORY_BITS, row_col: str | None = None, index_path: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept and text_sha256 (of the text without blanks).
 
-    With ``row_col``, a number of at least 0 unlike in all rows, it follows as row, and just one row of a group is kept.
+    With ``row_col``, a number unlike in all rows, it follows as row, and just one row of a group is kept.
     """
     spark = docs.sparkSession
     row = ["row"] if row_col else []
     rows = docs.select(
         *[F.col(row_col).alias(r) for r in row],
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         F.length(text_of(text_col)).cast("long").alias("points"),
         F.regexp_replace(text_of(text_col), r"[\x20\x09-\x0D]+", "").alias("norm"),
     ).withColumn("h", F.xxhash64("norm"))
@@ -96,28 +99,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(F.broadcast(overflow), "h", "left")
         .withColumn("page", F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64("doc_id", "points", *row), "pages")))
         .select("bucket", "page", "h", "norm", "doc_id", "points", *row)
-        .repartition("bucket", "page")
-    )
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("order"), *[(-F.col(r)).alias(r) for r in row])).alias("best")
-    chains = written(
-        dealt.groupBy("bucket", "page", "h", "norm")
-        .agg(F.count("*").alias("rows"), best)
-        .select("bucket", "page", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "rows", "best", F.when(F.col("page").isNotNull(), F.col("norm")).alias("norm")),
-        "op8-chains",
+        .repartitionByRange("bucket", "page")
     )
+    best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("none"), "doc_id", *row)).alias("best")
+    text = F.col("norm") if index_path else F.when(F.col("page").isNotNull(), F.col("norm"))
+    made = dealt.groupBy("bucket", "page", "h", "norm").agg(F.count("*").alias("rows"), best).select("bucket", "page", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "rows", "best", text.alias("norm"))
+    if index_path:
+        made.write.parquet(f"{index_path}/buckets")
+        lookup.write.parquet(f"{index_path}/directory")
+        chains = spark.read.schema(made.schema).parquet(f"{index_path}/buckets")
+    else:
+        chains = written(made, "op8-chains")
     whole = chains.where("page is null").select("h", "sha", "rows", "best")
-    paged = chains.where("page is not null").groupBy("h", "norm").agg(F.first("sha").alias("sha"), F.sum("rows").alias("rows"), F.max("best").alias("best"))
+    paged = chains.where("page is not null").groupBy("h", "norm").agg(F.first("sha").alias("sha"), F.sum("rows").alias("rows"), F.min("best").alias("best"))
     groups = whole.unionByName(paged.select("h", "sha", "rows", "best"))
     return index.join(groups, ["h", "sha"]).select(
         "doc_id",
-        (-F.col("best.order")).alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         F.col("rows").alias("group_size"),
-        (F.col("row") == -F.col("best.row") if row_col else F.col("doc_id").eqNullSafe(-F.col("best.order"))).alias("kept"),
+        (F.col("row") == F.col("best.row") if row_col else F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         *row,
     )
 
 
+def known(docs: DataFrame, index_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of other texts: doc_id and keep_id, the row of the index that has the same text without blanks, or null."""
+    spark = docs.sparkSession
+    directory = spark.read.parquet(f"{index_path}/directory")
+    depth = directory.count().bit_length() - 1
+    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text_of(text_col), r"[\x20\x09-\x0D]+", "").alias("norm")).withColumn("h", F.xxhash64("norm"))
+    asked = asked.withColumn("slot", slot).join(F.broadcast(directory), "slot").drop("slot")
+    chains = spark.read.parquet(f"{index_path}/buckets").groupBy("bucket", "h", "norm").agg(F.min("best").alias("best"))
+    return asked.join(chains, ["bucket", "h", "norm"], "left").select("doc_id", F.col("best.doc_id").alias("keep_id"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 

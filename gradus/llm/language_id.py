@@ -6,8 +6,9 @@ and emits one row per language and bucket that occurs, which Spark sums.  The ma
 a batch of texts at once into a sparse row layout (bucket numbers of all grams, offsets of the texts) and adds up the
 matrix entries per text.
 
-The score is the posterior of the predicted language with the likelihood of the text taken as if it had at most
-``EVIDENCE`` grams, since the grams of a text are far from independent.
+The score is the posterior of the predicted language with the evidence (likelihood and prior alike) scaled down to that of
+``EVIDENCE`` grams, since the grams of a text are far from independent; scaling leaves the best language the best.
+At most ``MOST_LANGUAGES`` languages are learned: a column with more values is an error and not a model of any size.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows with null lang or text are not learned
 from; with nothing to learn from every text is ``und``; ties go to the language that sorts first; copies count as often
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents
+from gradus.llm.common import documents, written
 
 BITS = 15
 ORDERS = (1, 2, 3)
 EVIDENCE = 40
+MOST_LANGUAGES = 512  # matrix rows of 128 KB
 UNKNOWN = "und"
 SLICE = 1 << 18  # characters that are hashed at once
 
@@ -101,7 +103,7 @@ class Model:
         out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known.any():
             shrink = np.minimum(1.0, EVIDENCE / grams[known])
-            log = sums[:, known] * shrink + self.prior[:, None]
+            log = (sums[:, known] + self.prior[:, None]) * shrink
             best = log.argmax(axis=0)
             post = np.exp(log - log.max(axis=0))
             scores[known] = post[best, np.arange(len(best))] / post.sum(axis=0)
@@ -132,7 +134,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    found = rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = written(rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "op1-counts")
+    if (several := summed.where("bucket = -1").count()) > MOST_LANGUAGES:
+        raise ValueError(f"{several} values of {lang_col}, more than {MOST_LANGUAGES}: not a column of languages")
+    found = summed.toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), 1 << BITS))
     prior = np.zeros(len(languages))

@@ -2,10 +2,12 @@
 
 Document rates r minimise the relative entropy sum(size * (r log r - r + 1)) under one token constraint per source,
 sum(size * r) = target.  The solution is an exponential tilt, r = exp(lambda of the source), and the dual is convex with
-gradient sum(size) exp(lambda) - target and Hessian sum(size) exp(lambda), both sums over the source's documents.
-Constraints of different sources touch different documents, so the Newton steps of all sources run side by side as
-one expression over a table with a row per source, whose sums Spark has pre-aggregated from all documents; the number
-of sources may be any.
+gradient sum(size) exp(lambda) - target and Hessian sum(size) exp(lambda), both sums over the source's documents, which
+Spark has pre-aggregated.  Constraints of different sources touch different documents, so the Newton steps of all sources
+run side by side over a table with a row per source; after each round of steps the largest residual of all sources
+tells whether to go on (``solved``).  Steps are bounded, so that no start overshoots.  Targets come from rounds of
+aggregations as well (``targets``), and sources are numbered in ranges (``numbered``): nothing runs over all sources in one
+task, so their number may be any.
 
 Rates become copies by size classes (lengths of the size in bits).  Classes of at most ``FEW`` cells of a source, and
 at most 64 of them, are settled in one sequence from long to short: a document is taken so that what is left of the
@@ -36,7 +38,7 @@ SHARE = 1.5
 MOST = 2.0
 CELL = 256
 FEW = 4  # cells; a class of at most so many is settled in one sequence
-NEWTON_STEPS = 60
+NEWTON_STEPS, NEWTON_ROUNDS, NEWTON_CLOSE = 8, 100, 1e-12
 BROADCAST_SOURCES = 100_000
 
 
@@ -44,35 +46,60 @@ def size_of(text_col: str = "text") -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """The rows with their place in the order of a column (nulls last), from 0: ranges, counted, then numbered each."""
+    order = F.col(by).asc_nulls_last()
+    ranged = written(rows.repartitionByRange(order).withColumn("range", F.spark_partition_id()), name)
+    counts = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect())  # a row per partition
+    before, offsets = 0, []
+    for number, n in counts:
+        offsets += [F.lit(number), F.lit(before)]
+        before += n
+    if not offsets:
+        return ranged.withColumn("place", F.lit(0).cast("long")).drop("range")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.element_at(F.create_map(*offsets), F.col("range"))
+    return ranged.withColumn("place", place.cast("long")).drop("range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, docs, target) from (source, size): shares by weight, none above ``most`` times its size.
+    """(source, source_size, target) from (source, size): shares by weight, none above ``most`` times its size.
 
-    With sources ordered by limit / weight, those up to some place stop at their limits and the others share the rest
-    by weight; the place is the first at which the level so found is not above the next limit.
+    All sources share by weight what those at their limits leave; as long as that puts others above theirs, these stop
+    too.  Every round is one aggregation over the sources; the level only rises, so the rounds end.
+    """
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = written(numbered(by_source, "source", "op2-ranges").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit")), "op2-weights")
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("weight") * level >= F.col("limit")
+        total = weighed.agg(
+            (F.sum("source_size") * share).alias("total"), F.sum(F.when(stops, F.col("limit")).otherwise(0.0)).alias("stopped"),
+            F.sum(F.when(stops, 0.0).otherwise(F.col("weight"))).alias("sharing"), F.count(F.when(stops, 1)).alias("n"),
+        ).first()
+        if not total["sharing"] or total["n"] == stopped:
+            break
+        level, stopped = (total["total"] - total["stopped"]) / total["sharing"], total["n"]
+    return weighed.select("source", "source_size", F.least("limit", F.col("weight") * level).alias("target"))
+
+
+def solved(sources: DataFrame, steps: int = NEWTON_STEPS, rounds: int = NEWTON_ROUNDS, close: float = NEWTON_CLOSE) -> DataFrame:
+    """The sources with rate exp(lambda) from Newton's method on the dual; 0 for a target of 0.
+
+    A round takes some steps for every source, none of them longer than 1, and then the largest relative residual is
+    looked at; without convergence after all rounds this fails.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    weighed = weighed.withColumn("limit", F.col("source_size") * most)
-    upwards = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    rising = upwards.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    levels = (
-        weighed.withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("stopped", F.coalesce(F.sum("limit").over(rising), F.lit(0.0)))
-        .withColumn("sharing", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(rising), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("stopped")) / F.col("sharing"))
-        .withColumn("place", F.row_number().over(upwards))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("place", "level"))).over(everything)["level"])
-    )
-    return levels.select("source", "source_size", "docs", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
-
-
-def tilt(size: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """exp(lambda) after Newton steps from lambda = 0 on the dual of one token constraint; 0 for a target of 0."""
-    step = lambda at, _: at - (size * F.exp(at) - target) / (size * F.exp(at))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return F.when((target > 0) & (size > 0), F.exp(solved)).otherwise(0.0)
+    size, target, gains = F.col("source_size").cast("double"), F.col("target"), (F.col("target") > 0) & (F.col("source_size") > 0)
+    gradient, hessian = (lambda at: size * F.exp(at) - target), (lambda at: size * F.exp(at))
+    bounded = lambda step: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))
+    state = sources.withColumn("lambda", F.lit(0.0))
+    for _ in range(rounds):
+        taken = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("lambda"), lambda at, _: at - bounded(gradient(at) / hessian(at)))
+        state = written(state.withColumn("lambda", F.when(gains, taken).otherwise(F.col("lambda"))), "op2-newton")
+        residual = state.where(gains).agg(F.max(F.abs(gradient(F.col("lambda"))) / target).alias("worst")).first()["worst"]
+        if residual is None or residual <= close:
+            return state.withColumn("rate", F.when(gains, F.exp("lambda")).otherwise(0.0)).drop("lambda")
+    raise ArithmeticError(f"no convergence: a source misses its constraint by {residual:g} of its target")
 
 
 def round_cell(sizes: list[int], rates: list[float], most: int) -> list[int]:
@@ -105,8 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size = size_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(tie_col or id_col).cast("long").alias("by"))
     sizes = written(rows, "op2-sizes").withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
-    sources = written(targets(sizes, weights, share, most), "op2-sources").withColumn("rate", F.least(F.lit(most), tilt(F.col("source_size").cast("double"), F.col("target"))))
-    sources = sources.drop("docs").withColumnRenamed("source", "its")
+    sources = solved(targets(sizes, weights, share, most)).withColumn("rate", F.least(F.lit(most), "rate")).withColumnRenamed("source", "its")
     classes = sizes.groupBy("source", "class").agg(F.count("*").alias("class_docs"), F.sum("size").alias("class_size"))
     side = written(classes.join(sources, F.col("source").eqNullSafe(F.col("its"))).select(F.col("source").alias("its"), F.col("class").alias("its_class"), "class_docs", "class_size", "source_size", "target", "rate"), "op2-classes")
     rest = side.groupBy(F.col("its").alias("whose")).agg(F.sum(F.when(F.col("class_docs") > FEW * cell, F.col("class_size")).otherwise(0)).alias("rest"))

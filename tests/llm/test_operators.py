@@ -74,6 +74,20 @@ def test_directory_doubles_until_buckets_fit():
     assert exact_dedup.grow_directory({}, 3, 5)[0].keys == 0
 
 
+def test_index_is_read_again(spark, tmp_path):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "a b"), (high, "ab"), (None, "ab "), (3, "c"), (None, "d"), *[(k, "hot") for k in range(10, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for capacity in (1, 64):
+        path = str(tmp_path / f"index{capacity}")
+        got = exact_dedup.exact_dedup(df.selectExpr("cast(doc_id as string) as doc_id", "text"), capacity=capacity, index_path=path)
+        assert rows_of(got.where("doc_id is not null"), "doc_id", "keep_id", "group_size", "kept") == sorted([(low, low, 3, True), (high, low, 3, False), (3, 3, 1, True), *[(k, 10, 30, k == 10) for k in range(10, 40)]], key=lambda r: r[0])
+        assert {(r.keep_id, r.group_size, r.kept) for r in got.where("doc_id is null").collect()} == {(low, 3, False), (None, 1, True)}
+        assert {p.name for p in (tmp_path / f"index{capacity}").iterdir()} == {"directory", "buckets"}
+        asked = spark.createDataFrame([(1, "h o t"), (2, "new"), (4, " c"), (5, None)], "doc_id long, text string")
+        assert rows_of(exact_dedup.known(asked, path), "doc_id", "keep_id") == [(1, 10), (2, None), (4, 3), (5, None)]
+
+
 def test_bpe(docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -157,6 +171,46 @@ def test_language_id(spark, data, odd):
     assert {r.lang_pred for r in language_id.predict(odd.drop("score"), language_id.fit(odd.limit(0))).collect()} == {"und"}
 
 
+def brute_bayes(rows, text):
+    """Multinomial naive Bayes on the hashed grams, written plainly; the best language and by how much."""
+    grams = lambda t: [_bucket(t + "\0\0", i, n) for n in (1, 2, 3) for i in range(len(t))]
+    names = sorted({lang for lang, _ in rows})
+    scores = []
+    for name in names:
+        own = [t.lower() for lang, t in rows if lang == name]
+        counts = np.full(1 << language_id.BITS, 0.5)
+        for t in own:
+            np.add.at(counts, grams(t), 1)
+        scores.append(np.log(len(own) / len(rows)) + np.log(counts / counts.sum())[grams(text.lower())].sum())
+    return names[int(np.argmax(scores))], np.ptp(np.sort(scores)[-2:])
+
+
+def _bucket(text, at, order):
+    """The bucket of the gram of this length."""
+    total = sum(ord(text[at + k]) * int(language_id._PLACES[k]) for k in range(order)) % (1 << 32)
+    value = total ^ (order * 0x632BE5AB & 0xFFFFFFFF)
+    return ((value ^ value >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_id.BITS)
+
+
+def test_language_id_is_naive_bayes(spark, docs):
+    """Long and short texts alike get the language of the largest product of probabilities."""
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.where("length(text) < 3000").orderBy("doc_id").limit(60).collect()]
+    learned = [(lang, t) for i, lang, t in rows if i % 3 and lang and t]
+    asked = [(i, t) for i, _, t in rows if any(map(str.isalpha, t or ""))] + [(-1, "th"), (-2, "de la"), (-3, "und la the " * 200)]
+    model = language_id.fit(spark.createDataFrame(learned, "lang string, text string"))
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        best, ahead = brute_bayes(learned, text)
+        assert got[i].lang_pred == best or ahead < 1e-2, (i, best, got[i])
+        assert 1 / len(model.languages) - 1e-9 <= got[i].score <= 1
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([(c, c) for c in "abc"], "lang string, text string"))
+
+
 def brute_targets(sizes):
     names = sorted({s for s, _ in sizes if s is not None}) + ([None] if any(s is None for s, _ in sizes) else [])
     own = {n: sum(z for s, z in sizes if s == n) for n in names}
@@ -191,6 +245,28 @@ def test_mixing(docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_with_many_sources(spark, monkeypatch):
+    """Sources joined by shuffle, and targets of many sources in several ranges."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"s{rng.integers(0, 60) ** 2 // 40}" if i % 9 else None, "w " * int(rng.integers(1, 60))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = sorted(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(df).collect())) == plain
+    own, target = brute_targets([(s, len(t.split())) for _, s, t in rows])
+    got = mixing.targets(df.select("source", mixing.size_of().alias("size"))).collect()
+    assert {r.source: r.source_size for r in got} == own and all(r.target == pytest.approx(target[r.source]) for r in got)
+
+
+def test_newton_converges_from_any_ratio(spark):
+    ratios = [0.0, 1e-6, 0.3, 1.0, 2.0, 50.0, 70.0, 100.0, 1e6]
+    df = spark.createDataFrame([(100, 100.0 * r) for r in ratios] + [(0, 0.0)], "source_size long, target double")
+    got = sorted((r.target / 100, r.rate) for r in mixing.solved(df).where("source_size > 0").collect())
+    assert [r for _, r in got] == pytest.approx(ratios, rel=1e-9)
+    with pytest.raises(ArithmeticError):
+        mixing.solved(df, rounds=1).count()
+
+
 def test_mixing_with_very_long_documents(spark):
     rng = np.random.default_rng(5)
     for long, n in ((200_000, 20), (1_000_000, 1), (30_000, 300)):
@@ -259,6 +335,13 @@ def test_url_filter(spark, data):
     verdict = {r.page_id: r.verdict for r in got.values()}
     # 4 and 5 are aliases of the blocked a.com/de/1, and so are 6 and 7, which d.org allows: allow has precedence
     assert verdict[4] == verdict[5] == verdict[6] == verdict[7] == "allow" and verdict[8] == "allow" and verdict[2] == "allow"
+    far = [(1, "https://a.net/x/y?q", '<LINK REL=canonical HREF="/de/2"> <link rel="canonical" href="https://a.com/de/1?a=1&amp;b=2">'), (2, "https://a.net/de/2", None), (3, "https://b.net/x/y", "<link rel=canonical href='//a.com/de/9'>"), (4, "https://c.com/de/x/", '<link rel="canonical" href="z">'), (5, "https://d.net/?page=2", None), (6, "http://d.net", '<link rel=canonical href="https://q.com/de/">'), (7, "https://e.net/a", "<link rel=canonical href='#top'> <meta http-equiv=refresh content='5;url=?b=c'>"), (8, "http://e.net/a?b=c", '<link rel="canonical" href="https://x.com/de/">' + "<p>" * 200000), (9, "https://" + "long" * 100000 + ".com/de/x", None)]
+    told = {r.page_id: (r.verdict, r.rule) for r in url_filter.judge(spark.createDataFrame(far, "page_id long, url string, html string")).collect()}
+    assert told == {1: ("block", None), 2: ("block", None), 3: ("block", None), 4: ("block", "com/de/"), 5: ("allow", None), 6: ("block", None), 7: ("block", None), 8: ("block", None), 9: ("block", "com/de/")}
+    stated = url_filter.judge(spark.createDataFrame(far, "page_id long, url string, html string"), dropped=None).collect()
+    assert {r.page_id for r in stated if r.verdict == "block"} == {1, 2, 3, 4, 6, 8, 9}
+    redirects = spark.createDataFrame([("https://d.net/?page=2", "http://d.net")], "a string, b string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(far, "page_id long, url string, html string"), redirects=redirects).collect()}[5] == "block"
     blocked = url_filter.judge(df.where("page_id in (4, 5)")).collect()
     assert {r.verdict for r in blocked} == {"block"}
     assert url_filter.judge(df.limit(0)).count() == 0
