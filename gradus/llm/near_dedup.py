@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import sorted_groups, written
 from gradus.llm.components import components
-from gradus.llm.simhash import forest, links, majority
+from gradus.llm.simhash import forest, links
 from gradus.llm.winnow import mixed
 
 WORDS = 5
-KINDS = 8
+KINDS, SEGMENTS = 12, 4
 BLOCK = 4096
 
 
@@ -43,7 +43,9 @@ def fingerprints(text: str | None, kinds: int = KINDS) -> list[int]:
     if not tokens:
         return [0] * kinds
     hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
-    return [majority(mixed(hashes ^ np.uint64(k))) for k in range(kinds)]
+    bits = np.unpackbits(mixed(hashes[:, None] ^ np.arange(kinds, dtype=np.uint64)).view(np.uint8), axis=1, bitorder="little")
+    ones = bits.sum(axis=0, dtype=np.uint16 if len(tokens) < 1 << 16 else np.int64).astype(np.int64)
+    return np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.uint64).tolist()
 
 
 def confirmed(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def near_groups(docs: DataFrame, row_col: str, text_col: str = "text", block: in
     nodes = written(made.groupBy("node").agg(F.min("fps").alias("fps")), "near-nodes")
     each = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
     prints = written(each.groupBy("kind", "fp").agg(F.count("*").alias("nodes")), "near-fingerprints")
-    met = written(links(prints.select("kind", "fp"), block), "near-links")
+    met = written(links(prints.select("kind", "fp"), block, SEGMENTS), "near-links")
     # a fingerprint that is linked, or that several texts have, stands between them; what else meets there is told apart below
     between = written(met.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(prints.where("nodes > 1").select("fp")).distinct(), "near-between")
     graph = met.unionByName(each.join(between, "fp").select(F.col("node").alias("a"), F.col("fp").alias("b")))

@@ -5,7 +5,8 @@ exists from which every chain of l consecutive segments differs in at most ``flo
 principle).  Here d : m is 3 : 8, that is 3 bits with 8 segments or 6 with 16, so the first two segments of the chain
 must be equal, five may differ in one bit, seven in two, and so on.  Fingerprints are therefore indexed, for each of the
 m starts, by the two equal segments together with two of the next three (one of which may hold the single difference):
-3 m keys.  Fingerprints that share a key are candidates; the chain is tested with growing length up to the full distance.
+3 m keys of 32 bits.  With 4 segments and 3 bits the first is equal and the second differs in one bit at most: 2 m keys
+of 24 bits.  Fingerprints that share a key are candidates; the chain is tested with growing length up to the full distance.
 
 Equal fingerprints are put together before any of this.  A key with very many different fingerprints is dealt out in
 blocks, every pair of blocks being one unit of work, so no task holds more than two blocks; a unit emits a spanning
@@ -71,15 +72,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "doc_id long, fp long")
 
 
+def equal_parts(segments: int) -> list[list[int]]:
+    """For the chain that starts at a segment: sets of bits, one of which must be equal in fingerprints within the distance.
+
+    With 8 segments or more, the first two segments are equal and of the next three all but one.  With 4 segments, of 16
+    bits, the first is equal, and the second differs in one bit at most, so one of its halves is equal.
+    """
+    bits = 64 // segments
+    if segments >= 8:
+        return [[b for k in range(5) if k != left_out for b in range(k * bits, (k + 1) * bits)] for left_out in (2, 3, 4)]
+    return [[*range(bits), *range(bits + half, bits + half + bits // 2)] for half in (0, bits // 2)]
+
+
 def chain_keys(segments: int = SEGMENTS, fp: str = "fp", kind: str = "kind") -> Column:
-    """The keys of a fingerprint, an array of numbers: kind, start and left-out segment above five segments of chain."""
-    keys, bits = [], 64 // segments
+    """The keys of a fingerprint, an array of numbers: kind, start and part above the equal bits of the chain."""
+    keys, bits, parts = [], 64 // segments, equal_parts(segments)
     for start in range(segments):
         turn = start * bits
         chain = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else F.col(fp)
-        for left_out in (2, 3, 4):
-            mask = ((1 << 5 * bits) - 1) & ~(((1 << bits) - 1) << (left_out * bits))
-            keys.append(chain.bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(F.col(kind).cast("long") * (3 * segments) + (start * 3 + left_out - 2), 48)))
+        for k, part in enumerate(parts):
+            number = F.col(kind).cast("long") * (segments * len(parts)) + (start * len(parts) + k)
+            keys.append(chain.bitwiseAND(F.lit(sum(1 << b for b in part))).bitwiseOR(F.shiftleft(number, 48)))
     return F.array(*keys)
 
 
@@ -88,8 +101,8 @@ def pairs_within(key: np.ndarray, unit: np.ndarray, fps: np.ndarray, segments: i
 
     Rows of a unit follow each other; rows k apart are compared all at once, for k = 1, 2 and so on.
     """
-    bits, out = 64 // segments, []
-    turn = ((key >> 48) // 3 % segments * bits).astype(np.uint64)
+    bits, most, out = 64 // segments, 6 if segments == 16 else 3, []
+    turn = ((key >> 48) // len(equal_parts(segments)) % segments * bits).astype(np.uint64)
     active, apart = np.arange(len(fps)), 0
     while len(active):
         apart += 1
@@ -98,9 +111,9 @@ def pairs_within(key: np.ndarray, unit: np.ndarray, fps: np.ndarray, segments: i
         differ, turned = fps[active] ^ fps[active + apart], turn[active]
         differ = (differ >> turned) | (differ << ((np.uint64(64) - turned) & np.uint64(63)))
         left = np.arange(len(active))
-        for length in range(5, segments + 1):
+        for length in range(5 if segments >= 8 else 2, segments + 1):
             chain = differ[left] & np.uint64((1 << (length * bits)) - 1)
-            left = left[np.bitwise_count(chain) <= length * 3 // 8]
+            left = left[np.bitwise_count(chain) <= length * most // segments]
         out.append((active[left], active[left] + apart))
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
@@ -126,7 +139,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def links(prints: DataFrame, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b): links between different fingerprints at most ``segments * 3 / 8`` bits apart, from (kind, fp).
+    """(a, b): links between different fingerprints at most 3 bits (with 16 segments 6) apart, from (kind, fp).
 
     Only fingerprints of one kind (a number below 600) are linked, each of which should come once.  What a batch of units
     finds is emitted as a forest.
