@@ -7,7 +7,7 @@ of documents.
    has a posterior below ``LEAST_SCORE``.
 2. exact deduplication keeps one document of each group of equal texts.
 3. SimHash near-deduplication keeps one document of each group.  Fingerprints of the distinct words within 3 bits, for
-   any of eight independent ones, give candidates; only texts that share 0.8 or more of their five-word shingles are
+   any of twelve independent ones, give candidates; only texts that share 0.8 or more of their five-word shingles are
    linked (see the README for precision and recall).
 4. mixing repeats documents, or leaves them out, so that sources meet their target weights.
 5. BPE encodes and decodes what is left, one row per document of the mix.
