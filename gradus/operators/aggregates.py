@@ -87,9 +87,15 @@ def entropy_by_group(df: DataFrame, key: str, col: str) -> DataFrame:
     return sums.select(key, "n", _rounded(F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0))).alias("entropy"))
 
 
-def moments(df: DataFrame, col: str) -> DataFrame:
+def _quantiles(value: Column, at: Sequence[float], approximate: bool) -> Column:
+    """Exact quantiles hold every different value of a group; approximate ones a sketch of bounded size."""
+    ends = F.array(*map(F.lit, at))
+    return F.percentile_approx(value, ends, F.lit(10_000)) if approximate else F.percentile(value, ends)
+
+
+def moments(df: DataFrame, col: str, approximate: bool = False) -> DataFrame:
     """(n, mean, median, skewness, kurtosis): population skewness, excess kurtosis."""
-    return df.agg(F.count(col).alias("n"), _rounded(F.avg(col)).alias("mean"), _rounded(F.percentile(F.col(col).cast("double"), F.lit(0.5))).alias("median"), _rounded(F.skewness(col)).alias("skewness"), _rounded(F.kurtosis(col)).alias("kurtosis"))
+    return df.agg(F.count(col).alias("n"), _rounded(F.avg(col)).alias("mean"), _rounded(_quantiles(F.col(col).cast("double"), [0.5], approximate)[0]).alias("median"), _rounded(F.skewness(col)).alias("skewness"), _rounded(F.kurtosis(col)).alias("kurtosis"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, value_range: tuple[float, float] | None = None, density: bool = False, by: str | None = None) -> DataFrame:
@@ -110,12 +116,16 @@ def histogram(df: DataFrame, col: str, bins: int, value_range: tuple[float, floa
     return counts.select(*keys, "bin", "low", F.round(F.col("n") / total / F.col("__width"), 12).alias("density"))
 
 
-def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, q1, median, q3, low, high, outliers): whiskers are the furthest values within 1.5 IQR of the box."""
+def box_stats(df: DataFrame, key: str, col: str, approximate: bool = False, broadcast_groups: int = 10_000) -> DataFrame:
+    """(key, q1, median, q3, low, high, outliers): whiskers are the furthest values within 1.5 IQR of the box.
+
+    The boxes go back to the rows by broadcast where the groups are counted to be at most ``broadcast_groups``, else by shuffle.
+    """
     value = F.col(col).cast("double")
-    box = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).withColumn("__reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
+    box = df.groupBy(key).agg(_quantiles(value, [0.25, 0.5, 0.75], approximate).alias("q")).withColumn("__reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
     inside = (value >= F.col("q")[0] - F.col("__reach")) & (value <= F.col("q")[2] + F.col("__reach"))
-    # one row per group on one side: an equality join that AQE may turn into a broadcast where it is small
+    few = df.select(key).distinct().limit(broadcast_groups + 1).count() <= broadcast_groups
+    box = F.broadcast(box) if few else box
     joined = df.select(key, col).join(box.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
     out = joined.groupBy(key).agg(F.first("q").alias("q"), F.min(F.when(inside, value)).alias("low"), F.max(F.when(inside, value)).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
     return out.select(key, *[_rounded(F.col("q")[k]).alias(n) for k, n in enumerate(("q1", "median", "q3"))], _rounded(F.col("low")).alias("low"), _rounded(F.col("high")).alias("high"), "outliers")

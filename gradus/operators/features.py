@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
 from gradus.operators.relations import top_k
+from gradus.sources.io import save_artifacts
 
 
 def fit_topn_vocab(df: DataFrame, col: str, n: int) -> list[str]:
@@ -34,8 +36,8 @@ def target_encode(col: Column, labels: Sequence[str]) -> Column:
 
 def first_token_one_hot(df: DataFrame, tokens: str, chosen: Sequence[str]) -> DataFrame:
     first = X.first_token(F.col(tokens))
-    flags = [(first == t).cast("float").alias(f"first_{t}") for t in chosen]
-    return df.select("*", *flags, (~first.isin(*chosen)).cast("float").alias("first_other"))
+    flag = lambda c: F.coalesce(c.cast("float"), F.lit(0.0).cast("float"))
+    return df.select("*", *[flag(first == t).alias(f"first_{t}") for t in chosen], flag(~first.isin(*chosen)).alias("first_other"))
 
 
 def opening_family(tokens: Column, families: dict[str, Sequence[str]], other: str = "other") -> Column:
@@ -98,6 +100,88 @@ def assemble_features(df: DataFrame, spec: Sequence[tuple[str, Column]], key: st
     return df.select(key, *[c.alias(name) for name, c in spec])
 
 
+@dataclass(frozen=True)
+class FeatureSpec:
+    """Which columns hold what, and the sizes of what is fitted."""
+
+    key: str
+    target: str  # a band
+    labels: Sequence[str]  # its values in order
+    tokens: str
+    category: str  # a code whose first letter is a class of its own
+    letters: Sequence[str]
+    kind: str
+    kinds: Sequence[str]
+    base: str
+    increment: str
+    firsts: Sequence[str]
+    most_tokens: float = 200.0
+    least_tokens: int = 5
+    codes: int = 100
+    gram: int = 2
+    grams: int = 1000
+    factors: int = 50
+
+
+#: What tokens stand for castling to either side, a check and a pawn move, and in how many first tokens they count.
+KINGSIDE, QUEENSIDE, CHECK, PAWN = ("O-O[+#]?", 20), ("O-O-O[+#]?", 20), ("[+#]$", 15), ("^[a-h]", 10)
+
+
+def fit_features(train: DataFrame, spec: FeatureSpec) -> dict:
+    """What transforming needs, as plain values: vocabularies, idf, factors and the final columns in order.
+
+    Everything that reaches the driver is as large as the vocabularies of the spec.
+    """
+    model = [tuple(r) for r in fit_tfidf(train, spec.key, spec.tokens, spec.gram, spec.grams).collect()]
+    grams = [g for g, _, _ in model]
+    weights = transform_tfidf(train, spec.key, spec.tokens, spec.gram, _tfidf_model(train, model))
+    vectors = fit_svd(weights, spec.key, grams, spec.factors)[1] if grams else np.zeros((0, 0))
+    fitted = {"codes": fit_topn_vocab(train, spec.category, spec.codes), "grams": [list(m) for m in model], "factors": vectors.tolist()}
+    return fitted | {"columns": transform_features(train.limit(0), spec, fitted).columns}
+
+
+def _tfidf_model(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "gram string, df long, idf double")
+
+
+def transform_features(df: DataFrame, spec: FeatureSpec, fitted: Mapping) -> DataFrame:
+    """(key, target as tinyint, features as float in their fixed order), the same for every split."""
+    tokens, number = F.col(spec.tokens), lambda c: F.coalesce(c.cast("float"), F.lit(0.0).cast("float"))
+    first = X.first_token(tokens)
+    columns = [(f"cat_{v}", X.code_prefix(F.col(spec.category), 1) == v) for v in spec.letters]
+    columns += [(f"code_{v}", F.col(spec.category) == v) for v in fitted["codes"]]
+    columns += [(f"kind_{v}", F.col(spec.kind) == v) for v in spec.kinds]
+    columns += [("base_log", F.log1p(F.col(spec.base))), ("increment_log", F.log1p(F.col(spec.increment))), ("length_norm", X.clip_scale(F.size(tokens).cast("double"), spec.most_tokens))]
+    columns += [(f"first_{v}", first == v) for v in spec.firsts] + [("first_other", ~first.isin(*spec.firsts))]
+    columns += [("entropy", X.seq_entropy(tokens, 20)), ("kingside", X.token_flag(tokens, *KINGSIDE)), ("queenside", X.token_flag(tokens, *QUEENSIDE)), ("checks", X.token_count_matching(tokens, *CHECK)), ("pawn_ratio", X.token_ratio_matching(tokens, *PAWN))]
+    target = X.band_rank(F.col(spec.target), spec.labels).cast("tinyint").alias(spec.target)
+    plain = df.select(F.col(spec.key), target, *[number(c).alias(name) for name, c in columns])
+    if not fitted["grams"]:
+        return plain
+    vectors, grams = np.array(fitted["factors"]), [g[0] for g in fitted["grams"]]
+    weights = transform_tfidf(df, spec.key, spec.tokens, spec.gram, _tfidf_model(df, [tuple(g) for g in fitted["grams"]]))
+    factors = project_svd(weights, spec.key, grams, vectors).withColumnRenamed(spec.key, "__key")
+    return plain.join(factors, F.col(spec.key) == F.col("__key"), "left").select(*plain.columns, *[number(F.col(f"svd_{k}")).alias(f"svd_{k}") for k in range(vectors.shape[1])])
+
+
+def build_features(splits: Mapping[str, DataFrame], spec: FeatureSpec, out: str, version: str = "v1", fit_on: str = "train") -> DataFrame:
+    """Fit on one split, then transform and write all of them below ``out``, with the artifacts; returns the gate of each split.
+
+    Rows with fewer than ``least_tokens`` tokens are dropped before anything is fitted; keys must be unlike in all rows.
+    """
+    gates = [min_length_gate(df.withColumn("split", F.lit(name)), spec.tokens, "split", spec.least_tokens) for name, df in splits.items()]
+    kept = {name: df.where(F.size(spec.tokens) >= spec.least_tokens) for name, df in splits.items()}
+    spark = kept[fit_on].sparkSession
+    fitted = fit_features(kept[fit_on], spec)
+    save_artifacts(spark, fitted, f"{out}/artifacts", version)
+    for name, df in kept.items():
+        transform_features(df, spec, fitted).select(*fitted["columns"]).write.parquet(f"{out}/{name}")
+    whole = gates[0]
+    for gate in gates[1:]:
+        whole = whole.unionByName(gate)
+    return whole
+
+
 def leakage_check(df: DataFrame, target: str, forbidden: Sequence[str], limit: float = 0.95) -> DataFrame:
     """(column, forbidden, r, leaks) for each numeric input."""
     numeric = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") and c != target]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gradus.functions import expressions as X
 
 #: Header keys of a record, and the numeric value of each result.
-HEADERS = ("Event", "Site", "UTCDate", "Date", "UTCTime", "Time", "White", "Black", "Result", "WhiteElo", "BlackElo", "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination")
+HEADERS = ("Event", "Site", "UTCDate", "Date", "UTCTime", "White", "Black", "Result", "WhiteElo", "BlackElo", "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination")
+UNFINISHED = "*"
 RESULT_VALUES = {"1-0": 1.0, "0-1": 0.0, "1/2-1/2": 0.5}
 SILVER_TYPES = {"WhiteElo": "smallint", "BlackElo": "smallint", "EloAvg": "smallint", "NumMoves": "smallint", "WhiteRatingDiff": "smallint", "BlackRatingDiff": "smallint"}
 SILVER_KEEP = ("Result", "WhiteElo", "BlackElo", "EloAvg", "NumMoves", "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Termination", "TimeControl", "Moves")
@@ -59,7 +60,7 @@ def parse_records(df: DataFrame) -> DataFrame:
         X.entity_id_from_url(F.col("Site")).alias("GameID"),
         X.coalesce_headers(F.col("Event")).alias("Event"),
         X.coalesce_headers(F.col("UTCDate"), F.col("Date")).alias("Date"),
-        X.coalesce_headers(F.col("UTCTime"), F.col("Time")).alias("Time"),
+        X.coalesce_headers(F.col("UTCTime")).alias("Time"),
         X.coalesce_headers(F.col("White")).alias("White"),
         X.coalesce_headers(F.col("Black")).alias("Black"),
         X.coalesce_headers(F.col("Result")).alias("Result"),
@@ -78,18 +79,24 @@ def parse_records(df: DataFrame) -> DataFrame:
 
 
 def quality_filter(df: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """``skip_reason`` and ``skip_detail`` of the first rule that a row breaks; null if none."""
+    """``skip_reason`` and ``skip_detail`` of the first rule that a row breaks; null if none.
+
+    Bounds hold for each side: a missing score counts as 0 for the lower and as 9999 for the upper one.
+    """
     moves, result = F.col("NumMoves"), F.coalesce(F.col("Result"), F.lit(""))
-    missing = F.col("EloAvg").isNull()
-    low, high = F.coalesce(F.col("EloAvg"), F.lit(0)), F.coalesce(F.col("EloAvg"), F.lit(9999))
+    sides = {"W": F.col("WhiteElo"), "B": F.col("BlackElo")}
+    missing = sides["W"].isNull() | sides["B"].isNull()
+    low = F.least(*[F.coalesce(c, F.lit(0)) for c in sides.values()])
+    high = F.greatest(*[F.coalesce(c, F.lit(9999)) for c in sides.values()])
+    both = F.concat_ws(" ", *[F.concat(F.lit(f"{side}="), F.coalesce(c.cast("string"), F.lit("None"))) for side, c in sides.items()])
     checks: list[tuple[bool, Column, str, Column]] = [
-        (rules.require_result, ~result.isin(*RESULT_VALUES), "unfinished", result),
+        (rules.require_result, result == UNFINISHED, "unfinished", result),
         (rules.require_moves, moves == 0, "no_moves", F.lit("")),
         (rules.min_moves > 0, moves < rules.min_moves, "too_short", F.concat(moves.cast("string"), F.lit(f"<{rules.min_moves}"))),
         (rules.max_moves > 0, moves > rules.max_moves, "too_long", F.concat(moves.cast("string"), F.lit(f">{rules.max_moves}"))),
         (rules.require_elo, missing, "missing_elo", F.lit("")),
-        (rules.min_elo > 0, low < rules.min_elo, "elo_too_low", F.concat(low.cast("string"), F.lit(f"<{rules.min_elo}"))),
-        (rules.max_elo > 0, high > rules.max_elo, "elo_too_high", F.concat(high.cast("string"), F.lit(f">{rules.max_elo}"))),
+        (rules.min_elo > 0, low < rules.min_elo, "elo_too_low", both),
+        (rules.max_elo > 0, high > rules.max_elo, "elo_too_high", both),
     ]
     reason = detail = F.lit(None).cast("string")
     for on, broken, name, told in reversed(checks):
@@ -104,9 +111,22 @@ def skip_reason_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def part_of() -> Column:
+    """The part of a judged row: usable, skipped (a rule is broken) or errors (it could not be parsed)."""
+    return F.when(F.col("is_error"), "errors").when(F.col("skip_reason").isNotNull(), "skipped").otherwise("usable")
+
+
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(usable rows, rows a rule skips, rows that could not be parsed), without loss."""
-    return df.where("not is_error and skip_reason is null"), df.where("not is_error and skip_reason is not null"), df.where("is_error")
+    """(usable rows, rows a rule skips, rows that could not be parsed), without loss.
+
+    Each part reads the rows again: persist or write them first where they are costly.
+    """
+    return tuple(df.where(part_of() == part) for part in ("usable", "skipped", "errors"))
+
+
+def quarantine_counts(df: DataFrame) -> DataFrame:
+    """(part, n) of all rows, in one aggregation."""
+    return df.groupBy(part_of().alias("part")).agg(F.count("*").alias("n"))
 
 
 def project_existing(df: DataFrame, keep: Sequence[str]) -> DataFrame:

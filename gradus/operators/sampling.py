@@ -19,22 +19,35 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
-def stratified_sample(df: DataFrame, stratum: str, n_per: int, seed: int, key: str, slack: float = 1.2) -> DataFrame:
-    """Exactly min(n_per, size) rows of each stratum; rows without a stratum are left out.
+def _sliced(df: DataFrame, label: str, seed: int, key: str, slice_rows: int, broadcast_labels: int) -> DataFrame:
+    """The rows with ``__draw``, ``__n`` (rows of their label), ``__slice`` and ``__before`` (rows of the label in earlier slices).
 
-    The n_per smallest draws of a stratum are wanted.  A draw is uniform, so those with a leading fraction below
-    slack * n_per / size (and some) nearly always include them: only they are ranked.  A stratum where they fall short
-    is ranked whole.  The result is that of ranking everything, but no task sorts a whole stratum.
+    The draws of a label are dealt in order to slices of about ``slice_rows`` rows, as many as its size asks for, so neither
+    a window nor a join key holds more than a slice.  The sizes of labels are broadcast up to ``broadcast_labels`` of them.
     """
-    rows = df.where(F.col(stratum).isNotNull()).withColumn("__draw", draw(key, seed))
+    rows = df.withColumn("__draw", draw(key, seed))
+    sizes = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    few = df.select(label).distinct().limit(broadcast_labels + 1).count() <= broadcast_labels
+    own = rows.join(F.broadcast(sizes) if few else sizes, F.col(label).eqNullSafe(F.col("__label")))
     fraction = F.conv(F.substring("__draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sizes = rows.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("__size"))
-    limits = sizes.withColumn("__limit", slack * n_per / F.col("__size") + 10.0 / F.col("__size"))
-    sifted = rows.join(limits, F.col(stratum) == F.col("__stratum")).withColumn("__low", fraction < F.col("__limit"))
-    enough = sifted.groupBy("__stratum").agg((F.sum(F.col("__low").cast("long")) >= F.least(F.lit(n_per), F.first("__size"))).alias("__enough")).withColumnRenamed("__stratum", "__own")
-    ranked = sifted.join(enough, F.col("__stratum") == F.col("__own")).where(F.col("__low") | ~F.col("__enough"))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__draw", key))
-    return ranked.withColumn("__place", place).where(F.col("__place") <= n_per).select(df.columns)
+    own = own.withColumn("__slice", F.floor(fraction * F.ceil(F.col("__n") / slice_rows)))
+    earlier = Window.partitionBy("__l").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # over the slices of a label
+    before = own.groupBy(F.col("__label").alias("__l"), F.col("__slice").alias("__s")).agg(F.count("*").alias("__c"))
+    before = before.select("__l", "__s", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    return own.join(before, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__slice") == F.col("__s")))
+
+
+def _rank(key: str) -> Column:
+    return F.row_number().over(Window.partitionBy("__label", "__slice").orderBy("__draw", key)) + F.col("__before")
+
+
+def stratified_sample(df: DataFrame, stratum: str, n_per: int, seed: int, key: str, slice_rows: int = 100_000, broadcast_labels: int = 10_000) -> DataFrame:
+    """Exactly min(n_per, size) rows of each stratum, those with the smallest draws; rows without a stratum are left out.
+
+    Only the slices in which a stratum's sample ends or lies are ranked.
+    """
+    own = _sliced(df.where(F.col(stratum).isNotNull()), stratum, seed, key, slice_rows, broadcast_labels)
+    return own.where(F.col("__before") < n_per).withColumn("__rank", _rank(key)).where(F.col("__rank") <= n_per).select(df.columns)
 
 
 def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -53,17 +66,10 @@ def sample_report(df: DataFrame, sample: DataFrame, stratum: str, least: int = 1
     return both.withColumn("covered", F.col("sampled") >= F.least(F.col("population"), F.lit(least)))
 
 
-def stratified_split(df: DataFrame, label: str, test: float, seed: int, key: str) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, test: float, seed: int, key: str, slice_rows: int = 100_000, broadcast_labels: int = 10_000) -> DataFrame:
     """``is_test`` for round(test * n) rows of each class: those whose draws come first."""
-    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
-    own = df.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
-    # ranks in two levels: draws are dealt into 256 slices in order, so no window holds a class
-    own = own.withColumn("__draw", draw(key, seed)).withColumn("__slice", F.substring("__draw", 1, 2))
-    before = own.groupBy("__label", "__slice").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy("__label").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(F.col("__label").alias("__l"), F.col("__slice").alias("__s"), "__before")
-    placed = own.join(before, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__slice") == F.col("__s")))
-    rank = F.row_number().over(Window.partitionBy("__label", "__slice").orderBy("__draw", key)) + F.col("__before")
-    return placed.withColumn("is_test", rank <= F.floor(F.col("__n") * test + 0.5)).select(*df.columns, "is_test")
+    own = _sliced(df, label, seed, key, slice_rows, broadcast_labels)
+    return own.withColumn("is_test", _rank(key) <= F.floor(F.col("__n") * test + 0.5)).select(*df.columns, "is_test")
 
 
 def temporal_split(df: DataFrame, month: Column, train: Sequence[str], validation: Sequence[str]) -> DataFrame:

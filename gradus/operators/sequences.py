@@ -38,9 +38,9 @@ def first_token_share(df: DataFrame, band: str, tokens: str, chosen: Sequence[st
 def prefix_concentration(df: DataFrame, prefix: str, band: str, k: int = 20) -> DataFrame:
     """(prefix, n, share, dominant): of the k most frequent prefixes, the band that holds most of each."""
     counts = df.where(F.col(band).isNotNull()).groupBy(prefix, band).agg(F.count("*").alias("c"))
-    best = F.max(F.struct("c", band)).alias("best")  # of equal counts the band that sorts last
+    best = F.min(F.struct((-F.col("c")).alias("c"), band)).alias("best")  # of equal counts the band that sorts first
     per = counts.groupBy(prefix).agg(F.sum("c").alias("n"), best)
-    return per.orderBy(F.desc("n"), prefix).limit(k).select(prefix, "n", F.round(F.col("best.c") / F.col("n"), 6).alias("share"), F.col(f"best.{band}").alias("dominant"))
+    return per.orderBy(F.desc("n"), prefix).limit(k).select(prefix, "n", F.round(-F.col("best.c") / F.col("n"), 6).alias("share"), F.col(f"best.{band}").alias("dominant"))
 
 
 def signal_strength(df: DataFrame, tokens: str, band: str, depths: Sequence[int], k: int = 20) -> DataFrame:

@@ -31,8 +31,8 @@ EXPECTED = """g as (
 j as (select *, case when w is not null and b is not null then (w + b) // 2 end as elo,
     case tc when '300+3' then 300 when '60' then 60 when '15+0' then 15 when '900+10' then 900 when '1800+30' then 1800 end as base,
     case tc when '300+3' then 3 when '60' then 0 when '15+0' then 0 when '900+10' then 10 when '1800+30' then 30 end as inc from g where not broken),
-s as (select *, case when result = '*' then 'unfinished' when plies = 0 then 'no_moves' when plies < 5 then 'too_short' when elo is null then 'missing_elo' when elo < 900 then 'elo_too_low' when elo > 2600 then 'elo_too_high' end as reason,
-    case when result = '*' then '*' when plies = 0 then '' when plies < 5 then plies || '<5' when elo is null then '' when elo < 900 then elo || '<900' when elo > 2600 then elo || '>2600' end as detail from j)"""
+s as (select *, case when result = '*' then 'unfinished' when plies = 0 then 'no_moves' when plies < 5 then 'too_short' when elo is null then 'missing_elo' when least(w, b) < 900 then 'elo_too_low' when greatest(w, b) > 2600 then 'elo_too_high' end as reason,
+    case when result = '*' then '*' when plies = 0 then '' when plies < 5 then plies || '<5' when elo is null then '' when least(w, b) < 900 or greatest(w, b) > 2600 then 'W=' || w || ' B=' || b end as detail from j)"""
 RULES = I.QualityRules(min_elo=900, max_elo=2600)
 
 
@@ -120,15 +120,14 @@ def io6(spark, sf):
     return io.file_inventory(spark, f"{sf}/orders.parquet")
 
 
-@query("io7_read_prefix")
+@query("io7_read_prefix", "select o_orderkey from orders limit 1000")
 def io7(spark, sf):
     return io.read_prefix(spark, f"{sf}/orders.parquet", 1000).select("o_orderkey")
 
 
 @query("io8_quarantine", f"with {EXPECTED} select 'errors' as part, count(*) as n from g where broken union all select case when reason is null then 'usable' else 'skipped' end, count(*) from s group by 1")
 def io8(spark, sf):
-    parts = zip(("usable", "skipped", "errors"), I.quarantine(judged(spark, sf)))
-    return io.union_all([d.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, d in parts]).where("n > 0")
+    return I.quarantine_counts(judged(spark, sf))
 
 
 @query("io9_union_all", "select o_orderpriority, 2 * count(*) as n from orders group by 1")
@@ -249,17 +248,16 @@ def _streamed(spark, sf):
     files, out = record_files(spark, sf), io.scratch(spark, "stream")
     running = ingest_stream(spark, files, out, io.scratch(spark, "offsets"), RULES)
     running.awaitTermination()
-    return out, running
+    return out
 
 
 @query("st1_ingest_stream", f"with {EXPECTED} {_SILVER}")
 def st1(spark, sf):
-    out, _ = _streamed(spark, sf)
-    return spark.read.parquet(f"{out}/silver").drop("Moves", "batch")
+    return spark.read.parquet(f"{_streamed(spark, sf)}/silver").drop("Moves", "batch")
 
 
-@query("st2_ingest_progress", "select cast(0 as bigint) as batch, count(*) as input_rows from orders")
+@query("st2_ingest_progress", f"with {EXPECTED} select cast(0 as bigint) as batch, count(*) as input_rows, count(*) filter (broken) as errors, (select count(*) from s where reason is null) as usable from g")
 def st2(spark, sf):
-    return ingest_progress(spark, _streamed(spark, sf)[1]).select("batch", "input_rows")
+    return ingest_progress(spark, _streamed(spark, sf)).select("batch", "input_rows", "errors", "usable")
 
 

@@ -287,7 +287,7 @@ def sm3(spark, sf):
     return S.shuffle(table(spark, sf, "orders", "o_orderkey"), 42, "o_orderkey")
 
 
-@query("sm4_prefix_stratified")
+@query("sm4_prefix_stratified", f"with p as (select * from orders limit 5000), r as (select o_orderkey, {B} as stratum, row_number() over (partition by {B} order by md5(o_orderkey || '#42'), o_orderkey) as place from p) select o_orderkey, stratum from r where place <= 100")
 def sm4(spark, sf):
     return S.prefix_stratified(spark, f"{sf}/orders.parquet", 5000, price_band(), 100, 42, "o_orderkey").select("o_orderkey", "stratum")
 

@@ -8,7 +8,7 @@ from gradus.functions import expressions as X
 from gradus.operators import features as E
 from gradus.operators import sequences as Q
 from gradus.operators.relations import top_k
-from gradus.plans.binding import BREAKS, LABELS, PRIORITIES, SQL_BAND, SQL_Q, SQL_Q2, banded_orders, order_sequences, query, table, user_sequences
+from gradus.plans.binding import BREAKS, LABELS, PRIORITIES, STATUSES, SQL_BAND, SQL_Q, SQL_Q2, banded_orders, order_sequences, query, table, user_sequences
 from gradus.sources.io import load_artifacts, save_artifacts, scratch
 
 B = SQL_BAND.format(c="o_totalprice")
@@ -69,7 +69,7 @@ def sq7(spark, sf):
     return Q.first_token_share(order_sequences(spark, sf), "band", "tokens", CHOSEN)
 
 
-@query("sq8_prefix_concentration", f"with {SQL_Q2}, c as (select array_to_string(tokens[1:3], ' ') as prefix, band, count(*) as c from q2 group by 1, 2), p as (select prefix, sum(c) as n, max(c) as m, max_by(band, (c, band)) as d from c group by 1) select prefix, cast(n as bigint) as n, round(m / n, 6) as share, d as dominant from p order by n desc, prefix limit 20")
+@query("sq8_prefix_concentration", f"with {SQL_Q2}, c as (select array_to_string(tokens[1:3], ' ') as prefix, band, count(*) as c from q2 group by 1, 2), p as (select prefix, sum(c) as n, max(c) as m, min_by(band, (-c, band)) as d from c group by 1) select prefix, cast(n as bigint) as n, round(m / n, 6) as share, d as dominant from p order by n desc, prefix limit 20")
 def sq8(spark, sf):
     return Q.prefix_concentration(order_sequences(spark, sf).withColumn("prefix", X.prefix(F.col("tokens"), 3)), "prefix", "band", 20)
 
@@ -233,9 +233,35 @@ def fe19(spark, sf):
     return E.verify_feature_store(rows.where("m < '1997'"), rows.where("m >= '1997'"))
 
 
-@query("fe20_build_features", f"with {SQL_Q2} select * from ({_BUILT}) where k in (select k from q2 where len(tokens) >= 2)")
+SPEC = E.FeatureSpec("k", "band", LABELS, "tokens", "code", list("12345"), "status", STATUSES, "base", "inc", ("NO", "AF"), 7.0, 2, 10, 2, 20, 3)
+_SPLIT = f"""{SQL_Q2}, f as (select q2.k, band, tokens, o_orderstatus as status, substr(priority, 1, 1) || '-' || (o_custkey % 40) as code, o_custkey % 1800 as base, o_custkey % 30 as inc, case when o_orderdate < timestamp '1997-01-01' then 'train' else 'validation' end as split from q2 join orders on q2.k = o_orderkey where len(tokens) >= 2),
+v as (select code, row_number() over (order by count(*) desc, code) as place from f where split = 'train' group by 1 qualify place <= 10)"""
+_GATHERED = ", ".join(
+    [f"""round((substr(code, 1, 1) = '{v}')::int::double, 4) as "cat_{v}\"""" for v in "12345"]
+    + [f"""round((status = '{v}')::int::double, 4) as "kind_{v}\"""" for v in STATUSES]
+    + ["round(ln(1 + base), 4) as base_log", "round(ln(1 + inc), 4) as increment_log", "round(least(len(tokens), 7) / 7.0, 4) as length_norm"]
+    + [f"""round((tokens[1] = '{v}')::int::double, 4) as "first_{v}\"""" for v in ("NO", "AF")]
+    + ["round((tokens[1] not in ('NO', 'AF'))::int::double, 4) as first_other", "0.0::double as kingside", "0.0::double as queenside", "0.0::double as checks", "0.0::double as pawn_ratio"]
+)
+
+
+def built(spark, sf):
+    """(the gate of both splits, the folder with the written features)."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").withColumnRenamed("o_orderkey", "k")
+    code = F.concat(F.substring("priority", 1, 1), F.lit("-"), (F.col("o_custkey") % 40).cast("string"))
+    rows = order_sequences(spark, sf).join(orders, "k").select("k", "band", "tokens", F.col("o_orderstatus").alias("status"), code.alias("code"), (F.col("o_custkey") % 1800).alias("base"), (F.col("o_custkey") % 30).alias("inc"), "o_orderdate")
+    out, cut = scratch(spark, "features"), F.lit("1997-01-01").cast("timestamp")
+    return E.build_features({"train": rows.where(F.col("o_orderdate") < cut).drop("o_orderdate"), "validation": rows.where(F.col("o_orderdate") >= cut).drop("o_orderdate")}, SPEC, out), out
+
+
+@query("fe20_build_features", f"with {_SPLIT} select k, split, cast(substr(band, 2, 1) as int) - 1 as y, coalesce(place, 0) as code_place, {_GATHERED} from f left join v using (code)")
 def fe20(spark, sf):
-    return _features(order_sequences(spark, sf).where(F.size("tokens") >= 2))
+    _, out = built(spark, sf)
+    codes = load_artifacts(spark, f"{out}/artifacts", "v1")["codes"]
+    place = sum((F.col(f"`code_{v}`") * (k + 1) for k, v in enumerate(codes)), F.lit(0)).cast("long").alias("code_place")
+    names = [*[f"cat_{v}" for v in SPEC.letters], *[f"kind_{v}" for v in STATUSES], "base_log", "increment_log", "length_norm", "first_NO", "first_AF", "first_other", "kingside", "queenside", "checks", "pawn_ratio"]
+    read = lambda name: spark.read.parquet(f"{out}/{name}").select("k", F.lit(name).alias("split"), F.col("band").cast("int").alias("y"), place, *[F.round(F.col(f"`{c}`").cast("double"), 4).alias(c) for c in names])
+    return read("train").unionByName(read("validation"))
 
 
 @query("io11_artifacts", f"with {_VOCAB} select cast(coalesce(i, 10) as int) as p_brand_index, count(*) as n from part left join v using (p_brand) group by 1")

@@ -103,10 +103,13 @@ def load_artifacts(spark: SparkSession, path: str, version: str) -> dict:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set, as in tests on one machine, a temporary folder takes its place.
+    Only where none is set and Spark runs on one machine, as in tests, a temporary folder takes its place; on a cluster
+    that is an error, since executors would not see each other's files.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-gradus-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/gradus/{name}-{uuid.uuid4().hex}"

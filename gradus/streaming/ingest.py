@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.operators.ingest import QualityRules, parse_records, quality_filter, quarantine, to_silver
+from gradus.operators.ingest import QualityRules, parse_records, part_of, quality_filter, quarantine, to_silver
 
 
 def read_record_stream(spark: SparkSession, path: str, start: str = "[Event ", gap: str = "\n\n") -> DataFrame:
@@ -18,21 +20,25 @@ def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, rul
     """Start the ingest of what has arrived; returns the running query.
 
     Each batch writes its own folder per output, replacing it if the batch is run again, so a restart loses and doubles
-    nothing.
+    nothing.  Its counts and time go to ``progress``, beside the others.
     """
 
     def land(batch: DataFrame, number: int) -> None:
+        began = time.monotonic()
         judged = quality_filter(parse_records(batch), rules).persist()
         usable, skipped, errors = quarantine(judged)
         to_silver(usable).write.mode("overwrite").parquet(f"{out}/silver/batch={number}")
         skipped.select("record", "skip_reason", "skip_detail").write.mode("overwrite").parquet(f"{out}/skipped/batch={number}")
         errors.select("record").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        counted = judged.agg(F.count("*").alias("input_rows"), *[F.count_if(part_of() == part).alias(part) for part in ("usable", "skipped", "errors")])
+        seconds = F.lit(time.monotonic() - began)
+        counted.withColumns({"seconds": seconds, "rows_per_second": F.col("input_rows") / seconds}).coalesce(1).write.mode("overwrite").parquet(f"{out}/progress/batch={number}")
         judged.unpersist()
 
     return read_record_stream(spark, path).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_progress(spark: SparkSession, query) -> DataFrame:
-    """(batch, input_rows, rows_per_second) of the batches so far."""
-    rows = [(p["batchId"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0)) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch long, input_rows long, rows_per_second double")
+def ingest_progress(spark: SparkSession, out: str) -> DataFrame:
+    """(batch, input_rows, usable, skipped, errors, seconds, rows_per_second) of all batches that landed, restarts included."""
+    schema = "input_rows long, usable long, skipped long, errors long, seconds double, rows_per_second double, batch long"
+    return spark.read.schema(schema).parquet(f"{out}/progress").select("batch", "input_rows", "usable", "skipped", "errors", "seconds", "rows_per_second")

@@ -53,11 +53,12 @@ def test_time_controls(spark):
 
 
 def test_skip_precedence_and_bounds(spark):
-    rows = spark.createDataFrame([("*", 0, 1500), ("1-0", 0, None), ("1-0", 3, None), ("1-0", 300, 1500), ("1-0", 30, None), ("1-0", 30, 500), ("1-0", 30, 3000), ("1-0", 30, 1500)], "Result string, NumMoves int, EloAvg int")
+    rows = spark.createDataFrame([("*", 0, 1500, 1500), ("1-0", 0, None, 1500), ("1-0", 3, None, None), ("", 300, 1500, 1500), ("1-0", 30, 1500, None), ("1-0", 30, 500, 1500), ("1-0", 30, 1500, 3000), ("1-0", 30, 1500, 1500), ("?", 30, 600, 2800)], "Result string, NumMoves int, WhiteElo int, BlackElo int")
     rules = ingest.QualityRules(max_moves=200, min_elo=600, max_elo=2800)
-    assert [r.skip_reason for r in ingest.quality_filter(rows, rules).collect()] == ["unfinished", "no_moves", "too_short", "too_long", "missing_elo", "elo_too_low", "elo_too_high", None]
+    assert [r.skip_reason for r in ingest.quality_filter(rows, rules).collect()] == ["unfinished", "no_moves", "too_short", "too_long", "missing_elo", "elo_too_low", "elo_too_high", None, None]
+    assert [r.skip_detail for r in ingest.quality_filter(rows, rules).where("skip_reason like 'elo%'").collect()] == ["W=500 B=1500", "W=1500 B=3000"]
     loose = ingest.QualityRules(False, False, 0, 0, False, 0, 2800)
-    assert [r.skip_reason for r in ingest.quality_filter(rows, loose).collect()] == [None, "elo_too_high", "elo_too_high", None, "elo_too_high", None, "elo_too_high", None]
+    assert [r.skip_reason for r in ingest.quality_filter(rows, loose).collect()] == [None, "elo_too_high", "elo_too_high", None, "elo_too_high", None, "elo_too_high", None, None]
 
 
 def test_stratified_sample_is_that_of_ranking_everything(spark):
@@ -120,6 +121,57 @@ def test_sequence_properties(spark, data):
     assert len(matrix) <= 5 and all(sum(r[b] for b in binding.LABELS) == pytest.approx(100, abs=1e-4) for r in matrix)
 
 
+def test_features_are_built_end_to_end(spark, data):
+    gate, out = sequencing.built(spark, data)
+    train, validation = (spark.read.parquet(f"{out}/{name}") for name in ("train", "validation"))
+    fitted = io.load_artifacts(spark, f"{out}/artifacts", "v1")
+    assert train.columns == validation.columns == fitted["columns"] and train.dtypes == validation.dtypes
+    assert dict(train.dtypes)["band"] == "tinyint" and {kind for _, kind in train.dtypes[2:]} == {"float"}
+    assert [c for c in train.columns if c.startswith("svd_")] == ["svd_0", "svd_1", "svd_2"] and len(fitted["codes"]) == 10 and len(fitted["factors"]) == len(fitted["grams"])
+    assert {r.split: r.rows - r.dropped for r in gate.collect()} == {"train": train.count(), "validation": validation.count()}
+    assert sum(r.nulls for r in sequencing.E.verify_feature_store(train, validation).collect()) == 0
+    # the factors are those of the training rows only
+    rows = spark.createDataFrame([(1, ["NO", "NO", "AF"]), (2, ["AF"])], "k long, tokens array<string>").withColumns({"band": F.lit("b2"), "code": F.lit("1-1"), "status": F.lit("F"), "base": F.lit(0), "inc": F.lit(None).cast("int")})
+    got = {r.k: r for r in sequencing.E.transform_features(rows, sequencing.SPEC, fitted).collect()}
+    assert got[1].band == 1 and got[1].increment_log == 0 and got[2].svd_0 == 0 and got[1].svd_0 != 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Far:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Far(), type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        io.scratch(Session(), "x")
+
+
+def test_samples_by_slices(spark):
+    """Slices of a few rows give what ranking every stratum whole gives."""
+    df = spark.range(900).withColumn("s", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)))
+    for n in (1, 17, 1000):
+        whole = sorted(map(tuple, sampling.stratified_sample(df, "s", n, 3, "id").collect()))
+        assert sorted(map(tuple, sampling.stratified_sample(df, "s", n, 3, "id", 5, 0).collect())) == whole
+        assert len(whole) == sum(min(n, r["count"]) for r in df.where("s is not null").groupBy("s").count().collect())
+    splits = [sorted(sampling.stratified_split(df, "s", 0.3, 3, "id", *more).collect(), key=str) for more in ((), (7, 0))]
+    assert splits[0] == splits[1] and len(splits[0]) == 900
+
+
+def test_progress_of_all_batches(spark, tmp_path):
+    from gradus.streaming.ingest import ingest_progress, ingest_stream
+
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.txt").write_text("\n\n".join(f'[Event "e{j}"]\n[Result "1-0"]\n[WhiteElo "1500"]\n[BlackElo "{j}"]\n\n1. e4 e5 2. d4 d5 3. c4 1-0' for j in range(k + 1)) + "\n")
+        ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
+    got = sorted(ingest_progress(spark, str(tmp_path / "out")).collect())
+    assert [(r.batch, r.input_rows, r.usable, r.skipped, r.errors) for r in got] == [(0, 1, 0, 1, 0), (1, 2, 1, 1, 0), (2, 3, 2, 1, 0)] and all(r.rows_per_second > 0 for r in got)
+
+
 def test_empty_tables(spark, data):
     orders = spark.read.parquet(f"{data}/orders.parquet").limit(0).withColumn("band", binding.price_band())
     assert aggregates.value_counts(orders, "o_orderstatus", 3).count() == 0
