@@ -73,25 +73,30 @@ def near_groups(docs: DataFrame, row_col: str, text_col: str = "text", block: in
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sets = [shingle_set(t) for t in texts]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(shingle_set(t).tobytes()) for t in texts], np.uint64).view(np.int64)
             fps = np.array([fingerprints(t, kinds) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([*fps], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["row", "node", "fps", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([*fps], pa.list_(pa.int64()))], ["row", "node", "fps"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("node", "component", "blocks", "block")), sets], ["node", "component", "blocks", "block", "shingles"])
 
     rows = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    made = written(rows.mapInArrow(printed, "row long, node long, fps array<long>, shingles array<long>"), "near-prints")
-    nodes = written(made.groupBy("node").agg(F.min("fps").alias("fps")), "near-nodes")
+    made = written(rows.mapInArrow(printed, "row long, node long, fps array<long>"), "near-prints")
+    nodes = written(made.groupBy("node").agg(F.min("fps").alias("fps"), F.min("row").alias("first")), "near-nodes")
     each = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
     prints = written(each.groupBy("kind", "fp").agg(F.count("*").alias("nodes")), "near-fingerprints")
     met = written(links(prints.select("kind", "fp"), block, SEGMENTS), "near-links")
     # a fingerprint that is linked, or that several texts have, stands between them; what else meets there is told apart below
     between = written(met.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(prints.where("nodes > 1").select("fp")).distinct(), "near-between")
     graph = met.unionByName(each.join(between, "fp").select(F.col("node").alias("a"), F.col("fp").alias("b")))
-    placed = components(graph, "a", "b").join(nodes.select("node"), "node", "left_semi")
+    placed = components(graph, "a", "b").join(nodes.select("node", "first"), "node")
     placed = written(placed, "near-candidates")
     blocks = written(placed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "near-blocks")
     placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    sets = made.select("node", "shingles").join(placed, "node").dropDuplicates(["node"])
+    # only candidates' texts are read again, one row for each set of shingles
+    sets = rows.join(placed, F.col("row") == F.col("first")).select("node", "component", "blocks", "block", "text").mapInArrow(shingled, "node long, component long, blocks int, block int, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
     keys = ["component", "low", "high"]
