@@ -41,7 +41,8 @@ def text_of(column: str = "text") -> Column:
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Groups of consecutive rows with equal keys, as columns, from the batches of a sorted partition.
 
-    Whole numbers become numpy arrays; other types, and columns with nulls, arrays of objects.  A group may span batches.
+    Whole numbers become numpy arrays, lists of them arrays of such; other types, and columns with nulls, arrays of objects.
+    A group may span batches.
     """
     held: list[dict[str, np.ndarray]] = []
     held_key: tuple | None = None
@@ -56,6 +57,11 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
         for name, column in zip(batch.schema.names, batch.columns):
             if pa.types.is_integer(column.type) and not column.null_count:
                 columns[name] = column.to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.null_count:
+                flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
+                columns[name] = np.empty(len(ends), object)
+                for k, part in enumerate(np.split(flat, ends[:-1])):
+                    columns[name][k] = part
             else:
                 columns[name] = np.array([*column.to_pylist(), None], object)[:-1]
         change = np.zeros(batch.num_rows, bool)

@@ -103,7 +103,7 @@ def near_groups(docs: DataFrame, row_col: str, text_col: str = "text", block: in
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in sorted_groups(batches, tuple(keys)):
-            a, b = forest(*confirmed(g["node"].tolist(), [np.array(s, np.int64) for s in g["shingles"]]))
+            a, b = forest(*confirmed(g["node"].tolist(), [*g["shingles"]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     found = components(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "a long, b long"), "a", "b").withColumnRenamed("node", "its")
