@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradus.llm import bpe, exact_dedup, language_id, mixing, pii, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
+from gradus.llm import bpe, exact_dedup, language_id, merkle, mixing, pii, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op10_url_filter": url_filter.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
