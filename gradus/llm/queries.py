@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradus.llm import bpe, exact_dedup, language_id, merkle, mixing, pii, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
+from gradus.llm import bpe, dialogue_repair, exact_dedup, language_id, merkle, mixing, pii, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter, vector_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_merkle": merkle.op11_merkle,
+    "op12_dialogue_repair": dialogue_repair.op12_dialogue_repair,
+    "op13_vector_dedup": vector_dedup.op13_vector_dedup,
 }
 
 ORACLES = {
@@ -25,4 +27,6 @@ ORACLES = {
     "op7_topk_search": topk_search.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_dialogue_repair": dialogue_repair.ORACLE,
+    "op13_vector_dedup": vector_dedup.ORACLE,
 }
