@@ -92,18 +92,24 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | (F.length(col) == 0)
 
 
-def header(text: Column, key: str) -> Column:
-    """Value of a ``[Key "Value"]`` line; null if the line is absent."""
-    return marked_value(header_mark(text, key))
+#: A ``[Key "Value"]`` line.
+HEADER_LINE = r'(?m)^\[(\w+) "([^"\n]*)"\]'
+
 
+def header_lists(text: Column) -> tuple[Column, Column]:
+    """Keys and values of the header lines, which end at the first blank line, in two matches of the header block."""
+    block = F.substring_index(text, "\n\n", 1)
+    return tuple(F.regexp_extract_all(block, F.lit(HEADER_LINE), F.lit(group)) for group in (1, 2))
 
-def header_mark(text: Column, key: str) -> Column:
-    """A quote and the value of a ``[Key "Value"]`` line, in one match; empty if the line is absent."""
-    return F.regexp_extract(text, rf'(?m)^\[{key} ("[^"\n]*)"\]', 1)
 
+def header_value(keys: Column, values: Column, key: str) -> Column:
+    """The value of the first line of a key; null if there is none."""
+    return F.get(values, F.array_position(keys, key).cast("int") - 1)
 
-def marked_value(mark: Column) -> Column:
-    return F.when(mark != "", F.substring(mark, 2, 1 << 30))
+
+def header(text: Column, key: str) -> Column:
+    """Value of a ``[Key "Value"]`` line; null if the line is absent."""
+    return header_value(*header_lists(text), key)
 
 
 def movetext(text: Column) -> Column:
@@ -146,8 +152,8 @@ RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 
 
 def tokenize_moves(col: Column) -> Column:
-    """Tokens of numbered move text: words, less a move number in front, that are neither empty nor a result; none for null."""
-    words = F.transform(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, r"^\d+\.+", ""))
+    """Tokens of numbered move text: words, less a move number in front, that are neither empty nor a result; null for null."""
+    words = F.transform(F.split(col, r"\s+"), lambda w: F.regexp_replace(w, r"^\d+\.+", ""))
     return F.filter(words, lambda w: (w != "") & ~w.isin(*RESULTS))
 
 

@@ -116,18 +116,21 @@ def histogram(df: DataFrame, col: str, bins: int, value_range: tuple[float, floa
     return counts.select(*keys, "bin", "low", F.round(F.col("n") / total / F.col("__width"), 12).alias("density"))
 
 
-def box_stats(df: DataFrame, key: str, col: str, approximate: bool = False, broadcast_groups: int = 10_000) -> DataFrame:
+def box_stats(df: DataFrame, key: str, col: str, approximate: bool = False) -> DataFrame:
     """(key, q1, median, q3, low, high, outliers): whiskers are the furthest values within 1.5 IQR of the box.
 
-    The boxes go back to the rows by broadcast where the groups are counted to be at most ``broadcast_groups``, else by shuffle.
+    Values are counted by (key, value) once, with map-side combine, and boxes and whiskers both come from those counts; boxes go
+    back to them by a join that adaptive execution makes a broadcast where there are few.  Nothing runs while the plan is built.
     """
-    value = F.col(col).cast("double")
-    box = df.groupBy(key).agg(_quantiles(value, [0.25, 0.5, 0.75], approximate).alias("q")).withColumn("__reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
+    value = F.col("__v")
+    counts = df.groupBy(key, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ends = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    quartiles = F.percentile_approx(value, ends, F.lit(10_000)) if approximate else F.percentile(value, ends, F.col("__c"))
+    of = df.select(key, F.col(col).cast("double").alias("__v")) if approximate else counts  # the approximate form has no weights
+    box = of.groupBy(F.col(key).alias("__key")).agg(quartiles.alias("q")).withColumn("__reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
     inside = (value >= F.col("q")[0] - F.col("__reach")) & (value <= F.col("q")[2] + F.col("__reach"))
-    few = df.select(key).distinct().limit(broadcast_groups + 1).count() <= broadcast_groups
-    box = F.broadcast(box) if few else box
-    joined = df.select(key, col).join(box.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
-    out = joined.groupBy(key).agg(F.first("q").alias("q"), F.min(F.when(inside, value)).alias("low"), F.max(F.when(inside, value)).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
+    joined = counts.join(box, F.col(key).eqNullSafe(F.col("__key")))
+    out = joined.groupBy(key).agg(F.first("q").alias("q"), F.min(F.when(inside, value)).alias("low"), F.max(F.when(inside, value)).alias("high"), F.sum(F.when(~inside, F.col("__c")).when(inside, 0)).alias("outliers"))
     return out.select(key, *[_rounded(F.col("q")[k]).alias(n) for k, n in enumerate(("q1", "median", "q3"))], _rounded(F.col("low")).alias("low"), _rounded(F.col("high")).alias("high"), "outliers")
 
 

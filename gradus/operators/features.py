@@ -1,4 +1,4 @@
-"""Feature building: vocabularies, one-hot columns, TF-IDF, SVD, gates and checks."""
+"""Feature building: vocabularies, one-hot columns, TF-IDF, factors, gates and checks."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
+from gradus.operators.factorise import fit_svd, project_svd
 from gradus.operators.relations import top_k
-from gradus.sources.io import save_artifacts
+from gradus.sources.io import save_artifacts, scratch, union_all
 
 
 def fit_topn_vocab(df: DataFrame, col: str, n: int) -> list[str]:
@@ -63,31 +64,6 @@ def transform_tfidf(df: DataFrame, key: str, tokens: str, n: int, model: DataFra
     return counts.withColumn("w", F.round(F.col("w") / norm, 6))
 
 
-def fit_svd(weights: DataFrame, key: str, vocab: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, right vectors) of the weight matrix, without centring.
-
-    The Gram matrix of the vocabulary (its size squared, whatever the rows) is summed by Spark and decomposed here.
-    """
-    place = {g: i for i, g in enumerate(vocab)}
-    left = weights.select(key, F.col("gram").alias("a"), F.col("w").alias("wa"))
-    right = weights.select(key, F.col("gram").alias("b"), F.col("w").alias("wb"))
-    gram = np.zeros((len(vocab), len(vocab)))
-    for r in left.join(right, key).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).collect():
-        gram[place[r["a"]], place[r["b"]]] = r["s"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    vectors = vectors[:, order] * np.where(vectors[np.abs(vectors[:, order]).argmax(axis=0), order] < 0, -1, 1)
-    return np.sqrt(np.maximum(values[order], 0)), vectors
-
-
-def project_svd(weights: DataFrame, key: str, vocab: Sequence[str], vectors: np.ndarray) -> DataFrame:
-    """(key, svd_0, svd_1, ...)."""
-    k = vectors.shape[1]
-    rows = [(g, *map(float, vectors[i])) for i, g in enumerate(vocab)]
-    factors = weights.sparkSession.createDataFrame(rows, "gram string, " + ", ".join(f"f{i} double" for i in range(k)))
-    return weights.join(F.broadcast(factors), "gram").groupBy(key).agg(*[F.round(F.sum(F.col("w") * F.col(f"f{i}")), 6).alias(f"svd_{i}") for i in range(k)])
-
-
 def min_length_gate(df: DataFrame, tokens: str, by: str, n: int = 5) -> DataFrame:
     """(by, rows, dropped, rate, verdict): share of rows with fewer than n tokens."""
     short = F.coalesce(F.size(tokens) < n, F.lit(True))
@@ -167,19 +143,21 @@ def transform_features(df: DataFrame, spec: FeatureSpec, fitted: Mapping) -> Dat
 def build_features(splits: Mapping[str, DataFrame], spec: FeatureSpec, out: str, version: str = "v1", fit_on: str = "train") -> DataFrame:
     """Fit on one split, then transform and write all of them below ``out``, with the artifacts; returns the gate of each split.
 
-    Rows with fewer than ``least_tokens`` tokens are dropped before anything is fitted; keys must be unlike in all rows.
+    The rows of all splits are written once before anything else, so what they come from is worked out once, however many
+    passes fitting takes.  Rows with fewer than ``least_tokens`` tokens are dropped before anything is fitted; keys must be
+    unlike in all rows.
     """
-    gates = [min_length_gate(df.withColumn("split", F.lit(name)), spec.tokens, "split", spec.least_tokens) for name, df in splits.items()]
-    kept = {name: df.where(F.size(spec.tokens) >= spec.least_tokens) for name, df in splits.items()}
-    spark = kept[fit_on].sparkSession
+    spark, folder = splits[fit_on].sparkSession, scratch(splits[fit_on].sparkSession, "splits")
+    for name, df in splits.items():
+        df.write.parquet(f"{folder}/{name}")
+    rows = {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in splits.items()}
+    gates = [min_length_gate(df.withColumn("split", F.lit(name)), spec.tokens, "split", spec.least_tokens) for name, df in rows.items()]
+    kept = {name: df.where(F.size(spec.tokens) >= spec.least_tokens) for name, df in rows.items()}
     fitted = fit_features(kept[fit_on], spec)
     save_artifacts(spark, fitted, f"{out}/artifacts", version)
     for name, df in kept.items():
-        transform_features(df, spec, fitted).select(*fitted["columns"]).write.parquet(f"{out}/{name}")
-    whole = gates[0]
-    for gate in gates[1:]:
-        whole = whole.unionByName(gate)
-    return whole
+        transform_features(df, spec, fitted).select(*[f"`{c}`" for c in fitted["columns"]]).write.parquet(f"{out}/{name}")
+    return union_all(gates)
 
 
 def leakage_check(df: DataFrame, target: str, forbidden: Sequence[str], limit: float = 0.95) -> DataFrame:

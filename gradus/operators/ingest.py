@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
@@ -41,8 +41,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def parse_headers(df: DataFrame, keys: Sequence[str] = HEADERS, record: str = "record") -> DataFrame:
-    marked = once(df, **{f"__{k}": X.header_mark(F.col(record), k) for k in keys})
-    return marked.select(*df.columns, *[X.marked_value(F.col(f"__{k}")).alias(k) for k in keys])
+    """A column per header key, null where the record has none; the header block is cut and matched once for all keys."""
+    names, values = X.header_lists(F.col(record))
+    listed = once(df, __names=names, __values=values)
+    return listed.select(*df.columns, *[X.header_value(F.col("__names"), F.col("__values"), k).alias(k) for k in keys])
 
 
 def detect_parse_errors(df: DataFrame, mandatory: str = "Event", record: str = "record") -> DataFrame:
@@ -67,7 +69,7 @@ def parse_records(df: DataFrame) -> DataFrame:
         white.alias("WhiteElo"),
         black.alias("BlackElo"),
         X.floor_mean(white, black).alias("EloAvg"),
-        F.size(tokens).alias("NumMoves"),
+        F.coalesce(F.size(tokens), F.lit(0)).alias("NumMoves"),
         X.coalesce_headers(F.col("WhiteRatingDiff")).alias("WhiteRatingDiff"),
         X.coalesce_headers(F.col("BlackRatingDiff")).alias("BlackRatingDiff"),
         X.coalesce_headers(F.col("ECO")).alias("ECO"),
@@ -75,33 +77,39 @@ def parse_records(df: DataFrame) -> DataFrame:
         X.coalesce_headers(F.col("TimeControl")).alias("TimeControl"),
         X.coalesce_headers(F.col("Termination")).alias("Termination"),
         F.coalesce("__body", F.lit("")).alias("Moves"),
+        F.col("WhiteElo").alias("WhiteEloHeader"),
+        F.col("BlackElo").alias("BlackEloHeader"),
     )
 
 
 def quality_filter(df: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """``skip_reason`` and ``skip_detail`` of the first rule that a row breaks; null if none.
 
-    Bounds hold for each side: a missing score counts as 0 for the lower and as 9999 for the upper one.
+    Bounds hold for each side: a missing score counts as 0 for the lower and as 9999 for the upper one.  The detail of a missing
+    score has both headers as they stood, where the rows carry them (``WhiteEloHeader``, ``BlackEloHeader``).
     """
     moves, result = F.col("NumMoves"), F.coalesce(F.col("Result"), F.lit(""))
     sides = {"W": F.col("WhiteElo"), "B": F.col("BlackElo")}
     missing = sides["W"].isNull() | sides["B"].isNull()
     low = F.least(*[F.coalesce(c, F.lit(0)) for c in sides.values()])
     high = F.greatest(*[F.coalesce(c, F.lit(9999)) for c in sides.values()])
-    both = F.concat_ws(" ", *[F.concat(F.lit(f"{side}="), F.coalesce(c.cast("string"), F.lit("None"))) for side, c in sides.items()])
+    told = lambda given: F.concat_ws(" ", *[F.concat(F.lit(f"{side}="), F.coalesce(c.cast("string"), F.lit("None"))) for side, c in given.items()])
+    both = told(sides)
+    raw = {"W": "WhiteEloHeader", "B": "BlackEloHeader"}
+    stood = told({side: F.col(c) for side, c in raw.items()} if set(raw.values()) <= set(df.columns) else sides)
     checks: list[tuple[bool, Column, str, Column]] = [
         (rules.require_result, result == UNFINISHED, "unfinished", result),
         (rules.require_moves, moves == 0, "no_moves", F.lit("")),
         (rules.min_moves > 0, moves < rules.min_moves, "too_short", F.concat(moves.cast("string"), F.lit(f"<{rules.min_moves}"))),
         (rules.max_moves > 0, moves > rules.max_moves, "too_long", F.concat(moves.cast("string"), F.lit(f">{rules.max_moves}"))),
-        (rules.require_elo, missing, "missing_elo", F.lit("")),
+        (rules.require_elo, missing, "missing_elo", stood),
         (rules.min_elo > 0, low < rules.min_elo, "elo_too_low", both),
         (rules.max_elo > 0, high > rules.max_elo, "elo_too_high", both),
     ]
     reason = detail = F.lit(None).cast("string")
-    for on, broken, name, told in reversed(checks):
+    for on, broken, name, text in reversed(checks):
         if on:
-            reason, detail = F.when(broken, name).otherwise(reason), F.when(broken, told).otherwise(detail)
+            reason, detail = F.when(broken, name).otherwise(reason), F.when(broken, text).otherwise(detail)
     return df.withColumns({"skip_reason": reason, "skip_detail": detail})
 
 
@@ -124,6 +132,25 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(df.where(part_of() == part) for part in ("usable", "skipped", "errors"))
 
 
+def write_parts(df: DataFrame, path: str) -> None:
+    """Judged rows in one pass to ``path``/part=usable (typed), skipped (record, reason, detail) and errors (record).
+
+    It is one write by one job: it commits all parts or none, and a second attempt replaces the first.
+    """
+    typed = to_silver(df.withColumns({"__record": F.col("record"), "__reason": F.col("skip_reason"), "__detail": F.col("skip_detail"), "__part": part_of()}), keep=("__record", "__reason", "__detail", "__part"))
+    usable, skipped = F.col("__part") == "usable", F.col("__part") == "skipped"
+    silver = [F.when(usable, F.col(c)).alias(c) for c in typed.columns if not c.startswith("__")]
+    rows = typed.select(*silver, F.when(~usable, F.col("__record")).alias("record"), F.when(skipped, F.col("__reason")).alias("skip_reason"), F.when(skipped, F.col("__detail")).alias("skip_detail"), F.col("__part").alias("part"))
+    rows.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The rows of one part that ``write_parts`` wrote, with the part's columns; other parts' files are not read."""
+    rows = spark.read.parquet(path).where(F.col("part") == part)
+    own = {"usable": [c for c in rows.columns if c not in ("record", "skip_reason", "skip_detail", "part")], "skipped": ["record", "skip_reason", "skip_detail"], "errors": ["record"]}
+    return rows.select(*own[part], *[c for c in ("batch",) if c in rows.columns and c not in own[part]])
+
+
 def quarantine_counts(df: DataFrame) -> DataFrame:
     """(part, n) of all rows, in one aggregation."""
     return df.groupBy(part_of().alias("part")).agg(F.count("*").alias("n"))
@@ -142,9 +169,9 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 
 
-def to_silver(df: DataFrame) -> DataFrame:
-    """Parsed rows to the 14 typed columns."""
-    kept = compact_types(project_existing(df, SILVER_KEEP), SILVER_TYPES)
+def to_silver(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Parsed rows to the 14 typed columns, and others to keep."""
+    kept = compact_types(project_existing(df, [*SILVER_KEEP, *keep]), SILVER_TYPES)
     base, increment = X.time_control(F.col("TimeControl"))
     typed = kept.withColumns({"ResultNumeric": X.map_values(F.col("Result"), RESULT_VALUES).cast("float"), "BaseTime": base.try_cast("smallint"), "Increment": increment.try_cast("smallint"), "GameFormat": X.classify_duration(base, increment)})
     return drop_columns(typed, ["TimeControl"])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
 from gradus.operators.aggregates import entropy_by_group, row_share
 from gradus.operators.relations import semi_join_topk, top_k_per_group, zero_fill_levels
+from gradus.sources.io import scratch, union_all
 
 
 def collect_sequence(df: DataFrame, key: str, order: Sequence[str], token: Column) -> DataFrame:
@@ -74,10 +75,41 @@ def sequence_quality(df: DataFrame, tokens: str, pattern: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(col.isNull().cast("long")).alias("missing"), F.sum(F.coalesce(F.size(col) == 0, F.lit(False)).cast("long")).alias("empty"), F.round(F.avg(F.when(col.isNotNull(), F.size(col))), 6).alias("mean_tokens"), F.sum(F.coalesce(F.when(col.isNotNull(), bad), F.lit(0))).cast("long").alias("bad_tokens"))
 
 
-def book_depth(df: DataFrame, key: str, tokens: str, min_support: int, most: int = 20) -> DataFrame:
-    """(key, depth): tokens of the longest prefix that at least ``min_support`` lists share; 0 for none."""
-    depths = F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(most)))
-    prefixes = df.where(F.size(tokens) > 0).select(key, F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(tokens, F.lit(1), d), " ").alias("prefix")))).alias("p")).select(key, "p.depth", "p.prefix")
-    book = prefixes.groupBy("prefix").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).select("prefix")
-    found = prefixes.join(book, "prefix", "left_semi").groupBy(key).agg(F.max("depth").alias("depth"))
-    return df.select(key).join(found, key, "left").na.fill(0, ["depth"])
+def book_depth(df: DataFrame, key: str, tokens: str, min_support: int, most: int = 20, listed: int = 10_000) -> DataFrame:
+    """(key, depth): tokens of the longest prefix that at least ``min_support`` lists share; 0 for none.
+
+    A prefix tree is grown level by level: a list is looked at one token deeper only while its prefix so far is supported, so
+    the rows of a level fall with its depth, and what is counted is (number of the prefix, next token), with map-side combine.
+    Supported prefixes go back to the lists by broadcast; beyond ``listed`` of them, only the most frequent do, and the others,
+    none of which is hot, by a shuffle.  Every level is written once and names the rows that end there.
+    """
+    spark = df.sparkSession
+    alive = df.where(F.size(tokens) > 0).select(key, F.slice(tokens, 1, most).alias("__tokens"), F.lit(0).cast("long").alias("__node"))
+    ended = [df.where(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(key, F.lit(0).alias("depth"))]
+    for depth in range(1, most + 1):
+        token = F.try_element_at("__tokens", F.lit(depth))
+        counts = alive.where(F.size("__tokens") >= depth).groupBy("__node", token.alias("__token")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_support)
+        book = _kept(spark, counts.withColumn("__next", F.monotonically_increasing_id()), "book")
+        many = book.count()
+        rows = alive.withColumn("__token", token)
+        if many <= listed:
+            met = rows.join(F.broadcast(book.drop("__n")), ["__node", "__token"], "left")
+        else:
+            hot = book.orderBy(F.desc("__n"), "__next").limit(listed)
+            first = rows.join(F.broadcast(hot.drop("__n")), ["__node", "__token"], "left")
+            rest = first.where("__next is null").drop("__next").join(book.join(hot.select("__next"), "__next", "left_anti").drop("__n"), ["__node", "__token"], "left")
+            met = first.where("__next is not null").unionByName(rest)
+        if many:
+            level = _kept(spark, met.select(key, "__tokens", "__next"), "level")
+            ended.append(level.where("__next is null").select(key, F.lit(depth - 1).alias("depth")))
+            alive = level.where("__next is not null").select(key, "__tokens", F.col("__next").alias("__node"))
+        if not many or depth == most:
+            ended.append(alive.select(key, F.lit(depth if many else depth - 1).alias("depth")))
+            break
+    return union_all(ended)
+
+
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

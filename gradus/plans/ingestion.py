@@ -8,7 +8,7 @@ from gradus.functions import expressions as X
 from gradus.operators import ingest as I
 from gradus.plans.binding import query, table
 from gradus.sources import io
-from gradus.streaming.ingest import ingest_progress, ingest_stream
+from gradus.streaming.ingest import ingest_progress, ingest_stream, ingested
 
 TOKENS = ("e4", "e5", "Nf3", "Nc6", "O-O", "Bb5+")
 CONTROLS = ("300+3", "60", "-", "300+", "1/40", "15+0", "900+10", "1800+30")
@@ -32,7 +32,7 @@ j as (select *, case when w is not null and b is not null then (w + b) // 2 end
     case tc when '300+3' then 300 when '60' then 60 when '15+0' then 15 when '900+10' then 900 when '1800+30' then 1800 end as base,
     case tc when '300+3' then 3 when '60' then 0 when '15+0' then 0 when '900+10' then 10 when '1800+30' then 30 end as inc from g where not broken),
 s as (select *, case when result = '*' then 'unfinished' when plies = 0 then 'no_moves' when plies < 5 then 'too_short' when elo is null then 'missing_elo' when least(w, b) < 900 then 'elo_too_low' when greatest(w, b) > 2600 then 'elo_too_high' end as reason,
-    case when result = '*' then '*' when plies = 0 then '' when plies < 5 then plies || '<5' when elo is null then '' when least(w, b) < 900 or greatest(w, b) > 2600 then 'W=' || w || ' B=' || b end as detail from j)"""
+    case when result = '*' then '*' when plies = 0 then '' when plies < 5 then plies || '<5' when elo is null then 'W=' || coalesce(cast(w as varchar), '?') || ' B=' || coalesce(cast(b as varchar), '0') when least(w, b) < 900 or greatest(w, b) > 2600 then 'W=' || w || ' B=' || b end as detail from j)"""
 RULES = I.QualityRules(min_elo=900, max_elo=2600)
 
 
@@ -130,6 +130,17 @@ def io8(spark, sf):
     return I.quarantine_counts(judged(spark, sf))
 
 
+@query("io12_write_parts", f"with {EXPECTED} select 'errors' as part, '[Event \"broken\"]' as record, null as reason, null as detail, null as ECO, count(*) as n from g where broken group by 1, 2 union all select case when reason is null then 'usable' else 'skipped' end, null, reason, detail, case when reason is null then eco end, count(*) from s group by 1, 3, 4, 5")
+def io12(spark, sf):
+    path = io.scratch(spark, "parts")
+    I.write_parts(judged(spark, sf), path)
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    errors = I.read_part(spark, path, "errors").select(F.lit("errors").alias("part"), "record", none("reason"), none("detail"), none("ECO"))
+    skipped = I.read_part(spark, path, "skipped").select(F.lit("skipped").alias("part"), none("record"), F.col("skip_reason").alias("reason"), F.col("skip_detail").alias("detail"), none("ECO"))
+    usable = I.read_part(spark, path, "usable").select(F.lit("usable").alias("part"), none("record"), none("reason"), none("detail"), "ECO")
+    return io.union_all([errors, skipped, usable]).groupBy("part", "record", "reason", "detail", "ECO").agg(F.count("*").alias("n"))
+
+
 @query("io9_union_all", "select o_orderpriority, 2 * count(*) as n from orders group by 1")
 def io9(spark, sf):
     rows = table(spark, sf, "orders", "o_orderkey", "o_orderpriority")
@@ -253,7 +264,7 @@ def _streamed(spark, sf):
 
 @query("st1_ingest_stream", f"with {EXPECTED} {_SILVER}")
 def st1(spark, sf):
-    return spark.read.parquet(f"{_streamed(spark, sf)}/silver").drop("Moves", "batch")
+    return ingested(spark, _streamed(spark, sf)).drop("Moves", "batch")
 
 
 @query("st2_ingest_progress", f"with {EXPECTED} select cast(0 as bigint) as batch, count(*) as input_rows, count(*) filter (broken) as errors, (select count(*) from s where reason is null) as usable from g")

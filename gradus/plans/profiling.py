@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
 from gradus.operators import aggregates as A
 from gradus.operators import relations as R
 from gradus.operators import sampling as S
-from gradus.plans.binding import BREAKS, LABELS, NUMBERS, PRIORITIES, SQL_BAND, banded_orders, price_band, query, table
+from gradus.operators import sketches as K
+from gradus.plans.binding import BREAKS, LABELS, NUMBERS, PRIORITIES, SQL_BAND, SQL_Q2, banded_orders, order_sequences, price_band, query, table
+from gradus.sources.io import scan_parquet, scratch, write_bucketed, write_parquet
 
 B = SQL_BAND.format(c="o_totalprice")
 RANK = "cast(substr(band, 2, 1) as integer) - 1"
@@ -322,3 +326,89 @@ def sm9(spark, sf):
     return S.chi_square_representative(rows, S.stratified_sample(rows, "band", 150, 42, "o_orderkey"), "band")
 
 
+# Stored profiles and heavy hitters ----------------------------------------------------------------------------------
+
+
+def _stored(spark, sf):
+    """Where the orders' monthly summaries lie; the months are written in two goes, as if the later years had just arrived."""
+    path, month = scratch(spark, "profiles"), F.date_format("o_orderdate", "yyyy-MM")
+    rows = table(spark, sf, "orders", "o_orderdate", "o_totalprice", "o_custkey")
+    for some in (rows.where("year(o_orderdate) < 1997"), rows.where("year(o_orderdate) >= 1997")):
+        K.store(K.summarise(some, month, ["o_totalprice"], ["o_custkey"], ["o_custkey"]), path)
+    return path
+
+
+def _yearly(spark, sf):
+    return K.merged(spark, _stored(spark, sf), F.substring(F.col("part").cast("string"), 1, 4))
+
+
+def _years(spark, sf):
+    return table(spark, sf, "orders", "o_orderdate", "o_totalprice", "o_custkey").withColumn("by", F.date_format("o_orderdate", "yyyy"))
+
+
+@query("ag20_stored_quantiles", "select strftime(o_orderdate, '%Y') as by, count(*) as n, round(avg(o_totalprice), 4) as mean, round(stddev_samp(o_totalprice), 2) as std, min(o_totalprice) as min, max(o_totalprice) as max, true as close from orders group by 1")
+def ag20(spark, sf):
+    """Yearly profiles from monthly sketches; ``close``: the ranks of all quartiles are within three times the sketch's error, or two rows."""
+    found = K.stored_numbers(_yearly(spark, sf), ["o_totalprice"])
+    ranks = _years(spark, sf).join(found.select("by", "n", "quantiles"), "by").groupBy("by", "n").agg(*[F.avg((F.col("o_totalprice") <= F.col("quantiles")[k]).cast("double")).alias(f"r{k}") for k in range(3)])
+    close = F.greatest(*[F.abs(F.col(f"r{k}") - p) for k, p in enumerate((0.25, 0.5, 0.75))]) <= 3 * K.rank_error() + 2 / F.col("n")
+    return found.join(ranks.select("by", close.alias("close")), "by").select("by", "n", F.round("mean", 4).alias("mean"), F.round("std", 2).alias("std"), "min", "max", "close")
+
+
+@query("ag21_stored_distinct", "select strftime(o_orderdate, '%Y') as by, count(*) as rows, count(distinct o_custkey) as exact, true as close from orders group by 1")
+def ag21(spark, sf):
+    """``close``: the estimate is within four standard errors of the exact count."""
+    found = K.stored_distinct(_yearly(spark, sf), ["o_custkey"])
+    exact = _years(spark, sf).groupBy("by").agg(F.count_distinct("o_custkey").alias("exact"))
+    return found.join(exact, "by").select("by", "rows", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * K.distinct_error() * F.col("exact") + 1).alias("close"))
+
+
+@query("ag22_stored_density", "with p as (select strftime(o_orderdate, '%Y') as by, o_totalprice as v from orders) select \"by\", cast(bin as int) as bin, 50000.0::double * bin as low, round(count(*) filter (v <= 50000 * (bin + 1) and (v > 50000 * bin or bin = 0)) / count(*), 6) as exact, true as close from p, range(10) r(bin) group by 1, 2, 3")
+def ag22(spark, sf):
+    """The drift of densities (DR2) from stored sketches, beside the exact shares."""
+    found = K.stored_density(_yearly(spark, sf), "o_totalprice", 10, (0, 500_000))
+    place = F.greatest(F.ceil(F.col("o_totalprice") / 50_000) - 1, F.lit(0)).cast("int")
+    counts = _years(spark, sf).groupBy("by", place.alias("bin")).agg(F.count("*").alias("c"))
+    total = _years(spark, sf).groupBy("by").agg(F.count("*").alias("n"))
+    both = found.join(total, "by").join(counts, ["by", "bin"], "left").withColumn("exact", F.round(F.coalesce("c", F.lit(0)) / F.col("n"), 6))
+    return both.select("by", "bin", "low", "exact", (F.abs(F.col("share") - F.col("exact")) <= 6 * K.rank_error()).alias("close"))
+
+
+@query("js10_stored_set_sizes", "with a as (select distinct o_custkey as c from orders where o_orderdate < timestamp '1997-01-01'), b as (select distinct o_custkey as c from orders where o_orderdate >= timestamp '1997-01-01') select case when b.c is null then 'only_a' when a.c is null then 'only_b' else 'both' end as side, count(*) as exact, true as close from a full join b on a.c = b.c group by 1")
+def js10(spark, sf):
+    """Customers before and from 1997 on, by stored theta sketches; ``close``: within four standard errors of all customers."""
+    path = _stored(spark, sf)
+    months = [r["part"] for r in spark.read.parquet(path).select(F.col("part").cast("string").alias("part")).distinct().collect()]  # a row per month
+    a, b = (K.merged(spark, path, parts=[m for m in months if (m < "1997") == early]) for early in (True, False))
+    rows, cut = table(spark, sf, "orders", "o_custkey", "o_orderdate"), F.lit("1997-01-01").cast("timestamp")
+    exact = R.set_compare(rows.where(F.col("o_orderdate") < cut), rows.where(F.col("o_orderdate") >= cut), "o_custkey").groupBy("side").agg(F.count("*").alias("exact"))
+    total = rows.agg(F.count_distinct("o_custkey").alias("total"))  # a row
+    met = exact.join(K.stored_set_sizes(a, b, "o_custkey"), "side").join(total)
+    return met.select("side", "exact", (F.abs(F.col("n") - F.col("exact")) <= 4 * K.distinct_error() * F.col("total") + 1).alias("close"))
+
+
+@query("js11_heavy_top_k", f"with {SQL_Q2} select array_to_string(tokens[1:3], ' ') as prefix, count(*) as n from q2 group by 1 order by n desc, prefix limit 20")
+def js11(spark, sf):
+    return K.heavy_top_k(order_sequences(spark, sf).select(X.prefix(F.col("tokens"), 3).alias("prefix")), "prefix", 20)
+
+
+# Layouts that prune -------------------------------------------------------------------------------------------------
+
+
+@query("io13_month_partitions", "select split, count(*) as n from (select case when strftime(o_orderdate, '%Y-%m') in ('1995-01', '1995-02') then 'train' when strftime(o_orderdate, '%Y-%m') = '1995-03' then 'validation' end as split from orders) where split is not null group by 1")
+def io13(spark, sf):
+    """SM7 over month folders: only the folders named are read."""
+    path = scratch(spark, "months")
+    write_parquet(table(spark, sf, "orders", "o_orderkey", "o_orderdate").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")).repartition("month"), path, ["month"])
+    rows = S.temporal_split(scan_parquet(spark, path), F.col("month").cast("string"), ["1995-01", "1995-02"], ["1995-03"])
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("io14_bucketed_join", "select o_orderkey, count(*) as lines, round(max(o_totalprice), 2) as price from orders join lineitem on l_orderkey = o_orderkey group by 1")
+def io14(spark, sf):
+    """JS3 over tables in buckets by key: grouping and join need no shuffle."""
+    names = {t: f"gradus_{t}_{uuid.uuid4().hex}" for t in ("orders", "lines")}
+    write_bucketed(table(spark, sf, "orders", "o_orderkey", "o_totalprice"), scratch(spark, "orders"), names["orders"], "o_orderkey", 8)
+    write_bucketed(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), scratch(spark, "lines"), names["lines"], "o_orderkey", 8)
+    lines = spark.table(names["lines"]).groupBy("o_orderkey").agg(F.count("*").alias("lines"))
+    return R.hconcat_features([lines, spark.table(names["orders"]).select("o_orderkey", F.round("o_totalprice", 2).alias("price"))], "o_orderkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gradus.functions import expressions as X
@@ -202,6 +204,19 @@ def fe15(spark, sf):
     return E.project_svd(weights, "k", vocab, vectors)
 
 
+_GRAM = f"with {_TFIDF}, w as (select k, gram, count(*) * max(idf) as w from g join v using (gram) group by 1, 2), u as (select k, gram, round(w / sqrt(sum(w * w) over (partition by k)), 6) as w from w), p1 as (select a.gram as a, b.gram as b, sum(a.w * b.w) as s from u a join u b using (k) group by 1, 2), p2 as (select x.a, y.b, sum(x.s * y.s) as s from p1 x join p1 y on x.b = y.a group by 1, 2)"
+
+
+@query("fe21_singular_values", f"{_GRAM} select 2 as power, round(sum(s) filter (a = b), 4) as total from p1 union all select 4, round(sum(s) filter (a = b) / 1000, 4) from p2 union all select 6, round(sum(p1.s * p2.s) / 1000000, 4) from p1 join p2 on p1.b = p2.a and p1.a = p2.b")
+def fe21(spark, sf):
+    """Sums of powers of the singular values, in units of 1, 10^3 and 10^6: those of the matrix are traces of its square's powers."""
+    rows = user_sequences(spark, sf)
+    model = E.fit_tfidf(rows, "k", "tokens", 2, 20)
+    values, _ = E.fit_svd(E.transform_tfidf(rows, "k", "tokens", 2, model), "k", [r["gram"] for r in model.collect()], 20)
+    sums = [(p, float((values**p).sum() / unit)) for p, unit in ((2, 1), (4, 1e3), (6, 1e6))]
+    return spark.createDataFrame(sums, "power int, total double").withColumn("total", F.round("total", 4))
+
+
 @query("fe16_min_length_gate", f"with {SQL_Q2}, r as (select priority, count(*) as rows, count(*) filter (len(tokens) < 2) as dropped, round(100.0 * avg(cast(len(tokens) < 2 as int)), 6) as rate from q2 group by 1) select *, case when rate <= 1.5 then 'pass' when rate <= 3 then 'warn' else 'fail' end as verdict from r")
 def fe16(spark, sf):
     return E.min_length_gate(order_sequences(spark, sf), "tokens", "priority", 2)
@@ -234,33 +249,53 @@ def fe19(spark, sf):
 
 
 SPEC = E.FeatureSpec("k", "band", LABELS, "tokens", "code", list("12345"), "status", STATUSES, "base", "inc", ("NO", "AF"), 7.0, 2, 10, 2, 20, 3)
-_SPLIT = f"""{SQL_Q2}, f as (select q2.k, band, tokens, o_orderstatus as status, substr(priority, 1, 1) || '-' || (o_custkey % 40) as code, o_custkey % 1800 as base, o_custkey % 30 as inc, case when o_orderdate < timestamp '1997-01-01' then 'train' else 'validation' end as split from q2 join orders on q2.k = o_orderkey where len(tokens) >= 2),
-v as (select code, row_number() over (order by count(*) desc, code) as place from f where split = 'train' group by 1 qualify place <= 10)"""
+#: Names under which the feature build sees the tokens, so that castling, checks and pawn moves occur.
+NAMES = {"AF": "e4", "RF": "O-O", "NF": "O-O-O", "NO": "Nf3+"}
+WHOLE = replace(SPEC, firsts=("Nf3+", "e4"), grams=6, factors=6)  # as many factors as grams: a basis of all of them
+_NAMED = "list_transform(tokens, lambda x: case x " + " ".join(f"when '{a}' then '{b}'" for a, b in NAMES.items()) + " else x end)"
+_SPLIT = f"""{SQL_Q2}, f as (select q2.k, band, {_NAMED} as tokens, o_orderstatus as status, substr(priority, 1, 1) || '-' || (o_custkey % 40) as code, o_custkey % 1800 as base, o_custkey % 30 as inc, case when o_orderdate < timestamp '1997-01-01' then 'train' else 'validation' end as split from q2 join orders on q2.k = o_orderkey where len(tokens) >= 2),
+v as (select code, row_number() over (order by count(*) desc, code) as place from f where split = 'train' group by 1 qualify place <= 10),
+g as (select k, split, unnest(list_transform(range(1, len(tokens)), lambda i: array_to_string(tokens[i:i + 1], ' '))) as gram from f),
+b as (select gram from g where split = 'train' group by 1 order by count(distinct k) desc, gram limit 6), h as (select distinct k from g where gram in (select gram from b)),
+e as (select k, sum(-(c / n) * log2(c / n)) as entropy from (select k, t, count(*) as c, sum(count(*)) over (partition by k) as n from (select k, unnest(tokens[1:20]) as t from f) group by 1, 2) group by 1)"""
+_CHECKS = "len(list_filter(tokens[1:15], lambda x: regexp_matches(x, '[+#]$')))"
+_PAWNS = "len(list_filter(tokens[1:10], lambda x: regexp_matches(x, '^[a-h]'))) / len(tokens[1:10])"
+
+
+def _float_sql(e: str) -> str:
+    """Features are written as float."""
+    return f"round(({e})::float::double, 4)"
+
+
 _GATHERED = ", ".join(
-    [f"""round((substr(code, 1, 1) = '{v}')::int::double, 4) as "cat_{v}\"""" for v in "12345"]
-    + [f"""round((status = '{v}')::int::double, 4) as "kind_{v}\"""" for v in STATUSES]
-    + ["round(ln(1 + base), 4) as base_log", "round(ln(1 + inc), 4) as increment_log", "round(least(len(tokens), 7) / 7.0, 4) as length_norm"]
-    + [f"""round((tokens[1] = '{v}')::int::double, 4) as "first_{v}\"""" for v in ("NO", "AF")]
-    + ["round((tokens[1] not in ('NO', 'AF'))::int::double, 4) as first_other", "0.0::double as kingside", "0.0::double as queenside", "0.0::double as checks", "0.0::double as pawn_ratio"]
+    [_float_sql(f"(substr(code, 1, 1) = '{v}')::int") + f' as "cat_{v}"' for v in "12345"]
+    + [_float_sql(f"(status = '{v}')::int") + f' as "kind_{v}"' for v in STATUSES]
+    + [_float_sql("ln(1 + base)") + " as base_log", _float_sql("ln(1 + inc)") + " as increment_log", _float_sql("least(len(tokens), 7) / 7.0") + " as length_norm"]
+    + [_float_sql(f"(tokens[1] = '{v}')::int") + f' as "first_{v}"' for v in WHOLE.firsts]
+    + [_float_sql(f"(tokens[1] not in {WHOLE.firsts})::int") + " as first_other", _float_sql("greatest(entropy, 0)") + " as entropy"]
+    + [_float_sql(f"list_contains(tokens[1:20], '{t}')::int") + f" as {name}" for t, name in (("O-O", "kingside"), ("O-O-O", "queenside"))]
+    + [_float_sql(_CHECKS) + " as checks", _float_sql(_PAWNS) + " as pawn_ratio"]
 )
 
 
-def built(spark, sf):
+def built(spark, sf, spec=SPEC, names=None):
     """(the gate of both splits, the folder with the written features)."""
     orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").withColumnRenamed("o_orderkey", "k")
     code = F.concat(F.substring("priority", 1, 1), F.lit("-"), (F.col("o_custkey") % 40).cast("string"))
-    rows = order_sequences(spark, sf).join(orders, "k").select("k", "band", "tokens", F.col("o_orderstatus").alias("status"), code.alias("code"), (F.col("o_custkey") % 1800).alias("base"), (F.col("o_custkey") % 30).alias("inc"), "o_orderdate")
+    tokens = F.transform("tokens", lambda t: F.coalesce(X.map_values(t, names), t)) if names else F.col("tokens")
+    rows = order_sequences(spark, sf).join(orders, "k").select("k", "band", tokens.alias("tokens"), F.col("o_orderstatus").alias("status"), code.alias("code"), (F.col("o_custkey") % 1800).alias("base"), (F.col("o_custkey") % 30).alias("inc"), "o_orderdate")
     out, cut = scratch(spark, "features"), F.lit("1997-01-01").cast("timestamp")
-    return E.build_features({"train": rows.where(F.col("o_orderdate") < cut).drop("o_orderdate"), "validation": rows.where(F.col("o_orderdate") >= cut).drop("o_orderdate")}, SPEC, out), out
+    return E.build_features({"train": rows.where(F.col("o_orderdate") < cut).drop("o_orderdate"), "validation": rows.where(F.col("o_orderdate") >= cut).drop("o_orderdate")}, spec, out), out
 
 
-@query("fe20_build_features", f"with {_SPLIT} select k, split, cast(substr(band, 2, 1) as int) - 1 as y, coalesce(place, 0) as code_place, {_GATHERED} from f left join v using (code)")
+@query("fe20_build_features", f"with {_SPLIT} select f.k, split, cast(substr(band, 2, 1) as int) - 1 as y, coalesce(place, 0) as code_place, {_GATHERED}, case when h.k is null then 0.0 else 1.0 end::double as svd_length from f left join v using (code) left join e on e.k = f.k left join h on h.k = f.k")
 def fe20(spark, sf):
-    _, out = built(spark, sf)
+    _, out = built(spark, sf, WHOLE, NAMES)
     codes = load_artifacts(spark, f"{out}/artifacts", "v1")["codes"]
     place = sum((F.col(f"`code_{v}`") * (k + 1) for k, v in enumerate(codes)), F.lit(0)).cast("long").alias("code_place")
-    names = [*[f"cat_{v}" for v in SPEC.letters], *[f"kind_{v}" for v in STATUSES], "base_log", "increment_log", "length_norm", "first_NO", "first_AF", "first_other", "kingside", "queenside", "checks", "pawn_ratio"]
-    read = lambda name: spark.read.parquet(f"{out}/{name}").select("k", F.lit(name).alias("split"), F.col("band").cast("int").alias("y"), place, *[F.round(F.col(f"`{c}`").cast("double"), 4).alias(c) for c in names])
+    names = [*[f"cat_{v}" for v in WHOLE.letters], *[f"kind_{v}" for v in STATUSES], "base_log", "increment_log", "length_norm", *[f"first_{v}" for v in WHOLE.firsts], "first_other", "entropy", "kingside", "queenside", "checks", "pawn_ratio"]
+    length = F.round(F.sqrt(sum((F.col(f"svd_{k}") * F.col(f"svd_{k}") for k in range(WHOLE.factors)), F.lit(0.0))), 4) + 0.0
+    read = lambda name: spark.read.parquet(f"{out}/{name}").select("k", F.lit(name).alias("split"), F.col("band").cast("int").alias("y"), place, *[(F.round(F.col(f"`{c}`").cast("double"), 4) + 0.0).alias(c) for c in names], length.alias("svd_length"))
     return read("train").unionByName(read("validation"))
 
 

@@ -63,6 +63,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), co
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> None:
+    """A table whose files are dealt and sorted by key: tables of one number of buckets join and group by it without a shuffle."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
 def scan_parquet(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     return df.select(*columns) if columns else df

@@ -39,7 +39,7 @@ def test_text_functions(spark):
 def test_tokens(spark):
     tokens = lambda c: F.array_join(X.tokenize_moves(c), " ")
     texts = ["1. e4 e5 2. Nf3 Nc6", "1. O-O O-O-O 2. e8=Q 1/2-1/2", "1. e4 1-0", "", " 0-1 ", None, "1. d4\t d5  \n2. c4 *"]
-    assert values(spark, "string", texts, tokens) == ["e4 e5 Nf3 Nc6", "O-O O-O-O e8=Q", "e4", "", "", "", "d4 d5 c4"]
+    assert values(spark, "string", texts, tokens) == ["e4 e5 Nf3 Nc6", "O-O O-O-O e8=Q", "e4", "", "", None, "d4 d5 c4"]
     assert values(spark, "string", texts[:1] + texts[3:4], lambda c: X.prefix(X.tokenize_moves(c), 4)) == ["e4 e5 Nf3 Nc6", ""]
     assert values(spark, "array<string>", [["a", "b", "c"], ["a"], []], lambda c: X.ngrams_of(c, 2)) == [["a b", "b c"], [], []]
     assert values(spark, "array<string>", [["a", "a"], ["a", "b"], []], lambda c: X.seq_entropy(c, 10)) == [0.0, 1.0, 0.0]
