@@ -8,6 +8,7 @@ from gradus.functions import expressions as X
 from gradus.operators import ingest as I
 from gradus.plans.binding import query, table
 from gradus.sources import io
+from gradus.sources.records import RecordFiles, plain_path, write_frames
 from gradus.streaming.ingest import ingest_progress, ingest_stream, ingested
 
 TOKENS = ("e4", "e5", "Nf3", "Nc6", "O-O", "Bb5+")
@@ -115,9 +116,12 @@ def io5(spark, sf):
     return io.scan_parquet(spark, f"{sf}/orders.parquet", ["o_orderpriority"]).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("io6_file_inventory")
+@query("io6_file_inventory", "select count(*) as rows, true as named, true as sized from orders")
 def io6(spark, sf):
-    return io.file_inventory(spark, f"{sf}/orders.parquet")
+    """Names and bytes are not in SQL: ``named`` and ``sized`` say whether all files have a name and bytes to go with their rows."""
+    files = io.file_inventory(spark, f"{sf}/orders.parquet")
+    sized = (F.col("bytes") > 0) & (F.abs(F.col("bytes_per_row") - F.col("bytes") / F.col("rows")) < 1e-5)
+    return files.agg(F.sum("rows").alias("rows"), (F.count_distinct("file_name") == F.count("*")).alias("named"), F.bool_and(sized).alias("sized"))
 
 
 @query("io7_read_prefix", "select o_orderkey from orders limit 1000")
@@ -152,6 +156,17 @@ def io10(spark, sf):
     return io.count_records(table(spark, sf, "lineitem"))
 
 
+@query("io15_record_frames", f"with {EXPECTED} select count(*) as n, count(*) filter (broken) as broken, true as split from g")
+def io15(spark, sf):
+    """Records written as zstd files of many frames and read by frame; ``split``: more tasks read than there are files."""
+    path = io.scratch(spark, "frames")
+    files = write_frames(rendered(spark, sf).select("record"), path, 500)
+    spark.dataSource.register(RecordFiles)
+    records = spark.read.format("record_files").option("path", f"{plain_path(path)}/*.zst").load()
+    split = F.lit(records.rdd.getNumPartitions() >= files)
+    return records.agg(F.count("*").alias("n"), F.sum((F.col("record") == '[Event "broken"]').cast("long")).alias("broken")).withColumn("split", split)
+
+
 # Ingestion ----------------------------------------------------------------------------------------------------------
 
 

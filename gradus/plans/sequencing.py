@@ -284,7 +284,9 @@ def built(spark, sf, spec=SPEC, names=None):
     code = F.concat(F.substring("priority", 1, 1), F.lit("-"), (F.col("o_custkey") % 40).cast("string"))
     tokens = F.transform("tokens", lambda t: F.coalesce(X.map_values(t, names), t)) if names else F.col("tokens")
     rows = order_sequences(spark, sf).join(orders, "k").select("k", "band", tokens.alias("tokens"), F.col("o_orderstatus").alias("status"), code.alias("code"), (F.col("o_custkey") % 1800).alias("base"), (F.col("o_custkey") % 30).alias("inc"), "o_orderdate")
-    out, cut = scratch(spark, "features"), F.lit("1997-01-01").cast("timestamp")
+    path, out, cut = scratch(spark, "sequences"), scratch(spark, "features"), F.lit("1997-01-01").cast("timestamp")
+    rows.write.parquet(path)  # both splits come from sequences that are collected once
+    rows = spark.read.schema(rows.schema).parquet(path)
     return E.build_features({"train": rows.where(F.col("o_orderdate") < cut).drop("o_orderdate"), "validation": rows.where(F.col("o_orderdate") >= cut).drop("o_orderdate")}, spec, out), out
 
 
