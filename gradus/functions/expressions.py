@@ -153,7 +153,7 @@ RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 
 def tokenize_moves(col: Column) -> Column:
     """Tokens of numbered move text: words, less a move number in front, that are neither empty nor a result; null for null."""
-    words = F.transform(F.split(col, r"\s+"), lambda w: F.regexp_replace(w, r"^\d+\.+", ""))
+    words = F.split(F.regexp_replace(col, r"(?<!\S)\d+\.+", ""), r"\s+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*RESULTS))
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from gradus.functions import expressions as X
 from gradus.operators.factorise import fit_svd, project_svd
 from gradus.operators.relations import top_k
+from gradus.operators.sketches import heavy_top_k
 from gradus.sources.io import save_artifacts, scratch, union_all
 
 
-def fit_topn_vocab(df: DataFrame, col: str, n: int) -> list[str]:
-    """The n most frequent values: at most n rows reach the driver."""
-    return [r[col] for r in top_k(df.where(F.col(col).isNotNull()), [col], n).collect()]
+def fit_topn_vocab(df: DataFrame, col: str, n: int, tracked: int | None = None) -> list[str]:
+    """The n most frequent values: at most n rows reach the driver.  With ``tracked``, found among heavy hitters (same values)."""
+    found = df.where(F.col(col).isNotNull())
+    return [r[col] for r in (heavy_top_k(found, col, n, tracked) if tracked else top_k(found, [col], n)).collect()]
 
 
 def one_hot(df: DataFrame, col: str, vocab: Sequence[str], name: str) -> DataFrame:
@@ -113,31 +115,37 @@ def fit_features(train: DataFrame, spec: FeatureSpec) -> dict:
     weights = transform_tfidf(train, spec.key, spec.tokens, spec.gram, _tfidf_model(train, model))
     vectors = fit_svd(weights, spec.key, grams, spec.factors)[1] if grams else np.zeros((0, 0))
     fitted = {"codes": fit_topn_vocab(train, spec.category, spec.codes), "grams": [list(m) for m in model], "factors": vectors.tolist()}
-    return fitted | {"columns": transform_features(train.limit(0), spec, fitted).columns}
+    names = [spec.key, spec.target, *[name for name, _ in _plain_columns(spec, fitted)], *[f"svd_{k}" for k in range(vectors.shape[1])]]
+    return fitted | {"columns": names}
 
 
 def _tfidf_model(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "gram string, df long, idf double")
 
 
-def transform_features(df: DataFrame, spec: FeatureSpec, fitted: Mapping) -> DataFrame:
-    """(key, target as tinyint, features as float in their fixed order), the same for every split."""
-    tokens, number = F.col(spec.tokens), lambda c: F.coalesce(c.cast("float"), F.lit(0.0).cast("float"))
+def _plain_columns(spec: FeatureSpec, fitted: Mapping) -> list[tuple[str, Column]]:
+    """Features that a row has by itself, in their fixed order."""
+    tokens = F.col(spec.tokens)
     first = X.first_token(tokens)
     columns = [(f"cat_{v}", X.code_prefix(F.col(spec.category), 1) == v) for v in spec.letters]
     columns += [(f"code_{v}", F.col(spec.category) == v) for v in fitted["codes"]]
     columns += [(f"kind_{v}", F.col(spec.kind) == v) for v in spec.kinds]
     columns += [("base_log", F.log1p(F.col(spec.base))), ("increment_log", F.log1p(F.col(spec.increment))), ("length_norm", X.clip_scale(F.size(tokens).cast("double"), spec.most_tokens))]
     columns += [(f"first_{v}", first == v) for v in spec.firsts] + [("first_other", ~first.isin(*spec.firsts))]
-    columns += [("entropy", X.seq_entropy(tokens, 20)), ("kingside", X.token_flag(tokens, *KINGSIDE)), ("queenside", X.token_flag(tokens, *QUEENSIDE)), ("checks", X.token_count_matching(tokens, *CHECK)), ("pawn_ratio", X.token_ratio_matching(tokens, *PAWN))]
+    return columns + [("entropy", X.seq_entropy(tokens, 20)), ("kingside", X.token_flag(tokens, *KINGSIDE)), ("queenside", X.token_flag(tokens, *QUEENSIDE)), ("checks", X.token_count_matching(tokens, *CHECK)), ("pawn_ratio", X.token_ratio_matching(tokens, *PAWN))]
+
+
+def transform_features(df: DataFrame, spec: FeatureSpec, fitted: Mapping) -> DataFrame:
+    """(key, target as tinyint, features as float in their fixed order), the same for every split."""
+    number = lambda c: F.coalesce(c.cast("float"), F.lit(0.0).cast("float"))
     target = X.band_rank(F.col(spec.target), spec.labels).cast("tinyint").alias(spec.target)
-    plain = df.select(F.col(spec.key), target, *[number(c).alias(name) for name, c in columns])
+    plain = df.select(F.col(spec.key), target, *[number(c).alias(name) for name, c in _plain_columns(spec, fitted)])
     if not fitted["grams"]:
         return plain
     vectors, grams = np.array(fitted["factors"]), [g[0] for g in fitted["grams"]]
     weights = transform_tfidf(df, spec.key, spec.tokens, spec.gram, _tfidf_model(df, [tuple(g) for g in fitted["grams"]]))
     factors = project_svd(weights, spec.key, grams, vectors).withColumnRenamed(spec.key, "__key")
-    return plain.join(factors, F.col(spec.key) == F.col("__key"), "left").select(*plain.columns, *[number(F.col(f"svd_{k}")).alias(f"svd_{k}") for k in range(vectors.shape[1])])
+    return plain.join(factors, F.col(spec.key) == F.col("__key"), "left").select(*[f"`{c}`" for c in plain.columns], *[number(F.col(f"svd_{k}")).alias(f"svd_{k}") for k in range(vectors.shape[1])])
 
 
 def build_features(splits: Mapping[str, DataFrame], spec: FeatureSpec, out: str, version: str = "v1", fit_on: str = "train") -> DataFrame:

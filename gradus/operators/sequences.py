@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradus.functions import expressions as X
 from gradus.operators.aggregates import entropy_by_group, row_share
 from gradus.operators.relations import semi_join_topk, top_k_per_group, zero_fill_levels
+from gradus.operators.sketches import heavy_top_k_per_group
 from gradus.sources.io import scratch, union_all
 
 
@@ -24,10 +25,10 @@ def ngram_counts(df: DataFrame, tokens: str, n: int, first: int = 10) -> DataFra
     return df.select(F.explode(X.ngrams_of(F.slice(tokens, 1, first), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def top_ngrams_by_group(df: DataFrame, group: str, tokens: str, n: int, k: int, first: int = 10) -> DataFrame:
-    """(group, gram, n, rank)."""
+def top_ngrams_by_group(df: DataFrame, group: str, tokens: str, n: int, k: int, first: int = 10, tracked: int | None = None) -> DataFrame:
+    """(group, gram, n, rank).  With ``tracked``, found among heavy hitters of each group (same rows): for grams nearly all unlike."""
     grams = df.where(F.col(group).isNotNull()).select(group, F.explode(X.ngrams_of(F.slice(tokens, 1, first), n)).alias("gram"))
-    return top_k_per_group(grams, group, "gram", k)
+    return heavy_top_k_per_group(grams, group, "gram", k, tracked) if tracked else top_k_per_group(grams, group, "gram", k)
 
 
 def first_token_share(df: DataFrame, band: str, tokens: str, chosen: Sequence[str]) -> DataFrame:

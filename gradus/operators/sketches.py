@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.operators.relations import top_k
+from gradus.operators.relations import top_k, top_k_per_group
+from gradus.sources.io import scratch
 
 K, LG_DISTINCT, LG_SET = 800, 14, 14
 
@@ -125,3 +126,28 @@ def heavy_top_k(df: DataFrame, key: str, k: int, tracked: int = 100_000) -> Data
         return top_k(df, [key], k)
     counted = df.sparkSession.createDataFrame(found, exact.schema)
     return counted.unionByName(nulls).orderBy(F.desc("n"), key).limit(k)
+
+
+def heavy_top_k_per_group(df: DataFrame, group: str, key: str, k: int, tracked: int = 10_000, most: int = 1_000_000) -> DataFrame:
+    """(group, key, n, rank): exactly the k most frequent values of each group, as ``top_k_per_group`` finds them.
+
+    As ``heavy_top_k`` for every group at once.  The candidates of all groups are counted exactly; groups whose k-th candidate is
+    not certain are counted whole, the others are not.  With more than ``most`` candidates everything is counted.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(group, key)
+    summary = rows.groupBy(group).agg(F.expr(f"approx_top_k(`{key}`, {tracked}, {tracked})").alias("top"), F.count("*").alias("total"))
+    path = scratch(df.sparkSession, "heavy")
+    summary.write.parquet(path)
+    summary = df.sparkSession.read.schema(summary.schema).parquet(path)
+    if (summary.agg(F.sum(F.size("top")).alias("n")).first()["n"] or 0) > most:
+        return top_k_per_group(df, group, key, k)
+    candidates = summary.select(F.col(group).alias("__group"), F.explode("top").alias("t")).select("__group", F.col("t.item").alias("__key"))
+    same = F.col(group).eqNullSafe(F.col("__group"))
+    nulls = df.where(F.col(key).isNull()).select(group, key)
+    ranked = top_k_per_group(rows.join(F.broadcast(candidates), same & (F.col(key) == F.col("__key")), "left_semi").unionByName(nulls), group, key, k)
+    # a group is certain if its k-th place lies above what a value outside the candidates may have
+    last = ranked.where(F.col("rank") == k).select(F.col(group).alias("__g"), F.col("n").alias("__least"))
+    certain = summary.join(last, F.col(group).eqNullSafe(F.col("__g"))).where(F.col("__least") > frequent_error(tracked) * F.col("total")).select(F.col(group).alias("__group"))
+    certain = F.broadcast(certain)  # no more rows than candidates
+    rest = top_k_per_group(df.join(certain, same, "left_anti"), group, key, k)
+    return ranked.join(certain, same, "left_semi").unionByName(rest)

@@ -14,6 +14,9 @@ from gradus.streaming.ingest import ingest_progress, ingest_stream, ingested
 TOKENS = ("e4", "e5", "Nf3", "Nc6", "O-O", "Bb5+")
 CONTROLS = ("300+3", "60", "-", "300+", "1/40", "15+0", "900+10", "1800+30")
 
+#: Numbered move text of 0 to 11 plies; what follows a key is decided by its remainder.
+BODIES = [" ".join(f"{(i + 1) // 2}. {TOKENS[(r + i) % 6]}" if i % 2 else TOKENS[(r + i) % 6] for i in range(1, r + 1)) for r in range(12)]
+
 #: SQL of what ingestion should find, straight from the orders.
 EXPECTED = """g as (
   select k, k % 101 = 0 as broken,
@@ -60,11 +63,9 @@ def rendered(spark, sf):
         line("TimeControl", F.element_at(F.array(*map(F.lit, CONTROLS)), (k % 8 + 1).cast("int"))),
         line("Termination", F.when(F.col("o_orderstatus") == "F", "Normal").when(F.col("o_orderstatus") == "O", "Time forfeit").otherwise("Abandoned")),
     ]
-    token = lambda i: F.element_at(F.array(*map(F.lit, TOKENS)), ((k + i) % 6 + 1).cast("int"))
-    plies = F.when(k % 12 > 0, F.transform(F.sequence(F.lit(1).cast("long"), k % 12), lambda i: F.concat(F.when(i % 2 == 1, F.concat(number((i + 1) / 2).substr(F.lit(1), F.instr(number((i + 1) / 2), ".") - 1), F.lit(". "))).otherwise(""), token(i)))).otherwise(F.array().cast("array<string>"))
-    body = F.concat_ws(" ", F.array_join(plies, " "), result)
+    body = F.concat_ws(" ", F.nullif(F.element_at(F.array(*map(F.lit, BODIES)), (k % 12 + 1).cast("int")), F.lit("")), result)
     whole = F.concat_ws("\n", F.lit('[Event "Rated game"]'), *lines)
-    return table(spark, sf, "orders").select(k.alias("k"), F.when(k % 101 == 0, '[Event "broken"]').otherwise(F.concat(whole, F.lit("\n\n"), F.ltrim(body))).alias("record"))
+    return table(spark, sf, "orders").select(k.alias("k"), F.when(k % 101 == 0, '[Event "broken"]').otherwise(F.concat(whole, F.lit("\n\n"), body)).alias("record"))
 
 
 def record_files(spark, sf, name: str = "records") -> str:

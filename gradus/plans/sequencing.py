@@ -63,6 +63,12 @@ def sq6(spark, sf):
     return Q.top_ngrams_by_group(order_sequences(spark, sf), "band", "tokens", 2, 15)
 
 
+@query("sq14_heavy_ngrams_by_group", f"with {SQL_Q2}, g as (select band, unnest(list_transform(range(1, len(t)), lambda i: array_to_string(t[i:i + 1], ' '))) as gram from (select band, tokens[1:10] as t from q2)), c as (select band, gram, count(*) as n from g group by 1, 2) select band, gram, n, cast(rank as int) as rank from (select *, row_number() over (partition by band order by n desc, gram) as rank from c) where rank <= 15")
+def sq14(spark, sf):
+    """SQ6 through the heavy hitters of each band."""
+    return Q.top_ngrams_by_group(order_sequences(spark, sf), "band", "tokens", 2, 15, tracked=1000)
+
+
 _SHARES = ", ".join(f"""round(100.0 * count(*) filter (f = '{t}') / count(*), 6) as "{t}\"""" for t in CHOSEN)
 
 
@@ -297,8 +303,9 @@ def fe20(spark, sf):
     place = sum((F.col(f"`code_{v}`") * (k + 1) for k, v in enumerate(codes)), F.lit(0)).cast("long").alias("code_place")
     names = [*[f"cat_{v}" for v in WHOLE.letters], *[f"kind_{v}" for v in STATUSES], "base_log", "increment_log", "length_norm", *[f"first_{v}" for v in WHOLE.firsts], "first_other", "entropy", "kingside", "queenside", "checks", "pawn_ratio"]
     length = F.round(F.sqrt(sum((F.col(f"svd_{k}") * F.col(f"svd_{k}") for k in range(WHOLE.factors)), F.lit(0.0))), 4) + 0.0
-    read = lambda name: spark.read.parquet(f"{out}/{name}").select("k", F.lit(name).alias("split"), F.col("band").cast("int").alias("y"), place, *[(F.round(F.col(f"`{c}`").cast("double"), 4) + 0.0).alias(c) for c in names], length.alias("svd_length"))
-    return read("train").unionByName(read("validation"))
+    split = F.when(F.contains("_metadata.file_path", F.lit("/train/")), "train").otherwise("validation").alias("split")
+    rows = spark.read.parquet(f"{out}/train", f"{out}/validation").select("k", split, F.col("band").cast("int").alias("y"), place, length.alias("svd_length"), *[F.col(f"`{c}`") for c in names])
+    return rows.select("k", "split", "y", "code_place", "svd_length", *[(F.round(F.col(f"`{c}`").cast("double"), 4) + 0.0).alias(c) for c in names])
 
 
 @query("io11_artifacts", f"with {_VOCAB} select cast(coalesce(i, 10) as int) as p_brand_index, count(*) as n from part left join v using (p_brand) group by 1")

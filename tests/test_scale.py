@@ -146,6 +146,18 @@ def test_heavy_hitters_are_the_exact_top(spark, tracked):
         assert sketches.heavy_top_k(df, "v", 7, tracked).collect() == relations.top_k(df, ["v"], 7).collect()
 
 
+@pytest.mark.parametrize(("tracked", "most"), [(64, 10**6), (1000, 10**6), (1000, 10)])
+def test_heavy_hitters_of_groups(spark, tracked, most):
+    """A skewed group is certain, one of values nearly all unlike and one of few values are counted whole, null is a group."""
+    one = spark.range(20_000).select(F.lit("skewed").alias("g"), F.floor(400 * F.pow(F.rand(5), 4)).cast("string").alias("v"))
+    two = spark.range(3_000).select(F.lit("flat").alias("g"), (F.col("id") % 2_500).cast("string").alias("v"))
+    more = spark.createDataFrame([("few", "a"), ("few", None), ("few", None), (None, "b"), ("none", None)], "g string, v string")
+    for df in (one.union(two).union(more), more, more.limit(0)):
+        want = sorted(map(tuple, relations.top_k_per_group(df, "g", "v", 5).collect()), key=str)
+        assert sorted(map(tuple, sketches.heavy_top_k_per_group(df, "g", "v", 5, tracked, most).collect()), key=str) == want
+    assert features.fit_topn_vocab(one, "v", 9, 1000) == features.fit_topn_vocab(one, "v", 9)
+
+
 # Prefix tree
 
 
