@@ -2,12 +2,17 @@
 
 import hashlib
 import re
+import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gradus.llm import near_dedup
+
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
@@ -106,3 +111,41 @@ def test_near_stage_links_by_five_word_shingles(spark, data):
     for block in (1, 4096):  # pairs of blocks find the same
         groups = {r.row: r.group for r in corpus_pipeline.near_dedup.near_groups(docs, "doc_id", block=block).collect()}
         assert groups[0] == groups[2] and len({groups[i] for i in range(4)}) == 3
+
+
+def test_units_of_near_copies_stay_small():
+    """8,192 near-copies of 300 shingles in one unit: seconds and memory are bounded, and the component is found."""
+    draw = np.random.default_rng(1)
+    base = draw.integers(0, 1 << 40, 300)
+    sets = []
+    for _ in range(8192):
+        own = base.copy()
+        own[draw.integers(0, 300, 20)] = draw.integers(0, 1 << 40, 20)
+        sets.append(np.unique(own))
+    began = time.process_time()
+    tracemalloc.start()
+    nodes, least = near_dedup.confirmed(np.arange(8192) + 5, sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (least == 5).all() and peak < 500 << 20 and time.process_time() - began < 60
+
+
+def test_units_are_all_pairs():
+    draw = np.random.default_rng(2)
+    for dense in (0, 4, 10**9):
+        groups = [draw.integers(0, 10**6, draw.integers(1, 40)) for _ in range(30)]
+        sets = []
+        for g in [groups[k] for k in draw.integers(0, 30, 700)]:
+            own = g.copy()
+            own[draw.random(len(own)) < 0.08] = draw.integers(0, 50)
+            sets.append(np.unique(own))
+        nodes = draw.permutation(len(sets)) + 10
+        links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(c := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(c))]
+        met, least = near_dedup.least_reached(*(np.array([nodes[x[k]] for x in links]) for k in (0, 1)))
+        want = dict(zip(nodes.tolist(), nodes.tolist())) | dict(zip(met.tolist(), least.tolist()))
+        near_dedup.DENSE, was = dense, near_dedup.DENSE
+        try:
+            own, found = near_dedup.confirmed(nodes, sets)
+        finally:
+            near_dedup.DENSE = was
+        assert dict(zip(own.tolist(), found.tolist())) == want
