@@ -85,8 +85,9 @@ def book_depth(df: DataFrame, key: str, tokens: str, min_support: int, most: int
     none of which is hot, by a shuffle.  Every level is written once and names the rows that end there.
     """
     spark = df.sparkSession
-    alive = df.where(F.size(tokens) > 0).select(key, F.slice(tokens, 1, most).alias("__tokens"), F.lit(0).cast("long").alias("__node"))
-    ended = [df.where(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(key, F.lit(0).alias("depth"))]
+    lists = _kept(spark, df.select(key, F.slice(tokens, 1, most).alias("__tokens")), "lists")  # what they come from is worked out once
+    some = F.coalesce(F.size("__tokens"), F.lit(0)) > 0
+    alive, ended = lists.where(some).withColumn("__node", F.lit(0).cast("long")), [lists.where(~some).select(key, F.lit(0).alias("depth"))]
     for depth in range(1, most + 1):
         token = F.try_element_at("__tokens", F.lit(depth))
         counts = alive.where(F.size("__tokens") >= depth).groupBy("__node", token.alias("__token")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_support)

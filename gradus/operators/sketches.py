@@ -113,17 +113,17 @@ def heavy_top_k(df: DataFrame, key: str, k: int, tracked: int = 100_000) -> Data
     Each task keeps a summary of frequent items, which merge into one of at most ``tracked`` values; these candidates, and no
     others, are then counted exactly.  A value outside them has at most ``frequent_error`` of the rows, so if the k-th candidate
     has more, the answer is that of counting everything, and the shuffle was bounded by the summary whatever the number of values.
-    If it has not (values nearly all unlike), everything is counted.  Which of the two holds is looked up in one row.
+    If it has not (values nearly all unlike), everything is counted.  The input is read twice, so write it first if it is costly.
     """
-    rows = df.where(F.col(key).isNotNull()).select(key)
-    summary = rows.agg(F.expr(f"approx_top_k(`{key}`, {tracked}, {tracked})").alias("top"), F.count("*").alias("total"))
+    rows, path = df.where(F.col(key).isNotNull()).select(key), scratch(df.sparkSession, "heavy")
+    rows.agg(F.expr(f"approx_top_k(`{key}`, {tracked}, {tracked})").alias("top"), F.count("*").alias("total")).write.parquet(path)
+    summary = df.sparkSession.read.parquet(path)
     candidates = summary.select(F.explode("top").alias("t")).select(F.col("t.item").alias(key))
-    exact = top_k(rows.join(F.broadcast(candidates), key, "left_semi"), [key], k)  # as many rows as tracked
-    nulls = df.where(F.col(key).isNull()).groupBy(key).agg(F.count("*").alias("n"))
-    found = exact.collect()  # k rows
-    total = rows.count() if len(found) == k else 0
+    exact = top_k(rows.join(F.broadcast(candidates), key, "left_semi"), [key], k)  # no more rows than tracked
+    found, total = exact.collect(), summary.select("total").first()["total"]  # k rows and one
     if len(found) < k or found[-1]["n"] <= frequent_error(tracked) * total:
         return top_k(df, [key], k)
+    nulls = df.where(F.col(key).isNull()).groupBy(key).agg(F.count("*").alias("n"))
     counted = df.sparkSession.createDataFrame(found, exact.schema)
     return counted.unionByName(nulls).orderBy(F.desc("n"), key).limit(k)
 

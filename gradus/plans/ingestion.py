@@ -283,6 +283,15 @@ def st1(spark, sf):
     return ingested(spark, _streamed(spark, sf)).drop("Moves", "batch")
 
 
+@query("st3_ingest_frames", f"with {EXPECTED} {_SILVER}")
+def st3(spark, sf):
+    """ST1 from zstd files by frame, through the record source as a stream."""
+    files, out = io.scratch(spark, "frames"), io.scratch(spark, "stream")
+    write_frames(rendered(spark, sf).select("record"), files, 1000)
+    ingest_stream(spark, f"{plain_path(files)}/*.zst", out, io.scratch(spark, "offsets"), RULES, zstd_frames=True).awaitTermination()
+    return ingested(spark, out).drop("Moves", "batch")
+
+
 @query("st2_ingest_progress", f"with {EXPECTED} select cast(0 as bigint) as batch, count(*) as input_rows, count(*) filter (broken) as errors, (select count(*) from s where reason is null) as usable from g")
 def st2(spark, sf):
     return ingest_progress(spark, _streamed(spark, sf)).select("batch", "input_rows", "errors", "usable")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from gradus.operators.ingest import QualityRules, parse_records, part_of, quality_filter, read_part, write_parts
+from gradus.sources.records import RecordFiles
 
 
 def read_record_stream(spark: SparkSession, path: str, start: str = "[Event ", gap: str = "\n\n") -> DataFrame:
@@ -19,8 +20,14 @@ def read_record_stream(spark: SparkSession, path: str, start: str = "[Event ", g
     return text.select(F.regexp_replace(F.regexp_replace(whole, "\r\n", "\n"), r"^\s+|\s+$", "").alias("record"))
 
 
-def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, rules: QualityRules = QualityRules()):
-    """Start the ingest of what has arrived; returns the running query.
+def read_frame_stream(spark: SparkSession, path: str, frames: int = 1) -> DataFrame:
+    """Records of zstd files (a glob) by frame: frames that are appended to a file arrive like files of their own."""
+    spark.dataSource.register(RecordFiles)
+    return spark.readStream.format("record_files").option("path", path).option("frames", frames).load()
+
+
+def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, rules: QualityRules = QualityRules(), zstd_frames: bool = False):
+    """Start the ingest of what has arrived; returns the running query.  The path is that of plain files, or of zstd files by frame.
 
     Each batch is read and parsed once: one job writes its three parts to its own folder, replacing it if the batch is run
     again, so a restart loses and doubles nothing, and counts what passes by (``observe``).  Counts and time go to
@@ -36,7 +43,8 @@ def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, rul
         row = (met["input_rows"], met["usable"], met["skipped"], met["errors"], seconds, met["input_rows"] / seconds)
         spark.createDataFrame([row], COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{out}/progress/batch={number}")
 
-    return read_record_stream(spark, path).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = read_frame_stream(spark, path) if zstd_frames else read_record_stream(spark, path)
+    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 COUNTS = "input_rows long, usable long, skipped long, errors long, seconds double, rows_per_second double"

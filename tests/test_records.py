@@ -80,3 +80,20 @@ def test_stream_restarts_without_loss(spark, tmp_path):
     (tmp_path / "in" / "2.zst").write_bytes(squeezed(joined(third), [50]))
     assert run() == sorted(first + second + third)
     assert run() == sorted(first + second + third)
+
+
+def test_ingest_of_frames(spark, tmp_path):
+    """Frames that are appended between two runs are ingested once, each run as a batch of its own."""
+    from gradus.streaming import ingest
+
+    game = '[Event "e{}"]\n[Result "1-0"]\n[WhiteElo "1500"]\n[BlackElo "{}"]\n\n1. e4 e5 2. d4 d5 3. c4 1-0\n\n'
+    (tmp_path / "in").mkdir()
+    for batch in range(3):
+        text = "".join(game.format(k, k % 2 * 1400) for k in range(10 * batch, 10 * batch + 10)).encode()
+        with open(tmp_path / "in" / "a.zst", "ab") as file:
+            file.write(squeezed(text, [33, 200, 400]))
+        ingest.ingest_stream(spark, str(tmp_path / "in" / "*.zst"), str(tmp_path / "out"), str(tmp_path / "offsets"), zstd_frames=True).awaitTermination(120)
+        seen = [(r.input_rows, r.usable, r.skipped) for r in ingest.ingest_progress(spark, str(tmp_path / "out")).orderBy("batch").collect() if r.input_rows]
+        assert seen == [(10, 5, 5)] * (batch + 1)
+    skipped = ingest.ingested(spark, str(tmp_path / "out"), "skipped")
+    assert {r.skip_detail for r in skipped.collect()} == {"W=1500 B=0"} and skipped.count() == 15
