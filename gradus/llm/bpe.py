@@ -13,6 +13,7 @@ Decoding looks up the bytes of each id, joins them and reads them as UTF-8 (bad
 Edge cases: a null text is read as empty; an empty text has no tokens; strings of special tokens inside a text are
 that token, as the vocabulary file says; other columns are ignored; rows are independent of each other, so copies and
 ties need no rule.  The vocabulary is a parameter: its path, or its content when the executors cannot read the path.
+A text is encoded whole by one task, fragment by fragment.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ input (the capacity grows with it), which is why they may be broadcast.  Texts c
 Edge cases: a null text counts as empty, all empty texts are equal; among equal rows the longest original text stays,
 then the smallest id (a null id comes last); rows that repeat an id are separate rows of the same group; an empty table gives an empty
 result; other columns are ignored.
+A text is a value of one row and is normalised and compared whole, whatever its length.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ a component is then named by the smallest id of its documents, and every documen
 Edge cases: a null or blank text has no words and the fingerprint zero, which is linked like any other; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; repeated rows share fingerprint and
 component; rows without an id link like any other and never name a component (one of such rows only has no name); an empty table gives an empty result; other columns are ignored.
+A text is fingerprinted whole by one task: about 45 bytes of memory a byte of text.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ can be turned off.  Redirects known from elsewhere can be passed as a table (a,
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and has no aliases; rows that
 repeat a URL get the same verdict; null html has no links; an empty table gives an empty result; other columns are
 ignored.
+Long urls and pages are read whole, as values of one row.
 """
 
 from __future__ import annotations
