@@ -25,6 +25,7 @@ repeat an id, or have none, are taken one by one; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,11 +128,25 @@ def settle(sizes: list[int], rate: float, target: float, rest: int, most: int) -
     return copies
 
 
+def spread(sizes: DataFrame, cell: int) -> DataFrame:
+    """The rows with a salt: their position for those without an id, or with one that more than ``cell`` rows share; else 0.
+
+    Ids so frequent are counted first, and broadcast if they are few; if not, ids tell rows apart too badly, and all get a salt.
+    """
+    crowded = written(sizes.where("by is not null").groupBy("by").agg(F.count("*").alias("n")).where(F.col("n") > cell).select(F.col("by").alias("often")), "op2-crowded")
+    if crowded.count() > BROADCAST_SOURCES:
+        return sizes.withColumn("salt", F.col("position"))
+    met = sizes.join(F.broadcast(crowded), F.col("by") == F.col("often"), "left")
+    return met.withColumn("salt", F.when(F.col("by").isNull() | F.col("often").isNotNull(), F.col("position")).otherwise(F.lit(0))).drop("often")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, cell: int = CELL, tie_col: str | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target, rate, copies and taken (copies times size); ``tie_col`` is hashed for the id."""
     size = size_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(tie_col or id_col).cast("long").alias("by"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(tie_col or id_col).cast("long").alias("by"), F.monotonically_increasing_id().alias("position"))
     sizes = written(rows, "op2-sizes").withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
+    sizes = spread(sizes, cell)
+    highest = math.ceil(most)
     sources = solved(targets(sizes, weights, share, most)).withColumn("rate", F.least(F.lit(most), "rate")).withColumnRenamed("source", "its")
     classes = sizes.groupBy("source", "class").agg(F.count("*").alias("class_docs"), F.sum("size").alias("class_size"))
     side = written(classes.join(sources, F.col("source").eqNullSafe(F.col("its"))).select(F.col("source").alias("its"), F.col("class").alias("its_class"), "class_docs", "class_size", "source_size", "target", "rate"), "op2-classes")
@@ -144,7 +159,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def dealt(side: DataFrame, cells: Column, *more: str) -> DataFrame:
         met = sizes.join(hint(side), F.col("source").eqNullSafe(F.col("its")) & (F.col("class") == F.col("its_class"))).select(
-            F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), *more, F.pmod(F.xxhash64("by"), cells).alias("cell"),
+            F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), *more, F.pmod(F.xxhash64("by", "salt"), cells).alias("cell"),
             "doc_id", "size", "source_size", "target", "rate", "rest", F.xxhash64("by", F.lit(1)).alias("tie"),
         )
         keys = ["source", "none", *[m for m in more if m == "class"], "cell"]
@@ -157,12 +172,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (source, none, _), g in sorted_groups(batches, ("source", "none", "cell")):
             n = len(g["size"])
-            copies = settle(g["size"].tolist(), float(g["rate"][0]), float(g["target"][0]), int(g["rest"][0]), int(most))
+            copies = settle(g["size"].tolist(), float(g["rate"][0]), float(g["target"][0]), int(g["rest"][0]), highest)
             yield pa.RecordBatch.from_arrays([pa.array([None if none else source] * n, pa.string()), *rows_of(g, copies)], ["source", *columns])
 
     def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in sorted_groups(batches, ("source", "none", "class", "cell")):
-            copies = round_cell(g["size"].tolist(), g["now"].tolist(), int(most))
+            copies = round_cell(g["size"].tolist(), g["now"].tolist(), highest)
             yield pa.RecordBatch.from_arrays(rows_of(g, copies), columns)
 
     few = written(dealt(side.where(F.col("class_docs") <= FEW * cell), F.lit(1)).mapInArrow(settled, f"source string, {schema}"), "op2-settled")
