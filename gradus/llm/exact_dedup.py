@@ -5,7 +5,8 @@ Texts are equal when they are identical after deleting blanks.  The index is bui
 1. every row leaves an entry (id, 64-bit hash, SHA-256, length) in files of the shared folder;
 2. the directory starts with one bucket and doubles as long as a bucket with more keys than its capacity has the
    directory's own depth; such buckets split by the next bit of the hash.  A bucket of one key cannot be split, so a
-   key with more rows than the capacity gets overflow pages instead, over which its rows are dealt;
+   key with more rows than the capacity gets overflow pages instead, over which its rows are dealt by their position (so
+   rows without an id, or with a repeated one, are dealt as well);
 3. owner tasks receive ranges of buckets (and their pages), follow the chain of rows with one hash and compare the texts
    byte by byte; the chains are written as bucket files in the order of the buckets, and pages of one key are then put
    together.  Rows find their chain by hash and SHA-256.
@@ -98,7 +99,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.withColumn("slot", slot)
         .join(F.broadcast(lookup), "slot")
         .join(F.broadcast(overflow), "h", "left")
-        .withColumn("page", F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64("doc_id", "points", *row), "pages")))
+        .withColumn("page", F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), "pages")))
         .select("bucket", "page", "h", "norm", "doc_id", "points", *row)
         .repartitionByRange("bucket", "page")
     )
