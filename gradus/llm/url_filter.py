@@ -113,6 +113,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     placed = written(components(links, "a", "b"), "op10-components")
     rule, verdict = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
     says = placed.select("component", verdict.alias("says")).where("says is not null").groupBy("component").agg(F.min("says").alias("says"))  # "allow" sorts before "block"
+    says = written(says, "op10-says")  # the join has a plain shuffle on either side, so that a large component can be split
     aliases = placed.join(says, "component").select(F.col("node").alias("url"), "says")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).select("*", rule.alias("rule"), verdict.alias("own"))
