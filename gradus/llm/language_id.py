@@ -133,19 +133,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             n = np.append(own[bucket[:-1]], rows[lang])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()  # before any task holds an array a language
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}: not a column of languages")
+    languages = sorted(r["lang"] for r in known)
     summed = written(rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "op1-counts")
-    if (several := summed.where("bucket = -1").count()) > MOST_LANGUAGES:
-        raise ValueError(f"{several} values of {lang_col}, more than {MOST_LANGUAGES}: not a column of languages")
-    found = summed.toPandas()
-    languages = sorted(found["lang"].unique())
-    counts = np.zeros((len(languages), 1 << BITS))
-    prior = np.zeros(len(languages))
-    for k, lang in enumerate(languages):
-        own = found[found["lang"] == lang]
-        grams = own[own["bucket"] >= 0]
-        counts[k, grams["bucket"].to_numpy()] = grams["n"].to_numpy()
-        prior[k] = own.loc[own["bucket"] < 0, "n"].sum()
+    found = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toArrow()  # a row a language, of at most 2^BITS + 1 numbers
+    counts, prior = np.zeros((len(languages), 1 << BITS)), np.zeros(len(languages))
+    for lang, own in zip(found["lang"].to_pylist(), found["counts"].combine_chunks()):
+        bucket, n = (own.values.field(f).to_numpy(zero_copy_only=False) for f in ("bucket", "n"))
+        k = languages.index(lang)
+        counts[k, bucket[bucket >= 0]] = n[bucket >= 0]
+        prior[k] = n[bucket < 0].sum()
     smooth = counts + 0.5
     weights = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
     return Model(languages, np.log(prior / prior.sum()) if languages else prior, weights)
