@@ -48,3 +48,31 @@ def test_simhash_links_across_rows_without_id(spark):
     rows = spark.createDataFrame([(BIG + 1, texts[a]), (None, texts[bridge]), (BIG + 3, texts[b]), (None, texts[far])], "doc_id long, text string")
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(rows).collect()}
     assert got == {(BIG + 1, f"{fps[a]:016x}"): BIG + 1, (None, f"{fps[bridge]:016x}"): BIG + 1, (BIG + 3, f"{fps[b]:016x}"): BIG + 1, (None, f"{fps[far]:016x}"): None}
+
+
+def test_rows_of_one_id_are_dealt_over_cells(spark):
+    """Rows without an id, with one repeated id and with ids of their own, all of one text: no cell far beyond the median."""
+    sizes = spark.range(30_000, numPartitions=4).select(F.when(F.col("id") < 10_000, None).when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("by"), F.monotonically_increasing_id().alias("position"))
+    salted = mixing.spread(sizes, 256)
+    assert salted.where("by > 7 and salt <> 0").count() == 0  # cells of other rows do not depend on the layout
+    cells = sorted(r["count"] for r in salted.groupBy(F.pmod(F.xxhash64("by", "salt"), F.lit(117))).count().collect())
+    assert len(cells) == 117 and cells[-1] < 2 * cells[58]
+
+
+def test_mixing_without_ids(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    taken = mixing.mix(rows).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.max("target").alias("target")).first()
+    assert taken.n == 20_000 and taken.most <= 6 and abs(taken.taken - taken.target) <= 0.001 * taken.target
+
+
+def test_a_fractional_bound_is_reached(spark):
+    rows = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"))
+    got = {r.source_size: r for r in mixing.mix(rows, weights=(9, 1), most=2.5).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("copies")).collect()}
+    assert got[600].target == 1500 and abs(got[600].taken - 1500) <= 2 and got[600].copies == 3
+
+
+def test_overflow_pages_of_rows_without_id(spark):
+    rows = spark.range(20_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(5, "one text"), (6, "another")], "doc_id long, text string"))
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept): r["count"] for r in exact_dedup.exact_dedup(rows, capacity=8).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()}
+    assert got == {(None, 5, 20_001, False): 20_000, (5, 5, 20_001, True): 1, (6, 6, 1, True): 1}
