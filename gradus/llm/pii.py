@@ -5,8 +5,9 @@ adds what is written otherwise: addresses with spelled-out or bracketed signs, p
 numbers in other groups, phone numbers without a plus or run together with what follows.  It is a bidirectional LSTM with
 a CRF over the tags O, B and I of each kind, written and trained in numpy from labelled spans: ``TRAIN_WINDOWS`` windows
 of the texts at most (chosen by hash over the whole table), labelled by the base, and ``DRAWN`` windows into which spans
-made from templates (``draw``) are set.  The checks of the kinds stay with the finder (``plausible``), so the network is
-taught the shape of a number and the digits are checked afterwards.
+made from templates (``draw``) are set, two of seven look-alikes that are none (``decoy``: dates, book and order numbers,
+sections, versions, prices).  The checks of the kinds stay with the finder (``plausible``), so the network is taught the
+shape of a number and the digits are checked afterwards.
 
 Texts are read in overlapping windows on a fixed grid; of the windows that hold a character the one in whose middle it lies
 decides its tag (Viterbi; posteriors by forward-backward), and spans are read off the joined tags, across windows.
@@ -48,11 +49,12 @@ TRIGGER = re.compile(r"[0-9@]")
 SIGN_AT = r"[\[({<]\s?at\s?[\])}>]"
 SIGN_DOT = r"\bdot\b|[\[({<]\s?(?:dot|\.)\s?[\])}>]"
 MARK = re.compile(rf"[0-9@]|{SIGN_AT}|{SIGN_DOT}", re.I)
-AT = re.compile(rf"[^\s@].*?(?:@|{SIGN_AT}|\bat\b)", re.I | re.S)
+AT = re.compile(rf"@|{SIGN_AT}|\bat\b", re.I)
 DOT = re.compile(rf"\.|{SIGN_DOT}", re.I)
 
 WINDOW, STRIDE = 64, 32
-TRAIN_WINDOWS, DRAWN, TRAIN_STEPS = 1200, 2400, 900
+TRAIN_WINDOWS, DRAWN, TRAIN_STEPS = 1200, 4200, 1100
+TURNS = (0, 1, 2, 3, 3, None, None)  # drawn windows: kinds, phone numbers (of most forms) twice, and look-alikes
 SURE = 0.9
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
@@ -120,7 +122,8 @@ def plausible(kind: int, span: str) -> bool:
     if not MARK.search(span):
         return False
     if kind == 0:
-        return bool((at := AT.search(span)) and DOT.search(span, at.end()))
+        user = re.search(r"[^\s@]", span)
+        return bool(user and (at := AT.search(span, user.end())) and DOT.search(span, at.end()))
     if kind == 1:
         parts = re.findall("[0-9]+", span)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -129,94 +132,88 @@ def plausible(kind: int, span: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 class BiLstmCrf:
     """Tags characters; parameters in ``p``: embedding, two LSTMs, emission layer, transitions."""
 
     def __init__(self, seed: int, hidden: int = 20, embedding: int = 12, vocabulary: int = 128):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape)
         self.hidden = hidden
-        self.p = {"embed": rng.normal(0, 0.3, (vocabulary, embedding)), "out": draw(2 * hidden, TAGS), "out_b": np.zeros(TAGS), "step": np.zeros((TAGS, TAGS)), "begin": np.zeros(TAGS)}
-        for way in "fb":
-            bias = np.zeros(4 * hidden)
-            bias[hidden : 2 * hidden] = 1.0  # remember at first
-            self.p |= {f"in_{way}": draw(embedding, 4 * hidden), f"rec_{way}": draw(hidden, 4 * hidden), f"bias_{way}": bias}
-
-    def _run(self, x: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction, (batch, time, hidden), in text order."""
-        h = self.hidden
-        drive = x @ self.p[f"in_{way}"] + self.p[f"bias_{way}"]
-        state, cell = np.zeros((len(x), h)), np.zeros((len(x), h))
-        out, tape = np.empty((len(x), x.shape[1], h)), []
-        for t in range(x.shape[1]) if way == "f" else range(x.shape[1] - 1, -1, -1):
-            gates = drive[:, t] + state @ self.p[f"rec_{way}"]
-            i, f, o, g = _sigmoid(gates[:, :h]), _sigmoid(gates[:, h : 2 * h]), _sigmoid(gates[:, 2 * h : 3 * h]), np.tanh(gates[:, 3 * h :])
-            before, was = cell, state
-            cell = f * cell + i * g
-            squashed = np.tanh(cell)
-            state = o * squashed
-            out[:, t] = state
-            if keep:
-                tape.append((t, i, f, o, g, before, squashed, was))
-        return out, tape
+        bias = np.zeros((2, 4 * hidden))
+        bias[:, hidden : 2 * hidden] = 1.0  # remember at first
+        self.p = {"embed": rng.normal(0, 0.3, (vocabulary, embedding)), "in": draw(2, embedding, 4 * hidden), "rec": draw(2, hidden, 4 * hidden), "bias": bias}
+        self.p |= {"out": draw(2 * hidden, TAGS), "out_b": np.zeros(TAGS), "step": np.zeros((TAGS, TAGS)), "begin": np.zeros(TAGS)}
+
+    def cast(self, kind: type) -> None:
+        self.p = {k: v.astype(kind) for k, v in self.p.items()}
 
     def emissions(self, chars: np.ndarray, keep: bool = False):
-        x = self.p["embed"][chars]
-        forward, tape_f = self._run(x, "f", keep)
-        backward, tape_b = self._run(x, "b", keep)
-        states = np.concatenate([forward, backward], axis=2)
-        return states @ self.p["out"] + self.p["out_b"], (x, states, tape_f, tape_b)
+        """Scores of the tags, (batch, time, tags).  Both directions run side by side, the backward one over the reversed window."""
+        x, h = self.p["embed"][chars], self.hidden
+        n, length, _ = x.shape
+        ways = np.stack([x, x[:, ::-1]])
+        drive = np.ascontiguousarray((ways @ self.p["in"][:, None] + self.p["bias"][:, None, None]).transpose(2, 0, 1, 3))
+        half = np.repeat(np.array([0.5, 1.0], x.dtype), [3 * h, h])  # sigmoid(z) = (1 + tanh(z / 2)) / 2
+        states, cells = np.zeros((length + 1, 2, n, h), x.dtype), np.zeros((length + 1, 2, n, h), x.dtype)
+        gates, squashed = np.empty((length, 2, n, 4 * h), x.dtype), np.empty((length, 2, n, h), x.dtype)
+        for t in range(length):
+            gate = np.tanh((drive[t] + states[t] @ self.p["rec"]) * half, out=gates[t])
+            gate[..., : 3 * h] = 0.5 + 0.5 * gate[..., : 3 * h]
+            cells[t + 1] = gate[..., h : 2 * h] * cells[t] + gate[..., :h] * gate[..., 3 * h :]
+            np.tanh(cells[t + 1], out=squashed[t])
+            states[t + 1] = gate[..., 2 * h : 3 * h] * squashed[t]
+        joined = np.concatenate([states[1:, 0], states[:0:-1, 1]], axis=2).transpose(1, 0, 2)
+        return joined @ self.p["out"] + self.p["out_b"], (ways, joined, states, cells, gates, squashed) if keep else None
 
     def _messages(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        step = self.p["step"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + self.p["begin"]
-        for t in range(1, e.shape[1]):
-            alpha[:, t] = e[:, t] + _log_sum(alpha[:, t - 1, :, None] + step, 1)
-        for t in range(e.shape[1] - 2, -1, -1):
-            beta[:, t] = _log_sum(step + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        return alpha, beta, _log_sum(alpha[:, -1], 1)
+        """Posteriors of tags, expected counts of transitions, and log partition sums, with messages scaled at each step."""
+        top, lead = e.max(axis=2, keepdims=True), (self.p["step"].max(), self.p["begin"].max())
+        seen, step = np.exp(e - top), np.exp(self.p["step"] - lead[0])
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty(e.shape[:2], e.dtype)
+        for t in range(e.shape[1]):
+            came = alpha[:, t - 1] @ step if t else np.exp(self.p["begin"] - lead[1])
+            alpha[:, t] = came * seen[:, t]
+            scale[:, t] = alpha[:, t].sum(axis=1)
+            alpha[:, t] /= scale[:, t, None]
+        ahead = seen / scale[:, :, None]
+        for t in range(e.shape[1] - 1, 0, -1):
+            ahead[:, t] *= beta[:, t]
+            beta[:, t - 1] = ahead[:, t] @ step.T
+        pairs = step * (alpha[:, :-1].reshape(-1, TAGS).T @ ahead[:, 1:].reshape(-1, TAGS))
+        return alpha * beta, pairs, np.log(scale).sum(axis=1) + top.sum(axis=(1, 2)) + lead[1] + (e.shape[1] - 1) * lead[0]
 
     def gradients(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags, and its gradients."""
         n, length = chars.shape
-        e, (x, states, tape_f, tape_b) = self.emissions(chars, keep=True)
-        alpha, beta, total = self._messages(e)
+        h = self.hidden
+        e, (ways, joined, states, cells, gates, squashed) = self.emissions(chars, keep=True)
+        d_e, d_step, total = self._messages(e)
         rows, times = np.arange(n)[:, None], np.arange(length)[None, :]
         gold = e[rows, times, tags].sum(axis=1) + self.p["begin"][tags[:, 0]] + self.p["step"][tags[:, :-1], tags[:, 1:]].sum(axis=1)
-        d_e = np.exp(alpha + beta - total[:, None, None])
         d_begin = d_e[:, 0].sum(axis=0) - np.bincount(tags[:, 0], minlength=TAGS)
-        d_step = np.zeros((TAGS, TAGS))
-        for t in range(1, length):
-            d_step += np.exp(alpha[:, t - 1, :, None] + self.p["step"] + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None]).sum(axis=0)
         np.add.at(d_step, (tags[:, :-1], tags[:, 1:]), -1.0)
         d_e[rows, times, tags] -= 1.0
-        grads = {"begin": d_begin, "step": d_step, "out": np.tensordot(states, d_e, ((0, 1), (0, 1))), "out_b": d_e.sum(axis=(0, 1))}
-        d_states, h, d_x = d_e @ self.p["out"].T, self.hidden, np.zeros_like(x)
-        for way, tape, d_h in (("f", tape_f, d_states[:, :, :h]), ("b", tape_b, d_states[:, :, h:])):
-            rec = self.p[f"rec_{way}"]
-            d_drive, d_rec = np.empty((n, length, 4 * h)), np.zeros_like(rec)
-            d_state, d_cell = np.zeros((n, h)), np.zeros((n, h))
-            for t, i, f, o, g, before, squashed, was in reversed(tape):
-                d_state = d_state + d_h[:, t]
-                d_cell = d_cell + d_state * o * (1 - squashed**2)
-                d_gates = np.concatenate([d_cell * g * i * (1 - i), d_cell * before * f * (1 - f), d_state * squashed * o * (1 - o), d_cell * i * (1 - g**2)], axis=1)
-                d_drive[:, t] = d_gates
-                d_rec += was.T @ d_gates
-                d_state, d_cell = d_gates @ rec.T, d_cell * f
-            grads |= {f"rec_{way}": d_rec, f"in_{way}": np.tensordot(x, d_drive, ((0, 1), (0, 1))), f"bias_{way}": d_drive.sum(axis=(0, 1))}
-            d_x += d_drive @ self.p[f"in_{way}"].T
-        grads["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(grads["embed"], chars, d_x)
+        d_e[np.abs(d_e) < 1e-9] = 0.0  # numbers too small for the format would slow down all that follows
+        grads = {"begin": d_begin, "step": d_step, "out": np.tensordot(joined, d_e, ((0, 1), (0, 1))), "out_b": d_e.sum(axis=(0, 1))}
+        d_joined = (d_e @ self.p["out"].T).transpose(1, 0, 2)
+        d_states = np.stack([d_joined[:, :, :h], d_joined[::-1, :, h:]], axis=1)
+        i, f, o, g = (gates[..., k * h : (k + 1) * h] for k in range(4))
+        rec = self.p["rec"].transpose(0, 2, 1)
+        d_gates, d_state, d_cell = np.empty_like(gates), np.zeros_like(states[0]), np.zeros_like(states[0])
+        slope = np.concatenate([g * i * (1 - i), cells[:-1] * f * (1 - f), squashed * o * (1 - o), i * (1 - g**2)], axis=3)
+        into = o * (1 - squashed**2)
+        for t in range(length - 1, -1, -1):
+            d_state = d_state + d_states[t]
+            d_cell = d_cell + d_state * into[t]
+            d_gates[t] = slope[t] * np.concatenate([d_cell, d_cell, d_state, d_cell], axis=2)
+            d_state, d_cell = d_gates[t] @ rec, d_cell * f[t]
+        flat = d_gates.transpose(1, 0, 2, 3).reshape(2, length * n, 4 * h)
+        grads["rec"] = states[:-1].transpose(1, 3, 0, 2).reshape(2, h, length * n) @ flat
+        grads["in"] = ways.transpose(0, 3, 2, 1).reshape(2, -1, length * n) @ flat
+        grads["bias"] = flat.sum(axis=1)
+        d_ways = (flat @ self.p["in"].transpose(0, 2, 1)).reshape(2, length, n, -1)
+        each = (chars.T.reshape(-1) == np.arange(len(self.p["embed"]))[:, None]).astype(flat.dtype)
+        grads["embed"] = each @ (d_ways[0] + d_ways[1, ::-1]).reshape(length * n, -1)
         return float((total - gold).mean()), {k: v / n for k, v in grads.items()}
 
     def train(self, chars: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01, seed: int = 1) -> list[float]:
@@ -239,7 +236,7 @@ class BiLstmCrf:
     def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tag sequence of each window, and the posterior of each of its tags."""
         e, _ = self.emissions(chars)
-        alpha, beta, total = self._messages(e)
+        posterior, _, _ = self._messages(e)
         n, length, _ = e.shape
         back = np.zeros((n, length, TAGS), np.int64)
         score = e[:, 0] + self.p["begin"]
@@ -251,7 +248,6 @@ class BiLstmCrf:
         tags[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        posterior = np.exp(alpha + beta - total[:, None, None])
         return tags, posterior[np.arange(n)[:, None], np.arange(length)[None, :], tags]
 
 
@@ -327,8 +323,8 @@ def draw(kind: int, rng: np.random.Generator) -> str:
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     if kind == 0:
-        at = one("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " at ", " AT ")
-        dot = one(" dot ", " DOT ") if at in (" at ", " AT ") else one(".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "[.]", " dot ")
+        at = one("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", "{at}", "<at>", " at ", " AT ")
+        dot = one(" dot ", " DOT ") if at in (" at ", " AT ") else one(".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "{dot}", "[.]", " dot ")
         user = word() + one("", digits(rng.integers(1, 4)), one(".", "_", "-", dot) + word())
         return user + at + dot.join([word() + one("", "", digits(1)), *([word()] if rng.random() < 0.3 else []), one("com", "org", "net", "de", "fr", "es", "example", "info")])
     if kind == 1:
@@ -338,21 +334,54 @@ def draw(kind: int, rng: np.random.Generator) -> str:
         own = [int(c) for c in digits(15)]
         own.append(next(d for d in range(10) if luhn("".join(map(str, [*own, d])))))
         shown = "".join(map(str, own))
-        return one("", " ", "-", ".", "/", "_", "  ", " - ", " . ").join(shown[k : k + 4] for k in range(0, 16, 4))
+        return one("", " ", "-", ".", "/", "_", ":", "  ", " - ", " . ").join(shown[k : k + 4] for k in range(0, 16, 4))
     gap = one(" ", "-", ".", "/", " - ")
-    lead = one("+", "00", "0", "", "+", "tel:")
+    lead = one("+", "00", "0", "", "", "+", "tel:")
     if lead in ("+", "00"):
         lead += one("1", "33", "34", "44", "49") + one(" ", ".", "-", "/")
     area = one("{}", "({})", "({})", "{}").format(digits(3))
-    return lead + one(area + one(" ", gap) + digits(3) + gap + digits(4), gap.join([digits(3), digits(2), digits(2), digits(2)]), gap.join([digits(3), digits(4), digits(4)]))
+    if lead in ("0", "tel:") and rng.random() < 0.3:
+        return lead + area + one(" ", "-", "/") + digits(rng.integers(6, 9))
+    return lead + one(area + one(" ", gap) + digits(3) + gap + digits(4), area + one(" ", gap) + digits(3) + gap + digits(4), gap.join([digits(3), digits(2), digits(2), digits(2)]), gap.join([digits(3), digits(4), digits(4)]))
 
 
-def set_in(part: str, tags: np.ndarray, kind: int, span: str, rng: np.random.Generator) -> tuple[str, np.ndarray]:
-    """A window with a span set in between two words; at times another span stands right behind it."""
+def decoy(rng: np.random.Generator) -> str:
+    """A look-alike that is no personal data, with the words that tell it apart."""
+    one = lambda *of: of[rng.integers(len(of))]
+    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    upto = lambda n: str(rng.integers(0, n))
+    two = lambda n: f"{rng.integers(1, n):02d}"
+    year = f"{one(19, 20)}{digits(2)}"
+    gap = one("-", ".", "/", ". ")
+    date = gap.join(one([year, two(13), two(32)], [two(32), two(13), year]))
+    time = f"{two(24)}:{two(60)}" + one("", f":{two(60)}")
+    name = one("order", "ref", "no.", "ticket", "invoice", "id", "#", "item", "case", "account", "code", word())
+    parts = one(".", " . ", ". ", " .").join(upto(one(10, 30)) for _ in range(rng.integers(3, 6)))
+    number = one(digits(rng.integers(5, 13)), f"{digits(rng.integers(4, 7))}-{digits(rng.integers(2, 6))}", f"{digits(4)} {digits(4)}")
+    return one(
+        one(date, f"{date} {time}", f"{date}T{time}Z", f"{date} {time} {name} {number}", f"{date} {name} {number}"),
+        one("", "isbn ", "ISBN: ") + one("978", "979") + one("-", " ").join(["", digits(1), digits(4), digits(4), digits(1)]),
+        one("", "isbn ") + one("978", "979") + digits(10),
+        f"{name} {number}",
+        digits(rng.integers(5, 13)),
+        f"{one('section', 'chapter', 'article', 'clause', 'figure', 'part', 'see', 'step', 'table', '§')} {parts}",
+        f"{one('version', 'release', 'v', 'build', 'update')} {parts}",
+        f"{upto(1000)}{one(',', '.', ' ')}{digits(3)}{one('.', ',')}{digits(2)} {one('EUR', 'USD', 'euros', 'kg', 'km')}",
+        f"{one('pages', 'pp.', 'from', 'lines')} {digits(rng.integers(2, 5))}{one('-', ' - ', ' to ')}{digits(rng.integers(2, 5))}",
+        f"{digits(2)}.{digits(rng.integers(3, 6))}, {digits(2)}.{digits(rng.integers(3, 6))}",
+        f"{one('volume', 'vol.', 'journal', word())} {digits(rng.integers(1, 3))}{one(' ', ', ', '')}({digits(rng.integers(1, 3))}){one(':', ', pp.', ',')} {digits(rng.integers(2, 4))}-{digits(rng.integers(2, 4))}",
+        f"@{word()}{one(' ', '. ', ', ', ': ')}{word()}",
+        f"at {time}{one('. ', ' dot ', ', ')}{word()}",
+    )
+
+
+def set_in(part: str, tags: np.ndarray, kind: int | None, span: str, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """A window with a span (of no kind: a decoy) set in between two words; at times another span stands right behind it."""
     gaps = [m.start() for m in re.finditer(r"\s", part) if not tags[m.start()]] or [0]
     at = int(gaps[rng.integers(len(gaps))])
     lead = " " if at else ""
-    own = np.concatenate([np.zeros(len(lead), np.int64), tags_of(len(span), [(kind, 0, len(span))])])
+    own = np.concatenate([np.zeros(len(lead), np.int64), tags_of(len(span), [] if kind is None else [(kind, 0, len(span))])])
     if rng.random() < 0.25:
         other = int(rng.integers(1, 4))
         more = draw(other, rng)
@@ -414,26 +443,34 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2
 
 
+def taught_model(windows: list[tuple[str, np.ndarray]], drawn: int = DRAWN, steps: int = TRAIN_STEPS, seed: int = 7) -> BiLstmCrf:
+    """A model trained on labelled windows and on drawn ones, whose sorts take turns (``TURNS``)."""
+    rng, real = np.random.default_rng(seed), len(windows)
+    windows = list(windows)
+    for k in range(drawn):
+        part, own = windows[rng.integers(real)]
+        kind = TURNS[k % len(TURNS)]
+        part, own = set_in(part, own, kind, decoy(rng) if kind is None else draw(kind, rng), rng)
+        shift = int(rng.integers(0, max(1, len(part) - WINDOW + 1)))
+        windows.append((part[shift : shift + WINDOW], own[shift : shift + WINDOW]))
+    chars, tags = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.int64)
+    for k, (part, own) in enumerate(windows):
+        chars[k, : len(part)], tags[k, : len(own)] = symbols(part), own
+    model = BiLstmCrf(seed)
+    model.cast(np.float32)
+    model.train(chars, tags, steps)
+    model.cast(np.float64)  # so that posteriors do not depend on how windows are batched
+    return model
+
+
 def fit(docs: DataFrame, text_col: str = "text", most: int = TRAIN_WINDOWS, drawn: int = DRAWN, steps: int = TRAIN_STEPS, seed: int = 7) -> BiLstmCrf | None:
     """Train in one task from a bounded number of windows; None if no window holds a span."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["number"], r["part"], r["tags"]) for batch in batches for r in batch.to_pylist())
-        if not any(any(tags) for _, _, tags in rows):
-            return
-        rng = np.random.default_rng(seed)
-        windows = [(part, np.array(tags, np.int64)) for _, part, tags in rows]
-        for k in range(drawn):
-            part, own = windows[rng.integers(len(rows))]
-            part, own = set_in(part, own, k % len(KINDS), draw(k % len(KINDS), rng), rng)
-            shift = int(rng.integers(0, max(1, len(part) - WINDOW + 1)))
-            windows.append((part[shift : shift + WINDOW], own[shift : shift + WINDOW]))
-        chars, tags = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.int64)
-        for k, (part, own) in enumerate(windows):
-            chars[k, : len(part)], tags[k, : len(own)] = symbols(part), own
-        model = BiLstmCrf(seed)
-        model.train(chars, tags, steps)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        if any(any(tags) for _, _, tags in rows):
+            model = taught_model([(part, np.array(tags, np.int64)) for _, part, tags in rows], drawn, steps, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     trained = labelled_windows(docs, text_col, most).coalesce(1).mapInArrow(train, "model binary").collect()
     return pickle.loads(trained[0]["model"]) if trained else None
