@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents
+from gradus.llm.common import documents, kept
 
 #: The pattern of byte-level BPE that splits text before merging, and the white space it knows.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,15 +147,8 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[str, ForcedBoundaryBpe] = {}
-
-
 def _codec(content: str) -> ForcedBoundaryBpe:
-    key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ForcedBoundaryBpe(content)
-    return _loaded[key]
+    return kept(hashlib.sha256(content.encode()).hexdigest(), lambda: ForcedBoundaryBpe(content))
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -171,7 +164,7 @@ def vocabulary(path: str | None = None) -> str:
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (unless ``keep_ids`` is off), ids_sha256, and decoded_sha256 of the decoded text."""
     shared = docs.sparkSession.sparkContext.broadcast(content or vocabulary())
-    kept = "ids array<int>, " if keep_ids else ""
+    listed = "ids array<int>, " if keep_ids else ""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, render = _codec(shared.value), {}
@@ -192,7 +185,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encoded, f"doc_id long, n_tokens long, {kept}ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(encoded, f"doc_id long, n_tokens long, {listed}ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
