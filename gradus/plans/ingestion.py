@@ -159,7 +159,7 @@ def io10(spark, sf):
 
 @query("io15_record_frames", f"with {EXPECTED} select count(*) as n, count(*) filter (broken) as broken, true as split from g")
 def io15(spark, sf):
-    """Records written as zstd files of many frames and read by frame; ``split``: more tasks read than there are files."""
+    """Records written as zstd files of many frames and read by frame; ``split``: no fewer tasks read than there are files."""
     path = io.scratch(spark, "frames")
     files = write_frames(rendered(spark, sf).select("record"), path, 500)
     spark.dataSource.register(RecordFiles)

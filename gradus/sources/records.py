@@ -2,9 +2,10 @@
 
 A zstd file is a run of independent frames; compressors that work in parallel, or append, write many.  The headers of
 frames and blocks give every frame's length without decompressing anything, so a file is planned as one partition for
-each ``frames`` consecutive frames.  Records do not respect frames: a partition begins at the first record that starts in its
-frames and reads on into the following ones until the record that it is in ends.  A file of one frame is one partition,
-since such a frame cannot be entered in its middle.
+each ``frames`` consecutive frames, or, without that option, for consecutive frames of ``bytes`` together: the number of
+partitions then grows with the bytes and not with the frames.  Records do not respect frames: a partition begins at the
+first record that starts in its frames and reads on into the following ones until the record that it is in ends; of those
+it looks at no more than it reads.  A file of one frame is one partition, since such a frame cannot be entered in its middle.
 
     spark.dataSource.register(RecordFiles)
     spark.read.format("record_files").option("path", "/shared/*.zst").load()
@@ -25,6 +26,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StringType, StructField, StructType
 
 START, GAP, PIECE = "[Event ", "\n\n", 1 << 18  # compressed bytes to a step
+RECORDS = 1024  # to a batch that Spark gets
 #: Fixed values of the format: magic numbers of a frame and of frames to skip, and lengths of header fields by their codes.
 MAGIC, SKIPPED = 0xFD2FB528, range(0x184D2A50, 0x184D2A60)
 DICTIONARY_BYTES, SIZE_BYTES = (0, 1, 2, 4), (0, 2, 4, 8)
@@ -40,7 +43,12 @@ DICTIONARY_BYTES, SIZE_BYTES = (0, 1, 2, 4), (0, 2, 4, 8)
 
 def frames_of(path: str, start: int = 0) -> list[tuple[int, int]]:
     """(start, end) in bytes of every whole frame from an offset on, from headers alone; what is cut short is left out."""
-    found, size = [], os.path.getsize(path)
+    return list(_frames(path, start))
+
+
+def _frames(path: str, start: int) -> Iterator[tuple[int, int]]:
+    """The frames one by one: no header is read before its frame is asked for."""
+    size = os.path.getsize(path)
     with open(path, "rb") as file:
         at = start
         while at + 8 <= size:
@@ -55,9 +63,8 @@ def frames_of(path: str, start: int = 0) -> list[tuple[int, int]]:
             if end is None or end > size:
                 break
             if magic == MAGIC:
-                found.append((at, end))
+                yield at, end
             at = end
-    return found
 
 
 def _frame_end(file: io.BufferedReader, at: int, size: int) -> int | None:
@@ -85,9 +92,14 @@ class Frames(InputPartition):
     first: bool  # whether the file, or what a stream reads of it, begins here
 
 
-def partitions_of(path: str, start: int, end: int, frames: int) -> list[Frames]:
+def partitions_of(path: str, start: int, end: int, frames: int | None = None, size: int = 1 << 23) -> list[Frames]:
+    """Partitions of so many frames each, or of the frames that begin within ``size`` bytes of a partition's first."""
     found = [f for f in frames_of(path, start) if f[1] <= end]
-    return [Frames(path, found[k][0], found[min(k + frames, len(found)) - 1][1], found[-1][1], k == 0) for k in range(0, len(found), frames)]
+    firsts = list(range(0, len(found), frames)) if frames else []
+    for k, (at, _) in enumerate([] if frames else found):
+        if not firsts or at - found[firsts[-1]][0] >= size:
+            firsts.append(k)
+    return [Frames(path, found[k][0], found[after - 1][1], found[-1][1], k == 0) for k, after in zip(firsts, [*firsts[1:], len(found)])]
 
 
 def records_in(part: Frames, window: int) -> Iterator[str]:
@@ -125,7 +137,9 @@ def _pieces(part: Frames, window: int) -> Iterator[tuple[bytes, bool]]:
 
     tail = b""
     with open(part.path, "rb") as file:
-        for start, end in [f for f in frames_of(part.path, part.start) if f[1] <= part.whole]:
+        for start, end in _frames(part.path, part.start):
+            if end > part.whole:
+                break
             file.seek(start)
             own, left, stream = start < part.own, end - start, zstandard.ZstdDecompressor(max_window_size=window).decompressobj()
             while left > 0:
@@ -139,7 +153,7 @@ def _pieces(part: Frames, window: int) -> Iterator[tuple[bytes, bool]]:
 
 
 class RecordFiles(DataSource):
-    """Options: ``path`` (a glob), ``frames`` (to a partition, 1), ``window`` (bytes at most, 2^31)."""
+    """Options: ``path`` (a glob), ``frames`` or else ``bytes`` (to a partition, 2^23), ``window`` (bytes at most, 2^31)."""
 
     @classmethod
     def name(cls) -> str:
@@ -157,20 +171,21 @@ class RecordFiles(DataSource):
 
 class _Reading:
     def __init__(self, options):
-        self.path, self.frames, self.window = options["path"], int(options.get("frames", 1)), int(options.get("window", 1 << 31))
+        self.path, self.frames, self.window = options["path"], int(options.get("frames", 0)), int(options.get("window", 1 << 31))
+        self.bytes = int(options.get("bytes", 1 << 23))
 
     def files(self) -> list[str]:
         return sorted(glob.glob(self.path))
 
-    def read(self, partition: Frames) -> Iterator[tuple[str]]:
-        for record in records_in(partition, self.window):
-            if record := record.strip():
-                yield (record if record.startswith(START) else START + record,)
+    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
+        found = filter(None, (record.strip() for record in records_in(partition, self.window)))
+        while held := [r if r.startswith(START) else START + r for r in islice(found, RECORDS)]:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["record"])
 
 
 class RecordReader(_Reading, DataSourceReader):
     def partitions(self) -> list[Frames]:
-        return [p for path in self.files() for p in partitions_of(path, 0, os.path.getsize(path), self.frames)]
+        return [p for path in self.files() for p in partitions_of(path, 0, os.path.getsize(path), self.frames, self.bytes)]
 
 
 class RecordStream(_Reading, DataSourceStreamReader):
@@ -188,7 +203,7 @@ class RecordStream(_Reading, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Frames]:
         began, ended = json.loads(start["files"]), json.loads(end["files"])
-        return [p for path, to in sorted(ended.items()) if to > began.get(path, 0) for p in partitions_of(path, began.get(path, 0), to, self.frames)]
+        return [p for path, to in sorted(ended.items()) if to > began.get(path, 0) for p in partitions_of(path, began.get(path, 0), to, self.frames, self.bytes)]
 
     def commit(self, end: dict) -> None:
         pass
