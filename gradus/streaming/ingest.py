@@ -20,10 +20,11 @@ def read_record_stream(spark: SparkSession, path: str, start: str = "[Event ", g
     return text.select(F.regexp_replace(F.regexp_replace(whole, "\r\n", "\n"), r"^\s+|\s+$", "").alias("record"))
 
 
-def read_frame_stream(spark: SparkSession, path: str, frames: int = 1) -> DataFrame:
+def read_frame_stream(spark: SparkSession, path: str, frames: int | None = None) -> DataFrame:
     """Records of zstd files (a glob) by frame: frames that are appended to a file arrive like files of their own."""
     spark.dataSource.register(RecordFiles)
-    return spark.readStream.format("record_files").option("path", path).option("frames", frames).load()
+    source = spark.readStream.format("record_files").option("path", path)
+    return (source.option("frames", frames) if frames else source).load()
 
 
 def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, rules: QualityRules = QualityRules(), zstd_frames: bool = False):
