@@ -21,11 +21,47 @@ def _all() -> WindowSpec:
     return Window.partitionBy()
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float], accuracy: int = 1000) -> DataFrame:
+    """(column, q): per column the exact quantiles ``at``, interpolated as ``percentile`` does; null where there is no value.
+
+    A sketch of bounded size gives two breaks around each quantile.  They cut each column into regions, whose rows are
+    counted, with map-side combine; the wanted ranks then fall into few regions, mostly those between two breaks of one
+    quantile, and only rows of these are counted by value and shuffled.  Whatever the sketch is worth, ranks are
+    exact: it only decides how many rows are in those regions.  Null is left out, and NaN is larger than any number.
+    """
+    span = 2 / accuracy
+    near = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in at for d in (-span, span)])
+    breaks = df.agg(*[F.percentile_approx(F.col(c).cast("double"), near, F.lit(accuracy)).alias(f"__b{k}") for k, c in enumerate(cols)])
+    value = [F.col(c).cast("double") for c in cols]
+    region = lambda k: sum(((value[k] > F.col(f"__b{k}")[j]).cast("int") for j in range(2 * len(at))), F.lit(0))
+    items = [F.struct(F.lit(k).alias("k"), region(k).alias("region"), (value[k] + 0.0).alias("v")) for k in range(len(cols))]
+    long = df.join(F.broadcast(breaks)).select(F.explode(F.array(*items)).alias("i")).select("i.*").where("v is not null")  # a row of breaks
+    counts = long.groupBy("k", "region").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("k").orderBy("region")  # a row per region
+    run = counts.select("k", "region", "n", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("k")).alias("all"))
+    ranks = F.array(*[F.struct(F.lit(j).alias("j"), (F.lit(float(p)) * (F.col("all") - 1)).alias("place")) for j, p in enumerate(at)])
+    ends = run.select("*", F.explode(ranks).alias("r")).select("*", F.col("r.j").alias("j"), F.col("r.place").alias("place"), F.explode(F.array(F.floor("r.place"), F.ceil("r.place"))).alias("rank")).distinct()
+    wanted = ends.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select("k", "region", "j", "place", "rank", (F.col("rank") - F.col("before")).alias("within"))
+    inside = long.join(F.broadcast(wanted.select("k", "region").distinct()), ["k", "region"], "left_semi")  # at most two a quantile
+    cells = inside.groupBy("k", "region", "v").agg(F.count("*").alias("c"))
+    placed = cells.withColumn("upto", F.sum("c").over(Window.partitionBy("k", "region").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    met = placed.join(F.broadcast(wanted), ["k", "region"]).where((F.col("within") >= F.col("upto") - F.col("c")) & (F.col("within") < F.col("upto")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    part = F.min("place") - F.floor(F.min("place"))
+    each = met.groupBy("k", "j").agg(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias("q"))
+    found = each.groupBy("k").agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"q{j}") for j in range(len(at))])
+    names = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(cols)], "k int, column string")
+    return names.join(found, "k", "left").select("column", F.array(*[F.col(f"q{j}") for j in range(len(at))]).alias("q"))
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """(column, rows, nulls, mean, std, min, max, median) per column, in one aggregation."""
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approximate else (lambda c: F.percentile(c, F.lit(0.5)))
-    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), _rounded(F.avg(c)).alias("mean"), _rounded(F.stddev_samp(c)).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), _rounded(median(F.col(c).cast("double"))).alias("median"))
-    return df.agg(F.array(*[stats(c) for c in cols]).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    """(column, rows, nulls, mean, std, min, max, median) per column: one aggregation, and ``exact_quantiles`` unless approximate."""
+    median = (lambda c: F.percentile_approx(c, 0.5)) if approximate else (lambda c: F.lit(None))
+    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.sum(F.col(c).isNull().cast("long")).alias("nulls"), _rounded(F.avg(c)).alias("mean"), _rounded(F.stddev_samp(c)).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), _rounded(median(F.col(c).cast("double")).cast("double")).alias("median"))
+    found = df.agg(F.array(*[stats(c) for c in cols]).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    if approximate:
+        return found
+    return found.drop("median").join(F.broadcast(exact_quantiles(df, cols, [0.5])), "column").select("*", _rounded(F.col("q")[0]).alias("median")).drop("q")
 
 
 def value_counts(df: DataFrame, col: str, k: int | None = None, pct_of: str = "all") -> DataFrame:
@@ -87,15 +123,13 @@ def entropy_by_group(df: DataFrame, key: str, col: str) -> DataFrame:
     return sums.select(key, "n", _rounded(F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0))).alias("entropy"))
 
 
-def _quantiles(value: Column, at: Sequence[float], approximate: bool) -> Column:
-    """Exact quantiles hold every different value of a group; approximate ones a sketch of bounded size."""
-    ends = F.array(*map(F.lit, at))
-    return F.percentile_approx(value, ends, F.lit(10_000)) if approximate else F.percentile(value, ends)
-
-
 def moments(df: DataFrame, col: str, approximate: bool = False) -> DataFrame:
     """(n, mean, median, skewness, kurtosis): population skewness, excess kurtosis."""
-    return df.agg(F.count(col).alias("n"), _rounded(F.avg(col)).alias("mean"), _rounded(_quantiles(F.col(col).cast("double"), [0.5], approximate)[0]).alias("median"), _rounded(F.skewness(col)).alias("skewness"), _rounded(F.kurtosis(col)).alias("kurtosis"))
+    median = F.percentile_approx(F.col(col).cast("double"), F.array(F.lit(0.5)), F.lit(10_000)) if approximate else F.lit(None)
+    found = df.agg(F.count(col).alias("n"), _rounded(F.avg(col)).alias("mean"), median.alias("q"), _rounded(F.skewness(col)).alias("skewness"), _rounded(F.kurtosis(col)).alias("kurtosis"))
+    if not approximate:
+        found = found.drop("q").join(F.broadcast(exact_quantiles(df, [col], [0.5])))  # a row each
+    return found.select("n", "mean", _rounded(F.col("q")[0]).alias("median"), "skewness", "kurtosis")
 
 
 def histogram(df: DataFrame, col: str, bins: int, value_range: tuple[float, float] | None = None, density: bool = False, by: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.operators.aggregates import row_share
+from gradus.operators.aggregates import exact_quantiles, row_share
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -24,8 +24,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str) -> D
 def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int, approximate: bool = False) -> DataFrame:
     """Each column replaced by its equal-frequency bin; a row of breaks is broadcast."""
     at = [k / bins for k in range(1, bins)]
-    of = (lambda c: F.percentile_approx(c, at)) if approximate else (lambda c: F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))))
-    breaks = df.agg(*[of(c).alias(f"__{c}") for c in cols])
+    if approximate:
+        breaks = df.agg(*[F.percentile_approx(c, at).alias(f"__{c}") for c in cols])
+    else:
+        found = exact_quantiles(df, cols, at)
+        breaks = found.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"__{c}") for c in cols])  # from a row per column
     place = lambda c: F.when(F.col(c).isNotNull(), F.size(F.filter(F.col(f"__{c}"), lambda b: b < F.col(c))))
     return df.join(F.broadcast(breaks)).withColumns({c: place(c) for c in cols}).select(df.columns)
 
